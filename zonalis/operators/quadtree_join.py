@@ -95,9 +95,9 @@ def _spread_np(v: np.ndarray) -> np.ndarray:
 
 
 def plan_tree(points: DataFrame, x: str, y: str, group_points: int = GROUP_POINTS) -> Tree:
-    """The quadtree over a sample: the rows with the smallest hash, found by one bounded top-k per task."""
-    sample = points.select(x, y).orderBy(F.xxhash64(x, y, F.monotonically_increasing_id())).limit(SAMPLE).collect()
-    n = points.count() if len(sample) == SAMPLE else len(sample)
+    """The quadtree over a sample of about SAMPLE rows, whatever the number of partitions."""
+    n = points.count()
+    sample = points.select(x, y).sample(min(1.0, SAMPLE / max(1, n)), seed=17).collect()
     at = np.array([(r[0], r[1]) for r in sample], dtype=float).reshape(-1, 2)
     if not len(at):
         return Tree(0.0, 0.0, 1.0, np.zeros(1), np.array([[0, 0, 2**BITS, 2**BITS]]), np.ones(1, int))
