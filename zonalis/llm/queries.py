@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.llm.cutoff import cutoffs, kept, latest_scores
+from zonalis.llm.density_peaks import clusters, described
 from zonalis.llm.quantiles import build_sketches, merge_sketches, quantiles, query_sketches
 from zonalis.plans.runtime import checkpointed, table
 
@@ -73,8 +74,31 @@ def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(recorded, "run_id", "left")
 
 
+#: Profiles at most so far apart are alike.
+ALIKE = 0.08
+FEATURES = [
+    "n_intersections_n", "n_street_density_n", "n_intersection_density_n", "p_poi_density_n", "p_employment_proxy_n", "p_retail_density_n",
+    "p_service_density_n", "p_land_use_mix_n", "pe_population_n", "pe_pop_density_n", "pe_marginacion_n", "pe_rezago_n", "pe_dep_ratio_n",
+    "pe_youth_share_n", "v_ntl_median_n", "v_ridership_annual_n",
+]
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "cluster_profiles"), "profile_id", FEATURES, ALIKE)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir).where("group_id <> profile_id").select(F.col("group_id").alias("profile_id_a"), F.col("profile_id").alias("profile_id_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group's size and its three most typical profiles."""
+    found = checkpointed(_groups(spark, sf_dir))
+    return described(found, "profile_id").select("group_id", "size", F.array_join("typical", ",").alias("typical"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_percentiles": p3_percentiles, "p3_audit": p3_audit, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs,
+    "p3_percentiles": p3_percentiles, "p3_audit": p3_audit, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs,
 }
 
 _LATEST = """
@@ -86,7 +110,17 @@ reach AS (SELECT run_id, s, count(*) OVER (PARTITION BY run_id) AS n, count(*) O
 cut AS (SELECT run_id, n, max(s) AS cutoff FROM reach JOIN cutoff_targets USING (run_id) WHERE r * 100 >= keep_pct * n GROUP BY run_id, n)
 """
 
+_DISTANCE = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in FEATURES)
+_SOUND = " AND ".join(f"{f} IS NOT NULL AND NOT isnan({f})" for f in FEATURES)
+_COMPONENTS = f"""
+WITH RECURSIVE rows AS (SELECT * FROM cluster_profiles WHERE {_SOUND}),
+near AS (SELECT a.profile_id AS x, b.profile_id AS y, sqrt({_DISTANCE}) AS d FROM rows a JOIN rows b ON sqrt({_DISTANCE}) <= {ALIKE}),
+reach AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reach r JOIN near n ON r.y = n.x),
+grouped AS (SELECT x AS profile_id, min(y) AS group_id FROM reach GROUP BY x)
+"""
+
 ORACLES: dict[str, str] = {
+    "p4_found": _COMPONENTS + "SELECT group_id AS profile_id_a, profile_id AS profile_id_b FROM grouped WHERE group_id <> profile_id",
     "p3_audit": """
 WITH v AS (SELECT 'slope_mean' AS measure, substr(ageb_id, 3, 3) AS key, slope_mean AS x FROM ageb_topography WHERE slope_mean <> -9999
   UNION ALL SELECT 'v_ntl_median_n', cast(cluster_id AS VARCHAR), v_ntl_median_n FROM cluster_profiles)
