@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm.cutoff import cutoffs, kept, latest_scores
 from zonalis.llm.density_peaks import clusters, described
+from zonalis.llm.packing import filling, pack, token_counts
 from zonalis.llm.quantiles import build_sketches, merge_sketches, quantiles, query_sketches
 from zonalis.plans.runtime import checkpointed, table
 
@@ -97,8 +98,23 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(found, "profile_id").select("group_id", "size", F.array_join("typical", ",").alias("typical"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = checkpointed(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return pack(sizes, "doc_id", table(spark, sf_dir, "container_sizes"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every text, or piece of a text above the capacity, goes in each kind of container."""
+    return _packed(spark, sf_dir)
+
+
+def p6_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filling(_packed(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_percentiles": p3_percentiles, "p3_audit": p3_audit, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs,
+    "p6_containers": p6_containers, "p6_filling": p6_filling,
 }
 
 _LATEST = """
