@@ -140,10 +140,10 @@ class _Packer:
         a, b = pair
         if partner == a and len({a, b, big}) == 3:
             # the items next before b in descending order; with none but a between, or none that fit as a pair, {big, a, b} dominates
-            before = [b] * (self.left[b] - 1)
+            before = [b] * min(2, self.left[b] - 1)
             k = bisect_left(self.sizes, b) + 1
             while len(before) < 2 and k < len(self.sizes) and self.sizes[k] < big:
-                before += [self.sizes[k]] * self.left[self.sizes[k]]
+                before += [self.sizes[k]] * min(2, self.left[self.sizes[k]])
                 k += 1
             if len(before) >= 2 and big + before[0] + before[1] > self.capacity:
                 return {big: 1, a: 1, b: 1}, max(1, min(self.left[big], self.left[a], self.left[b]) - 2)
