@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm.cutoff import cutoffs, kept, latest_scores
 from zonalis.llm.density_peaks import clusters, described
+from zonalis.llm.leakage import leaked
 from zonalis.llm.mojibake import garbled, restored
 from zonalis.llm.packing import filling, pack, token_counts
 from zonalis.llm.quantiles import build_sketches, merge_sketches, quantiles, query_sketches
@@ -113,6 +114,10 @@ def p6_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filling(_packed(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -123,7 +128,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_percentiles": p3_percentiles, "p3_audit": p3_audit, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs,
-    "p6_containers": p6_containers, "p6_filling": p6_filling, "p8_found": p8_found, "p8_restored": p8_restored,
+    "p6_containers": p6_containers, "p6_filling": p6_filling, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
 _LATEST = """
