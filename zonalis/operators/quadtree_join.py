@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from zonalis.functions.rtree import StrTree, edge_distance2, edges_of, inside
 
@@ -43,8 +44,13 @@ def point_targets(df: DataFrame, other_id: str, x: Column, y: Column, reach: flo
     )
 
 
-def region_targets(df: DataFrame, other_id: str, geom: str, reach: float = 0.0) -> DataFrame:
-    """Targets that points inside the region (holes excluded), or within `reach` of it, match; one row per polygon."""
+#: The reach of a region whose edge doesn't belong to it.
+OPEN = -1.0
+
+
+def region_targets(df: DataFrame, other_id: str, geom: str, reach: float = OPEN) -> DataFrame:
+    """Targets that points inside the region (holes excluded) match, or with a reach of 0 those on its edge too, or with
+    a positive one those within it of the region; one row per polygon."""
     polygons = df.select(F.col(other_id).cast("string").alias("other_id"), F.explode(f"{geom}.rings").alias("_p")).where(F.col("other_id").isNotNull())
     flat = lambda axis: F.flatten(F.transform("_p", lambda r: F.transform(r, lambda p: p[axis])))
     return polygons.select(
@@ -142,7 +148,7 @@ def _replicate(tree: Tree):
         index = StrTree(index_boxes)
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            reach = t["reach"].to_numpy()
+            reach = np.maximum(t["reach"].to_numpy(), 0)
             lo, hi = _boxes(t)
             box = np.column_stack([lo[:, 0] - reach, lo[:, 1] - reach, hi[:, 0] + reach, hi[:, 1] + reach])
             cell = (box - [tree.x0, tree.y0, tree.x0, tree.y0]) / (tree.size / 2**BITS)
@@ -171,27 +177,32 @@ def _boxes(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack(ends[0]), np.column_stack(ends[1])
 
 
-def _probe(tree: Tree, point_id: str, out: pa.Schema):
+def _probe(point_id: str, out: pa.Schema):
+    measured = "distance" in out.names
+
     def run(points: pa.Table, targets: pa.Table) -> pa.Table:
         if not points.num_rows or not targets.num_rows:
             return out.empty_table()
         px, py = points["_px"].to_numpy(), points["_py"].to_numpy()
         reach = targets["reach"].to_numpy()
         lo, hi = _boxes(targets)
-        index = StrTree(np.column_stack([lo[:, 0] - reach, lo[:, 1] - reach, hi[:, 0] + reach, hi[:, 1] + reach]))
+        wide = np.maximum(reach, 0)
+        index = StrTree(np.column_stack([lo[:, 0] - wide, lo[:, 1] - wide, hi[:, 0] + wide, hi[:, 1] + wide]))
         xs, ys, rings = (targets[c].combine_chunks() for c in ("xs", "ys", "ring_lengths"))
         single = np.array([len(r) == 0 for r in rings]) if len(rings) else np.empty(0, bool)
         shape = {}
-        found_p, found_t = [], []
+        found_p, found_t, found_d = [], [], []
         for a in range(0, len(px), PROBE):
             x, y = px[a : a + PROBE], py[a : a + PROBE]
             p, t = index.meeting(np.column_stack([x, y, x, y]))
             # reference point: the lower left corner of the intersection is the point itself, which only this leaf holds
             near = single[t]
             pp, tt = p[near], t[near]
-            keep = (x[pp] - lo[tt, 0]) ** 2 + (y[pp] - lo[tt, 1]) ** 2 <= reach[tt] ** 2
+            far = (x[pp] - lo[tt, 0]) ** 2 + (y[pp] - lo[tt, 1]) ** 2
+            keep = far <= reach[tt] ** 2
             found_p.append(pp[keep] + a)
             found_t.append(tt[keep])
+            found_d.append(far[keep])
             pp, tt = p[~near], t[~near]
             order = np.argsort(tt, kind="stable")
             pp, tt = pp[order], tt[order]
@@ -201,24 +212,29 @@ def _probe(tree: Tree, point_id: str, out: pa.Schema):
                 if target not in shape:
                     shape[target] = edges_of(xs[target].values.to_numpy(), ys[target].values.to_numpy(), rings[target].values.to_numpy())
                 mine = pp[s:e]
-                hit = inside(x[mine], y[mine], shape[target])
-                if reach[target] > 0:
-                    hit |= edge_distance2(x[mine], y[mine], shape[target]) <= reach[target] ** 2
+                within = inside(x[mine], y[mine], shape[target])
+                to_edge = edge_distance2(x[mine], y[mine], shape[target])
+                hit = within & (to_edge > 0) if reach[target] < 0 else within | (to_edge <= reach[target] ** 2)
                 found_p.append(mine[hit] + a)
                 found_t.append(np.full(hit.sum(), target))
-        p, t = np.concatenate(found_p), np.concatenate(found_t).astype(np.int64)
+                found_d.append(np.where(within, 0.0, to_edge)[hit])
+        p, t, far = np.concatenate(found_p), np.concatenate(found_t).astype(np.int64), np.concatenate(found_d)
         names = targets["other_id"].combine_chunks().dictionary_encode()
         name = names.indices.to_numpy()[t]
-        # several polygons or positions of one target count once
-        pair = np.unique(p.astype(np.int64) * max(1, len(names.dictionary)) + name)
-        p, name = pair // max(1, len(names.dictionary)), pair % max(1, len(names.dictionary))
-        return pa.table({point_id: points[point_id].take(pa.array(p)), "other_id": names.dictionary.take(pa.array(name))}).cast(out)
+        # several polygons or positions of one target count once, with the nearest
+        n = max(1, len(names.dictionary))
+        order = np.argsort(far, kind="stable")
+        pair, nearest = np.unique(p[order].astype(np.int64) * n + name[order], return_index=True)
+        columns = {point_id: points[point_id].take(pa.array(pair // n)), "other_id": names.dictionary.take(pa.array(pair % n))}
+        if measured:
+            columns["distance"] = pa.array(np.sqrt(far[order][nearest]))
+        return pa.table(columns).cast(out)
 
     return run
 
 
-def quadtree_join(points: DataFrame, point_id: str, x: str, y: str, targets: DataFrame, group_points: int = GROUP_POINTS) -> DataFrame:
-    """(point_id, other_id) of every point and every target it matches, each once for each (point_id, x, y).
+def quadtree_join(points: DataFrame, point_id: str, x: str, y: str, targets: DataFrame, group_points: int = GROUP_POINTS, distances: bool = False) -> DataFrame:
+    """(point_id, other_id), and the distance if asked for (0 inside a region), of every point and every target it matches, each once for each (point_id, x, y).
 
     Rows of `points` without an id or without finite coordinates match nothing; repeated rows count once; other
     columns are ignored.  `targets` come from point_targets() and region_targets(), united as needed: one pass over
@@ -236,11 +252,9 @@ def quadtree_join(points: DataFrame, point_id: str, x: str, y: str, targets: Dat
     schema = targets.select(*TARGET_FIELDS).schema
     copies = targets.select(*TARGET_FIELDS).mapInArrow(_replicate(tree), schema.simpleString()[7:-1] + ",leaf int,salt int")
     id_type = points.schema[point_id].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out = pa.schema([pa.field(point_id, to_arrow_type(id_type)), pa.field("other_id", pa.string())])
+    out = pa.schema([pa.field(point_id, to_arrow_type(id_type)), pa.field("other_id", pa.string()), *[pa.field("distance", pa.float64())] * distances])
     return (
         placed.groupBy("leaf", "salt")
         .cogroup(copies.groupBy("leaf", "salt"))
-        .applyInArrow(_probe(tree, point_id, out), f"`{point_id}` {id_type.simpleString()}, other_id string")
+        .applyInArrow(_probe(point_id, out), f"`{point_id}` {id_type.simpleString()}, other_id string" + ", distance double" * distances)
     )
