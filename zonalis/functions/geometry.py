@@ -104,4 +104,4 @@ def geojson(geom: Column) -> Column:
     """A multipolygon as a GeoJSON geometry, every ring closed."""
     closed = lambda r: F.when((r[0]["x"] == F.get(r, F.size(r) - 1)["x"]) & (r[0]["y"] == F.get(r, F.size(r) - 1)["y"]), r).otherwise(F.concat(r, F.array(r[0])))
     coordinates = F.transform(geom["rings"], lambda p: F.transform(p, lambda r: F.transform(closed(r), lambda q: F.array(q["x"], q["y"]))))
-    return F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates")))
+    return F.when(geom["rings"].isNotNull(), F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates"))))
