@@ -18,11 +18,16 @@ from pyspark.sql import functions as F
 from zonalis.functions.rtree import edges_of, inside
 
 
-def segments(lines: DataFrame, key: str, line: str) -> DataFrame:
-    """(key, x1, y1, x2, y2) of every step of every line."""
+def segments(lines: DataFrame, key: str, line: str, longest: float) -> DataFrame:
+    """(key, x1, y1, x2, y2) of every step of every line, long ones cut into equal pieces: a long slanting step's box
+    would meet regions far from it."""
     steps = F.transform(F.sequence(F.lit(1), F.size(line) - 1), lambda i: F.struct(F.get(line, i - 1).alias("a"), F.get(line, i).alias("b")))
     exploded = lines.where(F.size(line) > 1).select(F.col(key), F.explode(steps).alias("s"))
-    return exploded.select(key, F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+    dx, dy = F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(dx, dy) / longest)).cast("int")
+    cut = exploded.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    at = lambda axis, d, i: F.col(f"s.a.{axis}") + d * (i / F.col("_n"))
+    return cut.select(key, at("x", dx, F.col("_i") - 1).alias("x1"), at("y", dy, F.col("_i") - 1).alias("y1"), at("x", dx, F.col("_i")).alias("x2"), at("y", dy, F.col("_i")).alias("y2"))
 
 
 def grid_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
@@ -101,7 +106,8 @@ def length_near_regions(lines: DataFrame, key: str, line: str, regions: DataFram
     """(region, key, metres): the length of each line within `distance` of each region, where there is any.
 
     A region's polygons each count their own part; lines without length have none.  Empty tables give no rows."""
-    seg = segments(lines, key, line)
+    cell = cell or max(2 * distance, 500.0)
+    seg = segments(lines, key, line, cell)
     seg = seg.select("*", F.least("x1", "x2").alias("xmin"), F.least("y1", "y2").alias("ymin"), F.greatest("x1", "x2").alias("xmax"), F.greatest("y1", "y2").alias("ymax"))
     polygons = regions.select(F.col(region_id).alias("region"), F.explode(f"{geom}.rings").alias("_p")).distinct()
     flat = lambda axis: F.flatten(F.transform("_p", lambda r: F.transform(r, lambda p: p[axis])))
@@ -109,13 +115,18 @@ def length_near_regions(lines: DataFrame, key: str, line: str, regions: DataFram
     boxed = shaped.select(
         "*", (F.array_min("xs") - distance).alias("xmin"), (F.array_min("ys") - distance).alias("ymin"), (F.array_max("xs") + distance).alias("xmax"), (F.array_max("ys") + distance).alias("ymax")
     )
-    pairs = grid_pairs(seg, boxed, cell or max(2 * distance, 500.0))
+    # far more work than bytes: spread by a number of its own, which adaptive execution doesn't lower
+    spread = 4 * lines.sparkSession.sparkContext.defaultParallelism
+    pairs = grid_pairs(seg, boxed, cell).repartition(spread, "region", "x1", "y1")
 
     def measure(batches):
         for batch in batches:
-            out = []
+            out, known = [], {}
             for x1, y1, x2, y2, xs, ys, sizes in zip(*(batch.column(c).to_pylist() for c in range(2, 9))):
-                out.append(near_length((x1, y1, x2, y2), edges_of(np.array(xs), np.array(ys), np.array(sizes)), distance))
+                shape = (xs[0], ys[0], len(xs), xs[-1], ys[-1], tuple(sizes))
+                if shape not in known or known[shape][0] != xs or known[shape][1] != ys:
+                    known[shape] = (xs, ys, edges_of(np.array(xs), np.array(ys), np.array(sizes)))
+                out.append(near_length((x1, y1, x2, y2), known[shape][2], distance))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["region", key, "metres"])
 
     kinds = f"region {regions.schema[region_id].dataType.simpleString()}, `{key}` {lines.schema[key].dataType.simpleString()}, metres double"

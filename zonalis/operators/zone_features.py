@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.geometry import area
-from zonalis.functions.scalars import JOBS_BY_CLASS, SECTOR_PREFIXES, SMALL_CLASSES, first_prefix, mapped, safe_ratio
+from zonalis.functions.scalars import JOBS_BY_CLASS, SECTOR_PREFIXES, SMALL_CLASSES, first_prefix, mapped, number_or, safe_ratio, zfill
 from zonalis.operators.quadtree_join import point_targets, quadtree_join, region_targets
 
 #: Metres of the near and far ring around a zone, and beyond which a stop doesn't count.
@@ -108,3 +108,48 @@ def stop_features(establishments: DataFrame, stops: DataFrame) -> DataFrame:
     pairs = quadtree_join(emp, "denue_id", "x_6372", "y_6372", point_targets(at, "stop_id", F.col("x"), F.col("y"), NEAR))
     jobs = pairs.join(emp.select("denue_id", mapped(F.col("estrato_personal"), JOBS_BY_CLASS).alias("jobs")), "denue_id").groupBy(F.col("other_id").alias("stop_id")).agg(F.sum("jobs").alias("employment_proxy"))
     return at.select("stop_id").distinct().join(near, "stop_id", "left").join(jobs, "stop_id", "left").na.fill(0)
+
+
+def node_features(crossings: DataFrame, edges: DataFrame, zones: DataFrame) -> DataFrame:
+    """Crossings and four-way crossings per km2, street metres per km2, of every zone.
+
+    `crossings` holds (node, street_count, x, y), `edges` (edge, length, x, y) with the edge's midpoint, which decides
+    its zone; crossings and edges on a zone's border belong to none."""
+    n = zones_of(crossings, "node", "x", "y", zones).join(crossings.select("node", "street_count").distinct(), "node").groupBy("ageb_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("street_count") >= 4).alias("n4")
+    )
+    e = zones_of(edges, "edge", "x", "y", zones).join(edges.select("edge", "length"), "edge").groupBy("ageb_id").agg(F.sum("length").alias("metres"))
+    sized = zones.where("cvegeo is not null").groupBy(F.col("cvegeo").alias("ageb_id")).agg((F.max(area(F.col("geom"))) / 1e6).alias("km2"))
+    joined = sized.join(n, "ageb_id", "left").join(e, "ageb_id", "left").na.fill(0)
+    return joined.select("ageb_id", safe_ratio(F.col("n"), F.col("km2")).alias("n_intersections"), safe_ratio(F.col("n4"), F.col("km2")).alias("n_intersection_density"),
+                         safe_ratio(F.col("metres"), F.col("km2")).alias("n_street_density"))
+
+
+def people_features(census: DataFrame, indices: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Population, density, dependency ratio (5 at most), share of youth and both indices of every zone in `sizes`
+    (ageb_id, km2).  Census columns are texts; what is no number counts 0.  Without P_15A29 the youth are
+    P_15A17 + P_18A24, or 0 where those are missing too."""
+    has = set(census.columns)
+    n = lambda c: number_or(F.col(c)) if c in has else F.lit(0.0)
+    youth = n("P_15A29") if "P_15A29" in has else n("P_15A17") + n("P_18A24")
+    key = F.concat(zfill(F.col("ENTIDAD"), 2), zfill(F.col("MUN"), 3), zfill(F.col("LOC"), 4), zfill(F.col("AGEB"), 4))
+    c = census.where("MZA = '000'").select(key.alias("ageb_id"), n("POBTOT").alias("pop"), (n("POB0_14") + n("POB65_MAS")).alias("dependent"), n("POB15_64").alias("active"), youth.alias("youth"))
+    per = c.groupBy("ageb_id").agg(*[F.sum(x).alias(x) for x in ("pop", "dependent", "active", "youth")])
+    i = indices.select(zfill(F.col("cve_ageb"), 13).alias("ageb_id"), "im_2020", "irs_2020")
+    joined = sizes.join(per, "ageb_id", "left").join(i, "ageb_id", "left").na.fill(0)
+    return joined.select(
+        "ageb_id", F.col("pop").alias("pe_population"), safe_ratio(F.col("pop"), F.col("km2")).alias("pe_pop_density"), F.col("im_2020").alias("pe_marginacion"), F.col("irs_2020").alias("pe_rezago"),
+        safe_ratio(F.col("dependent"), F.col("active"), 1.0, 5.0).alias("pe_dep_ratio"), safe_ratio(F.col("youth"), F.col("pop"), 1.0).alias("pe_youth_share"),
+    )
+
+
+def indices_of_both(margin: DataFrame, lag: DataFrame) -> DataFrame:
+    """Both indices per zone, zones of either side kept."""
+    return margin.join(lag, "cve_ageb", "full")
+
+
+def vitality_features(lights: DataFrame, ridership: DataFrame, zones: DataFrame, year: int, like: str = "%pasajero%") -> DataFrame:
+    """(ageb_id, v_ntl_median, v_ridership_annual): a zone's median light, and the year's ridership of its municipality."""
+    total = ridership.where((F.col("anio") == year) & F.col("variable").ilike(like)).groupBy(F.concat(F.lit("14"), zfill(F.col("cve_mun").cast("string"), 3)).alias("municipality")).agg(F.sum("valor").alias("v_ridership_annual"))
+    ids = zone_ids(zones).withColumn("municipality", F.left("ageb_id", F.lit(5)))
+    return ids.join(lights.select("ageb_id", F.col("median").alias("v_ntl_median")), "ageb_id", "left").join(total, "municipality", "left").drop("municipality").na.fill(0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from zonalis.functions import geometry as G
 from zonalis.functions.projection import forward, inverse
 from zonalis.functions.scalars import SECTOR_PREFIXES, safe_corr
-from zonalis.operators import metrics, weighting, zone_features
+from zonalis.operators import line_supply, metrics, models, weighting, zone_features
 from zonalis.operators.quadtree_join import point_targets, quadtree_join
 from zonalis.plans.runtime import checkpointed
 from zonalis.plans.runtime import table as T
@@ -382,3 +382,117 @@ def cmp_predict_surface(s, d):
     return p.groupBy("run_id").agg(F.min("score_rf").alias("lo"), F.max("score_rf").alias("hi"), F.round(F.avg("score_rf"), 8).alias("mean"), F.round(rate, 8).alias("rate"))
 
 
+
+
+# --- further composites ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT cvegeo, cve_mun, geom.srid AS srid FROM ageb WHERE cve_ent = '14' AND cve_ageb NOT LIKE '%A%' AND cve_mun IN ('039', '044', '051', '070', '097', '098', '101', '120', '124', '009')")
+def cmp_base_ageb(s, d):
+    keep = F.col("cve_mun").isin("039", "044", "051", "070", "097", "098", "101", "120", "124", "009")
+    return _zones(s, d).where((F.col("cve_ent") == "14") & ~F.col("cve_ageb").like("%A%") & keep).select("cvegeo", "cve_mun", F.col("geom.srid").alias("srid")).distinct()
+
+
+@query(f"WITH {_SHAPES} SELECT shape, 'gtfs' AS source, count(*) AS points FROM shapes GROUP BY shape HAVING count(*) > 1 UNION ALL SELECT 'L4', 'line', 2")
+def cmp_transit_routes(s, d):
+    mine = _lines(s, d).where(F.size("line") > 1).select("shape", F.lit("gtfs").alias("source"), F.size("line").cast("bigint").alias("points")).distinct()
+    return mine.unionByName(s.range(1).select(F.lit("L4").alias("shape"), F.lit("line").alias("source"), F.lit(2).cast("bigint").alias("points")))
+
+
+def _supply(s, d):
+    return line_supply.route_supply(_lines(s, d), "shape", "line", _zones(s, d), "cvegeo", "geom", 800.0)
+
+
+@query(None)
+def cmp_route_supply(s, d):
+    """Kilometres of lines within 800 m of each zone; tested against dense sampling."""
+    return _supply(s, d).withColumn("route_km_within_800m", F.round("route_km_within_800m", 6))
+
+
+@query(None)
+def cmp_features_transport(s, d):
+    supply = _supply(s, d).withColumnRenamed("region", "ageb_id")
+    return zone_features.accessibility(_stops(s, d), _zones(s, d)).join(supply, "ageb_id", "left").na.fill(0.0, ["route_km_within_800m"])
+
+
+@query(f"""WITH {_SHAPES}, seg AS (SELECT shape || '|' || o AS edge, (x + px) / 2 AS x, (y + py) / 2 AS y, sqrt(power(x - px, 2) + power(y - py, 2)) AS l FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM shapes WINDOW w AS (PARTITION BY shape ORDER BY o)) WHERE px IS NOT NULL),
+nodes AS (SELECT o AS node, x, y, length(o) % 6 AS street_count FROM shapes), {_ZONES}, {_inside('nodes', 'node').replace('inside AS', 'at_nodes AS')}, {_inside('seg', 'edge').replace('inside AS', 'at_edges AS')},
+n AS (SELECT ageb_id, count(*) AS n, count(*) FILTER (WHERE street_count >= 4) AS n4 FROM at_nodes JOIN (SELECT DISTINCT node, street_count FROM nodes) USING (node) GROUP BY 1), e AS (SELECT ageb_id, sum(l) AS l FROM at_edges JOIN seg USING (edge) GROUP BY 1),
+size AS (SELECT cvegeo AS ageb_id, greatest(max({_AREA}) / 1e6, 0.01) AS km2 FROM ageb WHERE cvegeo IS NOT NULL GROUP BY 1)
+SELECT ageb_id, round(coalesce(n, 0) / km2, 4) AS n_intersections, round(coalesce(n4, 0) / km2, 4) AS n_intersection_density, round(coalesce(l, 0) / km2, 2) AS n_street_density FROM size LEFT JOIN n USING (ageb_id) LEFT JOIN e USING (ageb_id)""")
+def cmp_node_features(s, d):
+    """Stops stand for crossings and the steps between them for streets."""
+    order = F.concat("stop_id", F.lit("|"), F.lpad(F.col("x").cast("string"), 12, " "))
+    nodes = zone_features.stop_points(_stops(s, d)).select(order.alias("node"), "x", "y", (F.length(order) % 6).alias("street_count"), F.left("stop_id", F.lit(2)).alias("shape"))
+    w = Window.partitionBy("shape").orderBy("node")
+    steps = nodes.withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w)}).where("px is not null")
+    edges = steps.select(F.concat("shape", F.lit("|"), "node").alias("edge"), F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")).alias("length"), ((F.col("x") + F.col("px")) / 2).alias("x"), ((F.col("y") + F.col("py")) / 2).alias("y"))
+    f = zone_features.node_features(nodes.drop("shape"), edges, _zones(s, d))
+    return f.withColumns({"n_intersections": F.round("n_intersections", 4), "n_intersection_density": F.round("n_intersection_density", 4), "n_street_density": F.round("n_street_density", 2)})
+
+
+@query(f"{_MASTER}, held AS (SELECT DISTINCT ageb_id FROM inside) SELECT m.ageb_id, CASE WHEN h.ageb_id IS NOT NULL THEN 1 ELSE 0 END AS label, coalesce(stops_800m, 0)::DOUBLE AS stops_800m, round(coalesce(min_stop_dist_m, 0), 4) AS min_stop_dist_m, employment_proxy::DOUBLE AS employment_proxy FROM master m LEFT JOIN held h USING (ageb_id)")
+def cmp_training_frame(s, d):
+    held = zone_features.zones_of(zone_features.stop_points(_stops(s, d)), "stop_id", "x", "y", _zones(s, d)).select("ageb_id").distinct().withColumn("label", F.lit(1))
+    joined = _master(s, d).join(held, "ageb_id", "left").na.fill(0)
+    return joined.select("ageb_id", "label", F.col("stops_800m").cast("double").alias("stops_800m"), F.round("min_stop_dist_m", 4).alias("min_stop_dist_m"), F.col("employment_proxy").cast("double").alias("employment_proxy"))
+
+
+_SPLIT = "right(ageb_id, 1) IN ('0', '1', '2', '3', '4')"
+
+
+@query(f"""WITH r AS (SELECT run_id || ageb_id AS k, floor(score_rf * 100) AS a, floor(score_lgbm * 100) AS b, class_rf::INT AS y, {_SPLIT} AS train FROM ageb_suitability_predictions WHERE score_rf IS NOT NULL AND score_lgbm IS NOT NULL AND class_rf IS NOT NULL AND NOT isnan(score_rf) AND NOT isnan(score_lgbm))
+SELECT (SELECT count(*) FROM (SELECT a, b FROM r WHERE train INTERSECT SELECT a, b FROM r WHERE NOT train)) AS shared_vectors, (SELECT count(*) FROM (SELECT a, b FROM r GROUP BY 1, 2 HAVING count(DISTINCT y) > 1)) AS conflicting_vectors, count(k) - count(DISTINCT k) AS repeated_keys, round(avg(y), 8) AS positive_rate FROM r""")
+def cmp_leakage(s, d):
+    r = T(s, d, "ageb_suitability_predictions").where("score_rf is not null and score_lgbm is not null and class_rf is not null and not isnan(score_rf) and not isnan(score_lgbm)").select(
+        F.concat("run_id", "ageb_id").alias("k"), F.floor(F.col("score_rf") * 100).alias("a"), F.floor(F.col("score_lgbm") * 100).alias("b"), F.col("class_rf").cast("int").alias("y"), F.expr(_SPLIT).alias("train"))
+    return models.leakage_report(r.where("train"), r.where("not train"), "k", ["a", "b"], "y").withColumn("positive_rate", F.round("positive_rate", 8))
+
+
+@query("SELECT cluster_id, count(*) AS size, round(avg(p_poi_density_n), 8) AS p_poi_density_n, round(avg(pe_rezago_n), 8) AS pe_rezago_n, 'Typology ' || chr(65 + cluster_id) AS typology_name FROM cluster_profiles WHERE cluster_id IS NOT NULL GROUP BY cluster_id")
+def cmp_cluster_profiles(s, d):
+    found = models.cluster_profiles(T(s, d, "cluster_profiles").where("cluster_id is not null"), ["p_poi_density_n", "pe_rezago_n"])
+    return found.withColumns({c: F.round(c, 8) for c in ("p_poi_density_n", "pe_rezago_n")})
+
+
+@query(f"""WITH {_FILLED}, {_EWM}, m AS ({" UNION ALL ".join(f"SELECT cluster_id, '{c}' AS feature, round(avg({c}), 10) AS v FROM cluster_profiles WHERE cluster_id IS NOT NULL GROUP BY 1" for c in _SIXTEEN)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY v DESC, feature) AS k FROM m) SELECT cluster_id, k, feature, round(w, 6) AS w FROM r JOIN ewm USING (feature) WHERE k <= 3""")
+def cmp_phase5_drivers(s, d):
+    """The three leading features of each class with their weights, joined by exact name."""
+    means = T(s, d, "cluster_profiles").where("cluster_id is not null").groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in _SIXTEEN])
+    long = means.select("cluster_id", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(c, 10).alias("v")) for c in _SIXTEEN])).alias("r")).select("cluster_id", "r.*")
+    top = long.withColumn("k", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("v"), "feature"))).where("k <= 3")
+    return top.join(weighting.entropy_weights(_sixteen(s, d), _SIXTEEN), "feature").select("cluster_id", F.col("k").cast("bigint").alias("k"), "feature", F.round("ewm_weight", 6).alias("w"))
+
+
+def _judged(s, d):
+    return T(s, d, "ageb_suitability_predictions").where("class_rf is not null").select(F.concat_ws("|", "run_id", "ageb_id", "created_at").alias("k"), "score_rf", "score_lgbm", "threshold_rf", F.col("class_rf").cast("int").alias("y"))
+
+
+_SCORES = ["score_rf", "score_lgbm", "threshold_rf"]
+
+
+@query(None)
+def ml_rf_binary(s, d):
+    """Quality of a forest on its own training rows, by label."""
+    data = _judged(s, d)
+    return metrics.ranking_metrics(models.scored(models.random_forest(data, _SCORES, "y", trees=20, depth=6), data, _SCORES).withColumn("g", F.lit("all")), ["g"], "y", "score")
+
+
+@query(None)
+def xai_tree_shap(s, d):
+    """Mean absolute contribution and rank of each feature."""
+    data = _judged(s, d)
+    return models.importance(models.explained(models.random_forest(data, _SCORES, "y", trees=10, depth=5), data, "k", _SCORES), _SCORES)
+
+
+@query(None)
+def ml_kmeans(s, d):
+    clean = T(s, d, "cluster_profiles").select("profile_id", *_SIXTEEN).na.fill(0.0)
+    return models.kmeans(clean, _SIXTEEN, 4, starts=2).select("profile_id", "cluster_id")
+
+
+@query(None)
+def ml_pca2(s, d):
+    clean = T(s, d, "cluster_profiles").select("profile_id", *_SIXTEEN).na.fill(0.0)
+    return models.principal_components(clean, _SIXTEEN)[0].select("profile_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
