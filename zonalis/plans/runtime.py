@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, key_rows: int, limit: int = 100_000) -> DataFrame:
     """Broadcast hint only where the caller has counted the rows and the count is within `limit`."""
     return F.broadcast(df) if key_rows <= limit else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, unless their PYTHONPATH already leads to it.
+
+    The archive lies in the shared folder where the session names one this process can write to."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if getattr(sc, "_zonalis_shipped", False) or str(root) in map(os.path.realpath, os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        return
+    shared = (sc.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
+    folder = tempfile.mkdtemp(prefix="zonalis-", dir=shared if shared.startswith("/") and os.access(shared, os.W_OK) else None)
+    archive = os.path.join(folder, "zonalis_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted((root / "zonalis").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(archive)
+    sc._zonalis_shipped = True
