@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from zonalis.llm.leakage import leaked, reading_order
+from zonalis.llm.leakage import index_items, leaked, reading_order, search
 
 BOX = "array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>"
 
@@ -71,3 +71,24 @@ def test_reading_order_splits_joined_lines():
     lines = reading_order(text.split("\n"), b[:, 0], b[:, 1], b[:, 2], width)
     joined = " ".join(lines)
     assert joined.index("bbb") > joined.rindex("aaa")
+
+
+def plain(text):
+    return [text], np.empty(0), np.empty(0), np.empty(0), None
+
+
+def test_many_short_items_on_late_pages():
+    rnd = random.Random(3)
+    texts = [" ".join(words(rnd, 12)) for _ in range(40_000)]
+    pages = [plain("nada") for _ in range(256)]
+    for p, k in ((0, 5), (209, 39_998), (210, 7), (255, 39_999)):
+        pages[p] = plain(" ".join(words(rnd, 20) + [texts[k]] + words(rnd, 20)))
+    assert [r[:2] for r in search(index_items(list(enumerate(texts))), pages)] == [(0, 5), (209, 39_998), (210, 7), (255, 39_999)]
+
+
+def test_item_of_a_hundred_thousand_letters():
+    rnd = random.Random(4)
+    item = words(rnd, 22_000)
+    assert sum(map(len, item)) > 100_000
+    pages = [plain(" ".join(words(rnd, 9) + item[k : k + 14] + words(rnd, 9))) for k in (3, 10_000, 21_980)]
+    assert [r[:2] for r in search(index_items([(1, " ".join(item))]), pages)] == [(0, 0), (1, 0), (2, 0)]

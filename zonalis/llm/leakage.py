@@ -42,7 +42,7 @@ PAGES = 256
 #: Pixels within which lines begin together, and within which centres coincide.
 EDGE, CENTRE = 11, 9
 BASE = 37
-#: Added to diagonals, which begin below zero.
+#: Added to diagonals, which begin below zero; more where an item is longer.
 _ZERO = 1 << 15
 _SHIFT = BASE ** np.arange(Q - 1, -1, -1, dtype=np.int64)
 _TABLE_BITS = 22
@@ -324,11 +324,30 @@ def _longest(carried: list[int]) -> int:
     return best
 
 
-def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, ascending, and how often each occurs."""
-    values = np.sort(values)
-    at = np.nonzero(np.concatenate(([True], values[1:] != values[:-1])))[0]
-    return values[at], np.diff(np.append(at, len(values)))
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of the columns, ascending, and how often each occurs; values are at least 0.
+
+    Rows are packed into 63 bits where the largest values let them be, and else sorted by their columns."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) <= 63:
+        key = columns[0].astype(np.int64)
+        for c, b in zip(columns[1:], bits[1:]):
+            key = (key << b) | c
+        key.sort()
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.nonzero(np.concatenate(([True], new)))[0] if len(columns[0]) else np.empty(0, np.int64)
+    times = np.diff(np.append(at, len(columns[0])))
+    if sum(bits) > 63:
+        return [c[at] for c in columns], times
+    key, out = key[at], []
+    for b in bits[:0:-1]:
+        out.append(key & ((1 << b) - 1))
+        key = key >> b
+    return [key, *out[::-1]], times
 
 
 def _refined(items: Items, variant: int, stream: np.ndarray, begin: np.ndarray, size: np.ndarray, page, item, middle, first) -> np.ndarray:
@@ -358,7 +377,8 @@ def _refined(items: Items, variant: int, stream: np.ndarray, begin: np.ndarray,
             for f in range(1, FINE):
                 gram &= same[:, f : len(i) - FINE + 1 + f]
             shared |= gram
-        total = np.concatenate([np.zeros((len(own), 1), np.int16), np.cumsum(shared, 1, dtype=np.int16)], 1)
+        kind = np.int16 if len(i) < 1 << 15 else np.int32
+        total = np.concatenate([np.zeros((len(own), 1), kind), np.cumsum(shared, 1, dtype=kind)], 1)
         ahead = np.minimum(np.arange(total.shape[1])[None] + (window[s] - FINE + 1)[:, None], total.shape[1] - 1)
         keep[s] = (np.take_along_axis(total, ahead, 1) - total).max(1) >= window[s] + 1 - FINE * (edits[s] + 1)
     return keep
@@ -382,23 +402,23 @@ def _bands(items: Items, variant: int, stream: np.ndarray, page_of: np.ndarray,
     at = np.repeat(at, count)
     item, place = items.item[variant][post].astype(np.int64), items.place[variant][post]
     page = page_of[at]
-    diagonal = at - begin[page] - place + _ZERO
+    zero = max(_ZERO, int(place.max()))
+    diagonal = at - begin[page] - place + zero
     width = 2 * items.edits[variant][item]
     n = len(items.ids)
     # a shared q-gram counts once for a place of the item in a band
     regions = []
     for half in (0, 1):  # bands overlap by half ...
         band = (diagonal + half * width // 2) // width
-        once = _distinct(((page * n + item) << 40) | (band << 16) | place)[0]
-        pair, band_, place_ = once >> 40, (once >> 16) & 0xFFFFFF, once & 0xFFFF
+        pair, band_, place_ = _distinct(page * n + item, band, place)[0]
         for shift in (0, 1):  # ... and so do the stretches of the item, of two passages
             w = items.window[variant][pair % n]
             stretch = (place_ + shift * w) // (2 * w)
-            found, times = _distinct((pair << 40) | (band_ << 16) | stretch)
-            found = found[times >= items.need[variant][(found >> 40) % n]]
-            p, b, s = found >> 40, (found >> 16) & 0xFFFFFF, found & 0xFFFF
+            found, times = _distinct(pair, band_, stretch)
+            enough = times >= items.need[variant][found[0] % n]
+            p, b, s = (c[enough] for c in found)
             w, wide = items.window[variant][p % n], 2 * items.edits[variant][p % n]
-            regions.append(np.column_stack([p // n, p % n, b * wide + wide // 2 - half * wide // 2 - _ZERO, s * (2 * w) - shift * w]))
+            regions.append(np.column_stack([p // n, p % n, b * wide + wide // 2 - half * wide // 2 - zero, s * (2 * w) - shift * w]))
     seeded = np.unique(np.concatenate(regions), axis=0)
     good = seeded[_refined(items, variant, stream, begin, size, *seeded.T)]
     out: list[tuple[int, int, int]] = []
