@@ -92,3 +92,20 @@ def test_item_of_a_hundred_thousand_letters():
     assert sum(map(len, item)) > 100_000
     pages = [plain(" ".join(words(rnd, 9) + item[k : k + 14] + words(rnd, 9))) for k in (3, 10_000, 21_980)]
     assert [r[:2] for r in search(index_items([(1, " ".join(item))]), pages)] == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_twelve_words_with_a_misread_short_or_end_word():
+    rnd = random.Random(5)
+    long = [w + "ra" for w in words(rnd, 40)]
+    # (words of the item, as the page has them); the words before and after differ
+    cases = [
+        (["la", *long[:11]], ["1a", *long[:11]]), (["la", *long[:11]], ["l4", *long[:11]]), ([*long[:11], "de"], [*long[:11], "dc"]), ([*long[:11], "mes"], [*long[:11], "nes"]),
+        (["casa", *long[:11]], ["ca5a", *long[:11]]), ([*long[:11], "camino"], [*long[:11], "cam1no"]), (["la", *long[:10], "de"], ["1a", *long[:10], "dc"]),
+        ([*long[:8], "o", *long[8:19]], [*long[:8], "0", *long[8:19]]),
+    ]
+    for mine, read in cases:
+        items = index_items([(1, " ".join(["zzzz"] * 5 + mine + ["kkkk"] * 5))])
+        assert [r[:2] for r in search(items, [plain(" ".join(["xxxx"] * 9 + read + ["qqqq"] * 9))])] == [(0, 0)], read
+    # eight shared words, of the next ones some by chance
+    items = index_items([(1, " ".join([*long[:8], "para", "de", "que", "de", "un", "kkkk"]))])
+    assert search(items, [plain(" ".join(["xxxx"] * 9 + [*long[:8], "sora", "de", "que", "da", "qqqq", "qqqq"]))]) == []

@@ -19,6 +19,7 @@ Pages with characters of a wrong decoding are also compared by their ASCII lette
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 from dataclasses import dataclass
 
@@ -33,8 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 Q, FINE = 8, 4
 #: Edits a passage may have, per letter; at most as many as leave MIN_SHARED seeds unchanged.
 EDIT_SHARE, MIN_SHARED = 0.075, 4
-#: Words in a row that make a passage, and by how many fewer one may show whose ends are misread.
-WORDS, SLACK = 12, 0
+#: Words in a row that make a passage, and how many of them may show no short q-gram because they are its misread ends.
+WORDS, SLACK = 12, 2
 #: Letters of all items of a block, at most; bounds what is broadcast.
 BLOCK_LETTERS = 4_000_000
 #: Pages whose q-grams are looked up at once.
@@ -238,7 +239,9 @@ def _runs(page: bytes, item: bytes, starts: list[int], diagonal: int, band: int)
     """Most item words in a row that the best local alignment within the band carries.
 
     Matches +1, edits -2, and an alignment ends where it would fall below zero.  A word is carried if two thirds of its
-    letters match; one of which at least two fifths match may stand between two carried ones.
+    letters match; one of which at least two fifths match may stand between two carried ones.  A misread letter near
+    either end would end the alignment early, so the word there is compared by itself.  It, and a misread word of one
+    letter, count among carried words alone: beside words that match in part, chance would make up too many.
     """
     width, n, size = 2 * band + 1, len(item), len(page)
     score = [0] * (width + 1)  # one more column keeps the last one's upper neighbour
@@ -265,12 +268,15 @@ def _runs(page: bytes, item: bytes, starts: list[int], diagonal: int, band: int)
                 best, end = s, (i, j)
         moves.append(move)
         score = new
-    matched = [0] * n
-    i, j = end
+    matched, replaced = [0] * n, set()
+    i, j = begin = end
     while i >= 0 and best and moves[i][j]:
         m = moves[i][j]
         if m == 1:
             matched[i] = 1
+            begin = (i, j)
+        elif m == 2:
+            replaced.add(i)
         if m <= 2:
             i -= 1
         elif m == 3:
@@ -283,7 +289,31 @@ def _runs(page: bytes, item: bytes, starts: list[int], diagonal: int, band: int)
                 break
     hits = [sum(matched[a:b]) for a, b in zip(starts, starts[1:])]
     sizes = [b - a for a, b in zip(starts, starts[1:])]
-    return _longest([2 if 3 * h >= 2 * s else 1 if 5 * h >= 2 * s else 0 for h, s in zip(hits, sizes)])
+    carried = [2 if 3 * h >= 2 * s else 1 if 5 * h >= 2 * s else 0 for h, s in zip(hits, sizes)]
+    whole = [2 * (c == 2 or s == 1 and a in replaced and matched[a - 1] == matched[a + 1] == 1) for c, s, a in zip(carried, sizes, starts)]
+    if best:
+        # the first word at either end that isn't carried, on the diagonal on which the alignment ends
+        k = bisect.bisect_right(starts, end[0]) - 1
+        k += carried[k] == 2
+        if k < len(carried) and (a := starts[k] + diagonal - band + end[1]) >= 0 and _misread(item[starts[k] : starts[k + 1]], page[a : a + sizes[k] + 1]):
+            whole[k] = 2
+        k = bisect.bisect_right(starts, begin[0]) - 1
+        k -= carried[k] == 2
+        if k >= 0 and (b := starts[k + 1] + diagonal - band + begin[1]) > 0 and _misread(item[starts[k] : starts[k + 1]][::-1], page[max(0, b - sizes[k] - 1) : b][::-1]):
+            whole[k] = 2
+    return max(_longest(carried), _longest(whole))
+
+
+def _misread(word: bytes, beside: bytes) -> bool:
+    """Whether `beside` begins with the word but for one edit, or for edits of a third of its letters."""
+    if not beside:
+        return False
+    row = list(range(len(beside) + 1))
+    for i, letter in enumerate(word, 1):
+        above, row = row, [i]
+        for j, other in enumerate(beside, 1):
+            row.append(min(above[j - 1] + (letter != other), above[j] + 1, row[-1] + 1))
+    return min(row) <= max(1, len(word) // 3)
 
 
 def _touched(page: np.ndarray, item: np.ndarray, starts: np.ndarray, diagonal: int, band: int) -> int:
@@ -429,7 +459,7 @@ def _bands(items: Items, variant: int, stream: np.ndarray, page_of: np.ndarray,
 
 
 def search(items: Items, pages: list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, float | None]]) -> list[tuple[int, int, int]]:
-    """(page, item, words) for every item of which a page carries at least WORDS - SLACK words in a row."""
+    """(page, item, words) for every item of which a page carries at least WORDS words in a row."""
     best: dict[tuple[int, int], int] = {}
     ordered = [reading_order(*p) for p in pages]
     for variant in (0, 1):
@@ -452,7 +482,7 @@ def search(items: Items, pages: list[tuple[list[str], np.ndarray, np.ndarray, np
             if _touched(parts[page], items.letters[variant][item], items.starts[variant][item], diagonal, band) < WORDS - SLACK:
                 continue
             words = _runs(parts[page].tobytes(), items.letters[variant][item].tobytes(), items.starts[variant][item].tolist(), diagonal, band)
-            if words >= WORDS - SLACK:
+            if words >= WORDS:
                 best[key] = max(best.get(key, 0), words)
     return [(p, i, w) for (p, i), w in sorted(best.items())]
 
