@@ -57,6 +57,16 @@ def test_length_near_a_region_against_sampling(spark):
     assert line_supply.merged_lines([[(0, 0), (1, 0)], [(2, 0), (1, 0)], [(5, 5), (6, 6)]]) == [[(0, 0), (1, 0), (2, 0)], [(5, 5), (6, 6)]]
 
 
+def test_length_near_neighbouring_parts_counts_once(spark):
+    square = lambda x: [[(x, 0), (x + 10, 0), (x + 10, 10), (x, 10)]]
+    z = zones(spark, [("two", [square(0), square(14)]), ("one", [square(0)])])
+    lines = spark.createDataFrame([("a", [(-100.0, 5.0), (100.0, 5.0)]), ("back", [(-100.0, 5.0), (100.0, 5.0), (-100.0, 5.0), (100.0, 5.0)]), ("a", [(-100.0, 5.0), (100.0, 5.0)])], "route string, line array<struct<x:double,y:double>>")
+    got = {(r["region"], r["route"]): r["metres"] for r in line_supply.length_near_regions(lines, "route", "line", z, "cvegeo", "geom", 5.0, cell=16.0).collect()}
+    # 'two' reaches from -5 to 29, its parts' surroundings share 9 to 15
+    want = {("two", "a"): 68, ("two", "back"): 102, ("one", "a"): 40, ("one", "back"): 60}
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     rnd = random.Random(9)

@@ -46,13 +46,13 @@ def grid_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return both.where(touch & corner).drop("_cx", "_cy")
 
 
-def near_length(seg: tuple[float, float, float, float], edges: np.ndarray, d: float) -> float:
-    """Length of the part of a segment inside a polygon or within d of its edges."""
+def near_intervals(seg: tuple[float, float, float, float], edges: np.ndarray, d: float) -> list[tuple[float, float]]:
+    """Disjoint intervals, ascending, of a segment's length that lie inside a polygon or within d of its edges."""
     ax, ay, bx, by = seg
     ux, uy = bx - ax, by - ay
     length = math.hypot(ux, uy)
     if not length or not len(edges):
-        return 0.0
+        return []
     ux, uy = ux / length, uy / length
     found: list[tuple[float, float]] = []
 
@@ -95,19 +95,32 @@ def near_length(seg: tuple[float, float, float, float], edges: np.ndarray, d: fl
     for a, b, hit in zip(crossings, crossings[1:], within):
         if hit:
             add(a, b)
-    total, end = 0.0, -1.0
-    for low, high in sorted(found):
-        total += max(0.0, high - max(low, end))
-        end = max(end, high)
-    return total
+    return united(found)
+
+
+def united(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(intervals):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def near_length(seg: tuple[float, float, float, float], edges: np.ndarray, d: float) -> float:
+    """Length of the part of a segment inside a polygon or within d of its edges."""
+    return sum(high - low for low, high in near_intervals(seg, edges, d))
 
 
 def length_near_regions(lines: DataFrame, key: str, line: str, regions: DataFrame, region_id: str, geom: str, distance: float, cell: float | None = None) -> DataFrame:
     """(region, key, metres): the length of each line within `distance` of each region, where there is any.
 
-    A region's polygons each count their own part; lines without length have none.  Empty tables give no rows."""
+    What is near several polygons of a region counts once, what several lines or steps share as often as they have it;
+    lines without length have none.  Empty tables give no rows."""
     cell = cell or max(2 * distance, 500.0)
-    seg = segments(lines, key, line, cell)
+    # equal steps are measured once and counted, so that a step's polygons can be brought together by its ends
+    seg = segments(lines, key, line, cell).groupBy(key, "x1", "y1", "x2", "y2").agg(F.count("*").alias("_times"))
     seg = seg.select("*", F.least("x1", "x2").alias("xmin"), F.least("y1", "y2").alias("ymin"), F.greatest("x1", "x2").alias("xmax"), F.greatest("y1", "y2").alias("ymax"))
     polygons = regions.select(F.col(region_id).alias("region"), F.explode(f"{geom}.rings").alias("_p")).distinct()
     flat = lambda axis: F.flatten(F.transform("_p", lambda r: F.transform(r, lambda p: p[axis])))
@@ -121,17 +134,28 @@ def length_near_regions(lines: DataFrame, key: str, line: str, regions: DataFram
 
     def measure(batches):
         for batch in batches:
-            out, known = [], {}
-            for x1, y1, x2, y2, xs, ys, sizes in zip(*(batch.column(c).to_pylist() for c in range(2, 9))):
+            lows, highs, known = [], [], {}
+            for x1, y1, x2, y2, xs, ys, sizes in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5, 7, 8, 9))):
                 shape = (xs[0], ys[0], len(xs), xs[-1], ys[-1], tuple(sizes))
                 if shape not in known or known[shape][0] != xs or known[shape][1] != ys:
                     known[shape] = (xs, ys, edges_of(np.array(xs), np.array(ys), np.array(sizes)))
-                out.append(near_length((x1, y1, x2, y2), known[shape][2], distance))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["region", key, "metres"])
-
-    kinds = f"region {regions.schema[region_id].dataType.simpleString()}, `{key}` {lines.schema[key].dataType.simpleString()}, metres double"
-    measured = pairs.select("region", key, "x1", "y1", "x2", "y2", "xs", "ys", "sizes").mapInArrow(measure, kinds)
-    return measured.where("metres > 0").groupBy("region", key).agg(F.sum("metres").alias("metres"))
+                near = near_intervals((x1, y1, x2, y2), known[shape][2], distance)
+                lows.append([low for low, _ in near])
+                highs.append([high for _, high in near])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in range(7)), pa.array(lows, pa.list_(pa.float64())), pa.array(highs, pa.list_(pa.float64()))], names=["region", key, "x1", "y1", "x2", "y2", "_times", "_low", "_high"]
+            )
+
+    kinds = f"region {regions.schema[region_id].dataType.simpleString()}, `{key}` {lines.schema[key].dataType.simpleString()}, x1 double, y1 double, x2 double, y2 double, _times bigint, _low array<double>, _high array<double>"
+    measured = pairs.select("region", key, "x1", "y1", "x2", "y2", "_times", "xs", "ys", "sizes").mapInArrow(measure, kinds).where(F.size("_low") > 0)
+    found = measured.groupBy("region", key, "x1", "y1", "x2", "y2", "_times").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("_low", "_high")))).alias("_near"))
+
+    def longer(so_far, near):
+        end = F.greatest(so_far["end"], near["_high"])
+        return F.struct((so_far["metres"] + F.greatest(F.lit(0.0), near["_high"] - F.greatest(near["_low"], so_far["end"]))).alias("metres"), end.alias("end"))
+
+    union = F.aggregate("_near", F.struct(F.lit(0.0).alias("metres"), F.lit(0.0).alias("end")), longer)["metres"]
+    return found.select("region", key, (union * F.col("_times")).alias("metres")).groupBy("region", key).agg(F.sum("metres").alias("metres"))
 
 
 def route_supply(lines: DataFrame, key: str, line: str, regions: DataFrame, region_id: str, geom: str, distance: float = 800.0) -> DataFrame:
