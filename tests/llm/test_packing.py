@@ -1,10 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonalis.llm.packing import VOCABULARY, _Packer, encoding, filling, pack, plan_packing, token_counts
+from zonalis.llm.packing import VOCABULARY, Search, _Packer, audit, encoding, filling, pack, plan_packing, token_counts
 
 
 def fewest(items, capacity):
@@ -75,3 +76,26 @@ def test_tokens_of_whole_texts(spark):
     texts = ["", None, "uno dos", "ñandú · pingüino\n" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
     assert {r["doc"]: r["n_tokens"] for r in token_counts(df, "doc", "text").collect()} == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("capacity", [8192, 16384, 32768, 131072])
+def test_search_is_exact_at_any_capacity(capacity):
+    rnd = random.Random(capacity)
+    for _ in range(10):
+        counts = Counter(rnd.randint(1, capacity) for _ in range(3000)) + Counter({rnd.randint(1, capacity): 700})
+        size = np.repeat(list(counts), list(counts.values()))
+        number = np.concatenate([np.arange(n) for n in counts.values()])
+        plan = plan_packing(counts, capacity)
+        load = np.bincount(Search(plan).container_of(size, number), weights=size)
+        assert len(load) == plan.bins and load.max() <= capacity and load.min() > 0
+
+
+def test_large_containers_and_their_audit(spark):
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(i, rnd.choice([0, 40_000, 131_072, 300_000, rnd.randint(1, 131_072)])) for i in range(1500)], "doc bigint, n_tokens bigint")
+    kinds = spark.createDataFrame([("a", 32_768), ("b", 131_072)], "container string, capacity_tokens int")
+    out = pack(df, "doc", kinds)
+    assert sorted(map(tuple, audit(out, df, kinds, "doc").collect())) == [("a", 1500, True, 0, 0), ("b", 1500, True, 0, 0)]
+    assert all(0 < r["fixed"] <= r["containers"] for r in filling(out, kinds).collect())
+    worse = out.withColumn("container_no", F.lit(0)).where("doc <> 3 or container <> 'a'").withColumn("piece_no", F.col("piece_no") * 2)
+    assert all(not r["whole"] and r["overfull"] == 1 for r in audit(worse, df, kinds, "doc").collect())

@@ -16,17 +16,20 @@ container follows from its number by a search in the plan.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonalis.plans.runtime import checkpointed
 
-#: A public byte-level vocabulary as ranks, and the split pattern that belongs to it (a fixed value).
+#: A public byte-level vocabulary as ranks, and the split pattern that belongs to it (a fixed value).  The driver sends
+#: the file to the executors, which need not have it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts of one size that one task numbers, about.
@@ -40,16 +43,19 @@ def encoding(vocabulary: str = VOCABULARY):
     if vocabulary not in _encodings:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb"))}
+        with open(vocabulary, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _encodings[vocabulary] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[vocabulary]
 
 
 def token_counts(documents: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, n_tokens) of every row, whole texts; a null text has none."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    sent = os.path.basename(vocabulary)
 
     def count(batches):
-        enc = encoding(vocabulary)
+        enc = encoding(SparkFiles.get(sent))
         for batch in batches:
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[key, "n_tokens"])
@@ -207,8 +213,9 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
 
 
 def pack(sizes: DataFrame, key: str, containers: DataFrame, size: str = "n_tokens") -> DataFrame:
-    """(container, key, piece_no, from_token, n_tokens, container_no) of every text in every kind of container.
+    """(container, key, piece_no, from_token, n_tokens, container_no, fixed) of every text in every kind of container.
 
+    `fixed` tells whether the reduction filled the container; its containers come before those of best fit.
     `containers` holds (container, capacity_tokens); kinds without a positive capacity are left out.  A text above the
     capacity is cut into pieces of just the capacity and a rest; no other text is cut.  Texts of size 0 (null texts
     among them) need no room and lie in container 0.  Rows are packed as they come: repeated keys are packed each,
@@ -241,39 +248,71 @@ def pack(sizes: DataFrame, key: str, containers: DataFrame, size: str = "n_token
     offsets = counts.select("container", "n_tokens", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("container", "n_tokens", "_bucket").orderBy(key, "piece_no")
     numbered = pieces.withColumn("_k", F.row_number().over(inside)).join(offsets, ["container", "n_tokens", "_bucket"]).withColumn("_k", F.col("_k") + F.col("_offset") - 1)
-    shared = spark.sparkContext.broadcast({name: _table(p) for name, p in plans.items()})
+    shared = spark.sparkContext.broadcast({name: (Search(p), p.fixed) for name, p in plans.items()})
 
     def place(batches):
         for batch in batches:
             t = pa.Table.from_batches([batch])
             names = t["container"].combine_chunks().dictionary_encode()
             size_, k = t["n_tokens"].to_numpy(), t["_k"].to_numpy()
-            code, out = names.indices.to_numpy(), np.zeros(t.num_rows, np.int64)
+            code, out, fixed = names.indices.to_numpy(), np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows, bool)
             for c, name in enumerate(names.dictionary.to_pylist()):
                 mine = (code == c) & (size_ > 0)
-                start_of, first, start, per = shared.value[name]
                 if mine.any():
-                    at = np.searchsorted(start_of, size_[mine] * 2.0**40 + k[mine], side="right") - 1
-                    out[mine] = start[at] + (k[mine] - first[at]) // per[at]
-            yield from t.drop(["_bucket", "_k", "_offset"]).append_column("container_no", pa.array(out)).to_batches()
+                    table, n_fixed = shared.value[name]
+                    out[mine] = table.container_of(size_[mine], k[mine])
+                    fixed[mine] = out[mine] < n_fixed
+            t = t.drop(["_bucket", "_k", "_offset"]).append_column("container_no", pa.array(out))
+            yield from t.append_column("fixed", pa.array(fixed)).to_batches()
 
     kind = sizes.schema[key].dataType.simpleString()
     ordered = numbered.select("container", key, "piece_no", "from_token", "n_tokens", "_bucket", "_k", "_offset")
-    return ordered.mapInArrow(place, f"container string, `{key}` {kind}, piece_no bigint, from_token bigint, n_tokens bigint, container_no bigint")
+    return ordered.mapInArrow(place, f"container string, `{key}` {kind}, piece_no bigint, from_token bigint, n_tokens bigint, container_no bigint, fixed boolean")
 
 
-def _table(plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs sorted by (size, first number); both fit exactly into one double."""
-    runs = np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 5)
-    return runs[:, 0] * 2.0**40 + runs[:, 1], runs[:, 1], runs[:, 2], runs[:, 4]
+class Search:
+    """A plan's runs in the order of (size, first number).
+
+    All items are numbered through, those of smaller sizes first, so that a run is found by one search of whole numbers,
+    whatever the sizes."""
+
+    def __init__(self, plan: Plan):
+        runs = np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 5)
+        size, self.first, self.start, bins, self.per = runs.T
+        items = bins * self.per
+        self.begin = np.cumsum(items) - items
+        self.sizes, at = np.unique(size, return_index=True)
+        self.base = self.begin[at]
+
+    def container_of(self, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+        item = self.base[np.searchsorted(self.sizes, size)] + number
+        at = np.searchsorted(self.begin, item, side="right") - 1
+        return self.start[at] + (number - self.first[at]) // self.per[at]
 
 
 def filling(packed: DataFrame, containers: DataFrame) -> DataFrame:
-    """(container, capacity_tokens, texts, pieces, tokens, containers, fewest, room_left): how well each kind is filled;
-    `fewest` is the least number of containers that could hold the tokens."""
+    """(container, capacity_tokens, texts, pieces, tokens, containers, fixed, fewest, room_left): how well each kind is
+    filled; `fixed` containers come from the reduction, `fewest` is the least number that could hold the tokens."""
     used = packed.groupBy("container").agg(
-        F.count_if(F.col("piece_no") == 0).alias("texts"), F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), (F.max("container_no") + 1).alias("containers")
-    )
+        F.count_if(F.col("piece_no") == 0).alias("texts"), F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), (F.max("container_no") + 1).alias("containers"),
+        F.coalesce(F.max(F.when(F.col("fixed"), F.col("container_no"))) + 1, F.lit(0)).alias("fixed"),
+    )
     sized = used.join(containers.groupBy("container").agg(F.max("capacity_tokens").alias("capacity_tokens")), "container")
     room = 1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))
     return sized.withColumn("fewest", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn("room_left", F.round(room, 6))
+
+
+def audit(packed: DataFrame, sizes: DataFrame, containers: DataFrame, key: str, size: str = "n_tokens") -> DataFrame:
+    """(container, texts, whole, overfull, split): per kind the number of texts, whether their tokens are all there once,
+    the containers above the capacity, and the texts that were cut although they fit.  Keys must be unique."""
+    kinds = containers.where(F.col("capacity_tokens") > 0).groupBy("container").agg(F.max("capacity_tokens").alias("_capacity"))
+    load = packed.groupBy("container", "container_no").agg(F.sum("n_tokens").alias("_load")).join(F.broadcast(kinds), "container")
+    over = load.groupBy("container").agg(F.count_if(F.col("_load") > F.col("_capacity")).alias("overfull"))
+    text = packed.groupBy("container", key).agg(
+        F.count("*").alias("_pieces"), F.sum("n_tokens").alias("_tokens"), F.max("piece_no").alias("_last"), F.count_distinct("from_token").alias("_begins")
+    ).join(sizes.select(key, F.coalesce(size, F.lit(0)).alias("_size")), key).join(F.broadcast(kinds), "container")
+    sound = (F.col("_tokens") == F.col("_size")) & (F.col("_pieces") == F.col("_last") + 1) & (F.col("_begins") == F.col("_pieces"))
+    per = text.groupBy("container").agg(
+        F.count("*").alias("texts"), F.bool_and(sound).alias("whole"), F.count_if((F.col("_pieces") > 1) & (F.col("_size") <= F.col("_capacity"))).alias("split")
+    )
+    return per.join(over, "container")

@@ -11,7 +11,7 @@ from zonalis.llm.cutoff import cutoffs, kept, latest_scores
 from zonalis.llm.density_peaks import clusters, described
 from zonalis.llm.leakage import leaked
 from zonalis.llm.mojibake import garbled, restored
-from zonalis.llm.packing import filling, pack, token_counts
+from zonalis.llm.packing import audit, filling, pack, token_counts
 from zonalis.llm.quantiles import build_sketches, merge_sketches, quantiles, query_sketches
 from zonalis.plans.runtime import checkpointed, table
 
@@ -100,9 +100,12 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(found, "profile_id").select("group_id", "size", F.array_join("typical", ",").alias("typical"))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpointed(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = checkpointed(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return pack(sizes, "doc_id", table(spark, sf_dir, "container_sizes"))
+    return pack(_sizes(spark, sf_dir), "doc_id", table(spark, sf_dir, "container_sizes"))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +117,12 @@ def p6_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filling(_packed(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
+def p6_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every token is placed once, no container is overfull and no text that fits is cut."""
+    sizes, kinds = _sizes(spark, sf_dir), table(spark, sf_dir, "container_sizes")
+    return audit(checkpointed(pack(sizes, "doc_id", kinds)), sizes, kinds, "doc_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -128,7 +137,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_percentiles": p3_percentiles, "p3_audit": p3_audit, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs,
-    "p6_containers": p6_containers, "p6_filling": p6_filling, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored,
+    "p6_containers": p6_containers, "p6_filling": p6_filling, "p6_audit": p6_audit, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
 _LATEST = """
@@ -155,6 +164,8 @@ ORACLES: dict[str, str] = {
 WITH v AS (SELECT 'slope_mean' AS measure, substr(ageb_id, 3, 3) AS key, slope_mean AS x FROM ageb_topography WHERE slope_mean <> -9999
   UNION ALL SELECT 'v_ntl_median_n', cast(cluster_id AS VARCHAR), v_ntl_median_n FROM cluster_profiles)
 SELECT measure, key, count(*) AS n, true AS within_bound, true AS bound_small FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY measure, key""",
+    "p6_audit": """
+SELECT container, (SELECT count(*) FROM documents) AS texts, true AS whole, 0 AS overfull, 0 AS split FROM container_sizes WHERE capacity_tokens > 0 GROUP BY container""",
     "p5_found": _LATEST + "SELECT run_id, ageb_id FROM latest JOIN cut USING (run_id) WHERE s >= cutoff",
     "p5_cutoffs": _LATEST + """, shown AS (SELECT run_id, max_by(threshold_rf, created_at) AS threshold_rf FROM ageb_suitability_predictions WHERE threshold_rf IS NOT NULL GROUP BY run_id)
 SELECT DISTINCT c.run_id, c.n, c.cutoff, r.r AS kept, r.ties, t.threshold_rf FROM cut c JOIN reach r ON r.run_id = c.run_id AND r.s = c.cutoff LEFT JOIN shown t ON t.run_id = c.run_id""",
