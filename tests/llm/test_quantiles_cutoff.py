@@ -38,6 +38,27 @@ def test_bound_holds_and_days_merge(spark, monkeypatch):
     assert Q.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
 
 
+def test_thousand_files_of_one_key(spark):
+    rnd = random.Random(4)
+    schema = spark.createDataFrame([("k", 0.0)], "g string, v double")
+    one = Q.build_sketches(schema, ["g"], "v").collect()[0].asDict()
+    files, values = [], []
+    for k in range(1000):
+        mine = sorted(rnd.gauss(0, 1) for _ in range(9))
+        values += mine
+        files.append({**one, "sketch": rnd.getrandbits(62), "vals": mine, "n": 9})
+    stored = spark.createDataFrame(files, "g string, sketch bigint, level int, weight bigint, vals array<double>, n bigint, error bigint")
+    nodes, parts = Q.nodes_of(stored, ["g"])
+    assert 16 < parts < 1000 and max(r["count"] for r in nodes.groupBy("_key", "_part").count().collect()) <= Q.MERGE_FAN
+    found = Q.query_sketches(Q.merge_sketches(stored, ["g"]), ["g"], [0.05, 0.5, 0.99]).collect()
+    assert {r["n"] for r in found} == {9000}
+    within(values, [(r["fraction"], r["value"]) for r in found], found[0]["rank_error_bound"])
+    # two builds over different files of a key don't share a number
+    two = Q.build_sketches(schema, ["g"], "v").union(Q.build_sketches(schema, ["g"], "v"))
+    assert two.select("sketch").distinct().count() == 2 and Q.merge_sketches(two, ["g"]).agg(F.sum("n")).first()[0] == 2
+    assert Q.merge_sketches(stored.limit(0), ["g"]).count() == 0
+
+
 def test_sketch_alone_with_small_buffers(monkeypatch):
     monkeypatch.setattr(Q, "SIZE", 16)
     monkeypatch.setattr(Q, "FAN", 5)

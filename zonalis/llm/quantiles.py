@@ -6,12 +6,14 @@ moves the rank of any value by at most half the weight of its result; the sum of
 sketch and bounds the rank error of every answer.  Since only buffers of equal weight collapse, the collapses form a
 tree of depth log_FAN(n / SIZE), and the bound is about n * depth / (2 * SIZE) ranks.
 
-A sketch is a set of ordinary rows (keys, level, values, n, error) and can be stored, united with sketches of other
-days or files and merged: merge_sketches() takes any union.  Merging is itself scheduled as a tree, so no task ever
-holds more than MERGE_FAN partial sketches of one key.
+A sketch is a set of ordinary rows (keys, sketch, level, values, n, error), `sketch` a number of its own, and can be
+stored, united with sketches of other days or files and merged: merge_sketches() takes any union.  Merging is itself
+scheduled as a tree: its first round spreads a key's sketches by their numbers over nodes of MERGE_FAN / 4 on average,
+and every further round joins MERGE_FAN nodes.
 """
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -153,18 +155,24 @@ def _key_of(keys: list[str]) -> Column:
     return F.to_json(F.struct(*keys))
 
 
+def _merge_nodes(partial: DataFrame) -> DataFrame:
+    """One sketch per key and _part."""
+    return partial.groupBy("_key", "_part").applyInArrow(_merge, _OUT_DDL)
+
+
 def _merge_tree(partial: DataFrame, parts: int) -> DataFrame:
+    """One sketch per key out of those of the parts 0, 1, ... parts - 1; a task merges those of MERGE_FAN parts."""
     while parts > 1:
-        node = F.floor(F.col("_part") / MERGE_FAN).cast("int")
-        partial = partial.withColumn("_node", node).groupBy("_key", "_node").applyInArrow(lambda t: _merge(t.drop(["_node"])), _OUT_DDL)
-        partial = partial.withColumn("_part", F.floor(F.col("_part") / MERGE_FAN).cast("int"))
+        partial = _merge_nodes(partial.withColumn("_part", F.floor(F.col("_part") / MERGE_FAN).cast("int")))
         parts = math.ceil(parts / MERGE_FAN)
     return partial
 
 
 def _unkeyed(df: DataFrame, keys: list[str], types: str) -> DataFrame:
+    """The sketches with their keys as columns and a number that no sketch of another call shares."""
     parsed = df.withColumn("_k", F.from_json("_key", types, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}))
-    return parsed.select(*[F.col(f"_k.`{k}`").alias(k) for k in keys], *[c for c in df.columns if c not in ("_key", "_part")])
+    number = F.xxhash64(F.lit(uuid.uuid4().hex), "_key").alias("sketch")
+    return parsed.select(*[F.col(f"_k.`{k}`").alias(k) for k in keys], number, *[c for c in df.columns if c not in ("_key", "_part")])
 
 
 def _ddl(df: DataFrame, keys: list[str]) -> str:
@@ -172,7 +180,7 @@ def _ddl(df: DataFrame, keys: list[str]) -> str:
 
 
 def build_sketches(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One sketch per key, as rows (keys, level, weight, vals, n, error).
+    """One sketch per key, as rows (keys, sketch, level, weight, vals, n, error).
 
     Null and NaN values aren't counted; a key without other values has no sketch.  Null keys form a key of their own.
     Repeated rows count as often as they occur.  Columns other than the keys and the value are neither read nor kept,
@@ -184,14 +192,23 @@ def build_sketches(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return _unkeyed(merged, keys, _ddl(df, keys))
 
 
-def merge_sketches(sketches: DataFrame, keys: list[str], sources: int = MERGE_FAN**2) -> DataFrame:
+def nodes_of(sketches: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """The sketches by (_key, _part), and over how many parts the first round of merging spreads those of a key.
+
+    Counts the sketches of the largest key; reads them once for that."""
+    # n stands on the first row of a sketch
+    most = sketches.where("n > 0").groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    nodes = max(1, math.ceil(4 * most / MERGE_FAN))
+    return sketches.select(_key_of(keys).alias("_key"), F.pmod("sketch", F.lit(nodes)).cast("int").alias("_part"), "level", "weight", "vals", "n", "error"), nodes
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """One sketch per key out of any union of sketches, e.g. of days or files; `keys` may be coarser than theirs.
 
-    `sources` is the number of hash nodes the first round of the merging tree spreads a key's partial sketches over.
-    """
-    node = F.pmod(F.xxhash64(*[c for c in sketches.columns if c not in ("vals",)]), F.lit(max(1, min(sources, MERGE_FAN**2))))
-    partial = sketches.select(_key_of(keys).alias("_key"), node.cast("int").alias("_part"), "level", "weight", "vals", "n", "error")
-    return _unkeyed(_merge_tree(partial, max(2, sources)), keys, _ddl(sketches, keys))
+    The same sketch must not be united with itself: its number says which rows belong together.  Sketches are meant to
+    be stored, or checkpointed, before: they are read twice."""
+    partial, nodes = nodes_of(sketches, keys)
+    return _unkeyed(_merge_tree(_merge_nodes(partial), nodes), keys, _ddl(sketches, keys))
 
 
 def query_sketches(sketches: DataFrame, keys: list[str], fractions: list[float]) -> DataFrame:

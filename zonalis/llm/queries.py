@@ -31,7 +31,7 @@ def _nights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and percentiles of both columns per group; the slopes' sketches are built per loading day and then merged."""
-    days = build_sketches(_slopes(spark, sf_dir), ["key", "day"], "value")
+    days = checkpointed(build_sketches(_slopes(spark, sf_dir), ["key", "day"], "value"))  # as they would be kept from day to day
     slopes = query_sketches(merge_sketches(days, ["key"]), ["key"], FRACTIONS).withColumn("measure", F.lit("slope_mean"))
     nights = quantiles(_nights(spark, sf_dir), ["key"], "value", FRACTIONS).withColumn("measure", F.lit("v_ntl_median_n"))
     return slopes.unionByName(nights)
