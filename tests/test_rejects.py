@@ -25,6 +25,7 @@ def test_good_and_bad_records(spark):
     bad = {
         record(denue_id=""): "empty:denue_id", record(denue_id="0"): "out_of_range:denue_id", record(denue_id="2147483648"): "out_of_range:denue_id", record(denue_id="1.0"): "not_integer:denue_id",
         record(latitud="90.0001"): "out_of_range:latitud", record(longitud="NaN"): "not_decimal:longitud", record(latitud="1e400"): "out_of_range:latitud", record(latitud="٢٠"): "not_decimal:latitud",
+        record(denue_id='"12\n"'): "not_integer:denue_id", record(latitud='"20.5\n"'): "not_decimal:latitud", record(denue_id="12\t"): "not_integer:denue_id",
         record(clee='a"b'): "quoting:clee", record(clee='"a"b'): "quoting:clee", record(fecha_alta='"open'): "quoting:fecha_alta", record() + ",x": "fields:16", "": "fields:1",
     }
     out = {r["raw_record"]: r["reasons"] for r in rejected(frame(spark, [*good, *bad])).collect()}
@@ -52,6 +53,12 @@ def test_loaded_values(spark):
     assert abs(r["x_6372"] - round(r["x_6372"] * 8) / 8) == 0
 
 
+def test_plane_coordinates_up_to_the_poles(spark):
+    raw = frame(spark, [record(latitud=lat) for lat in ("90", "-89.99", "-90", "0")])
+    found = {r["latitud"]: r["x_6372"] for r in load_denue(raw, rejected(raw)).collect()}
+    assert found.pop(-90.0) is None and all(x is not None for x in found.values()) and len(found) == 3
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.text(st.sampled_from('ab,"\n\x01 é'), max_size=6), min_size=1, max_size=5), min_size=1, max_size=8))
 def test_round_trip_of_quoted_fields(spark, table):

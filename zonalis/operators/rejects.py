@@ -38,7 +38,8 @@ DENUE_RULES = (
     Rule("fecha_alta"),
 )
 
-DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: Whole values: unlike $, \z doesn't match before a final line feed.
+INTEGER, DECIMAL = r"\A[0-9]+\z", r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 _ESC, _ESC_SELF, _ESC_COMMA = "\u0001", "\u0001a", "\u0001b"
 
 
@@ -79,7 +80,7 @@ def _judge(n_rules: int) -> Column:
     v = F.trim("value")
     number = F.try_cast(v, "double") if hasattr(F, "try_cast") else F.expr("try_cast(trim(value) as double)")
     in_range = F.coalesce(number.between(F.col("low"), F.col("high")), F.lit(False))
-    shape = F.when(F.col("kind") == "integer", v.rlike("^[0-9]+$")).when(F.col("kind") == "decimal", v.rlike(DECIMAL)).otherwise(F.lit(True))
+    shape = F.when(F.col("kind") == "integer", v.rlike(INTEGER)).when(F.col("kind") == "decimal", v.rlike(DECIMAL)).otherwise(F.lit(True))
     return (
         F.when((F.col("pos") == 0) & (F.col("n_fields") != n_rules), F.concat(F.lit("fields:"), F.col("n_fields")))
         .when(~F.col("sound"), F.concat(F.lit("quoting:"), F.coalesce("column", F.lit("beyond"))))
@@ -128,7 +129,7 @@ def load_denue(raw: DataFrame, bad: DataFrame) -> DataFrame:
     """The good records in the schema of denue, beside their record_id and source_file.
 
     Texts stay as delivered; blank coordinates become null, and with them geom and the plane coordinates, which are
-    rounded to the 1/8 m the stored points have.
+    rounded to the 1/8 m the stored points have.  The south pole alone has no place in the plane (the cone opens there).
     """
     good = loadable(raw, bad).withColumn("_c", F.transform(cells(F.col("raw_record")), lambda c: c["value"]))
     typed = []
@@ -142,7 +143,7 @@ def load_denue(raw: DataFrame, bad: DataFrame) -> DataFrame:
     flat = good.select("record_id", "source_file", "received_at", *typed)
     both = F.col("latitud").isNotNull() & F.col("longitud").isNotNull()
     x, y = forward(F.col("longitud"), F.col("latitud"), EPSG_6372)
-    eighth = lambda c: F.when(both & F.col("latitud").between(-89.9, 89.9), F.round(c * 8) / 8)
+    eighth = lambda c: F.when(both & (F.col("latitud") > -90), F.round(c * 8) / 8)
     return flat.select(
         "record_id", "source_file", *[r.column for r in DENUE_RULES],
         F.when(both, F.struct(F.col("longitud").alias("x"), F.col("latitud").alias("y"))).alias("geom"),

@@ -35,18 +35,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the one named in `spark.checkpoint.dir`; only a session that names none (tests) gets a folder of
-    its own.
+    The folder is the one named in `spark.checkpoint.dir`; only a local session that names none (tests) gets a folder
+    of its own.  On a cluster that would be a folder the executors don't share, so there it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="zonalis-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="zonalis-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, key_rows: int, limit: int = 100_000) -> DataFrame:
-    """Broadcast hint only where the caller has counted the rows and the count is within `limit`."""
-    return F.broadcast(df) if key_rows <= limit else df
+#: Rows up to which a side is broadcast, and parts a hot key is split into beyond that.
+BROADCAST_ROWS, SALTS = 100_000, 32
+
+
+def keyed_join(rows: DataFrame, per_key: DataFrame, key: str, per_key_rows: int, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows` beside the row of `per_key` with the same `key` (unique there), however many rows share a key.
+
+    `per_key_rows`, a count or a bound the caller has, decides: within `limit` per_key is broadcast and the rows stay
+    where they are; beyond it every row of per_key is repeated SALTS times and the rows of a key are spread over them.
+    """
+    if per_key_rows <= limit:
+        return rows.join(F.broadcast(per_key), key, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    repeated = per_key.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonalis.functions.projection import EPSG_6372
 from zonalis.operators.quadtree_join import point_targets, quadtree_join, region_targets
-from zonalis.operators.rejects import load_denue, rejected
+from zonalis.operators.rejects import DENUE_RULES, load_denue, rejected
 from zonalis.plans.runtime import table
 
 #: Metres within which a stop serves an establishment.
@@ -56,6 +57,46 @@ WITH cut AS (
   FROM cells)
 """
 
+_NAMES = "[" + ", ".join(f"'{r.column}'" for r in DENUE_RULES) + "]"
+#: Fields by toggling quotes, as a record with a quoting fault still has them, and each field's error.
+_REASONS = f"""
+WITH recs AS (
+  SELECT record_id, raw_record, CASE WHEN right(coalesce(raw_record, ''), 1) = chr(13) THEN left(raw_record, length(raw_record) - 1) ELSE coalesce(raw_record, '') END AS rec FROM denue_raw
+), split AS (
+  SELECT *, string_split(array_to_string(list_transform(string_split(rec, chr(34)), lambda s, i: CASE WHEN i % 2 = 0 THEN replace(s, ',', chr(2)) ELSE s END), chr(34)), ',') AS parts FROM recs
+), fields AS (
+  SELECT record_id, raw_record, len(parts) AS n, unnest(range(len(parts))) AS pos, unnest(list_transform(parts, lambda p: replace(p, chr(2), ','))) AS c FROM split
+), judged AS (
+  SELECT *, CASE WHEN left(c, 1) = chr(34) THEN length(c) >= 2 AND right(c, 1) = chr(34) AND NOT contains(replace(substring(c, 2, greatest(length(c) - 2, 0)), chr(34) || chr(34), ''), chr(34))
+    ELSE NOT contains(c, chr(34)) END AS sound FROM fields
+), valued AS (
+  SELECT *, trim(CASE WHEN sound AND left(c, 1) = chr(34) THEN replace(substring(c, 2, length(c) - 2), chr(34) || chr(34), chr(34)) ELSE c END) AS v,
+    coalesce({_NAMES}[pos + 1], 'beyond') AS name FROM judged
+), errors AS (
+  SELECT record_id, raw_record, CASE WHEN pos = 0 AND n <> 15 THEN 'fields:' || n WHEN NOT sound THEN 'quoting:' || name WHEN n <> 15 THEN NULL
+    WHEN pos = 0 AND v = '' THEN 'empty:denue_id' WHEN pos = 0 AND NOT regexp_full_match(v, '[0-9]+') THEN 'not_integer:denue_id'
+    WHEN pos = 0 AND NOT coalesce(try_cast(v AS DOUBLE) BETWEEN 1 AND 2147483647, false) THEN 'out_of_range:denue_id'
+    WHEN pos IN (12, 13) AND v <> '' AND NOT regexp_full_match(v, '{_NUMBER}') THEN 'not_decimal:' || name
+    WHEN pos IN (12, 13) AND v <> '' AND NOT coalesce(abs(try_cast(v AS DOUBLE)) <= CASE pos WHEN 12 THEN 90 ELSE 180 END, false) THEN 'out_of_range:' || name END AS e FROM valued
+)
+SELECT record_id, array_to_string(list_sort(list_distinct(list(e))), '; ') AS reason FROM errors WHERE e IS NOT NULL GROUP BY record_id, raw_record
+"""
+
+
+def _sql_plane(lon: str, lat: str) -> tuple[str, str]:
+    """The conic projection written out."""
+    p, es = EPSG_6372, f"({EPSG_6372.ecc!r} * sin(radians({lat})))"
+    rho = f"({p.scale!r} * power(tan(pi() / 4 - radians({lat}) / 2) / power((1 - {es}) / (1 + {es}), {p.ecc / 2!r}), {p.cone!r}))"
+    theta = f"({p.cone!r} * radians({lon} - ({p.lon0!r})))"
+    return f"{rho} * sin({theta}) + {p.false_east!r}", f"{p.rho0 + p.false_north!r} - {rho} * cos({theta})"
+
+
+_X, _Y = _sql_plane("longitud", "latitud")
+_LOADED = f"""{_PARSED}, loaded AS (SELECT record_id, source_file, trim(c0)::INTEGER AS denue_id,
+  {", ".join(f"c{i} AS {r.column}" for i, r in enumerate(DENUE_RULES) if r.kind == "text")},
+  nullif(trim(c12), '')::DOUBLE AS latitud, nullif(trim(c13), '')::DOUBLE AS longitud, received_at AS cargado_en FROM judged WHERE good)
+SELECT *, CASE WHEN latitud > -90 THEN round(({_X}) * 8) / 8 END AS x_6372, CASE WHEN latitud > -90 THEN round(({_Y}) * 8) / 8 END AS y_6372 FROM loaded"""
+
 _EDGES = """
 WITH pts AS (SELECT DISTINCT denue_id, x_6372 AS x, y_6372 AS y FROM denue WHERE denue_id IS NOT NULL AND x_6372 IS NOT NULL AND y_6372 IS NOT NULL AND NOT isnan(x_6372) AND NOT isnan(y_6372)),
 stops AS (SELECT DISTINCT stop_id, geom.x AS x, geom.y AS y FROM gtfs_stops WHERE geom.x IS NOT NULL AND geom.y IS NOT NULL),
@@ -73,5 +114,7 @@ SELECT * FROM near UNION SELECT DISTINCT denue_id, cvegeo AS other_id FROM cross
 
 ORACLES: dict[str, str] = {
     "p1_found": f"{_PARSED} SELECT record_id FROM judged WHERE NOT good",
+    "p1_rejects": _REASONS,
+    "p1_loaded": _LOADED,
     "p2_found": _EDGES,
 }
