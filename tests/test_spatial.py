@@ -47,6 +47,17 @@ def test_against_brute_force_with_a_hot_spot(spark, group):
     assert any(r[0] >= 250 for r in got)
 
 
+def test_groups_keep_their_size_at_any_number_of_points():
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.uniform(0, 1e5, (20_000, 2)), np.full((10_000, 2), 777.0)])
+    for n in (30_000, 10**8, 10**10):
+        tree = QJ.tree_of(at, n)
+        cells = np.clip(np.floor((at - [tree.x0, tree.y0]) / (tree.size / 2**QJ.BITS)), 0, 2**QJ.BITS - 1).astype(np.int64)
+        leaf = np.searchsorted(tree.starts, QJ._spread_np(cells[:, 0]) | (QJ._spread_np(cells[:, 1]) << 1), side="right") - 1
+        held = np.bincount(leaf, minlength=len(tree.starts)) * (n / len(at)) / tree.salts
+        assert held.max() <= 2 * QJ.GROUP_POINTS and len(tree.starts) <= QJ.MAX_LEAVES
+
+
 def test_empty_sides(spark):
     p, z = points(spark, [(1, 1)]), zones(spark, [("L", [L_SHAPE])])
     assert QJ.quadtree_join(p.limit(0), "pid", "x", "y", QJ.region_targets(z, "cvegeo", "geom")).count() == 0

@@ -6,8 +6,8 @@ co-grouped Arrow function: a bulk-loaded R-tree over the leaf's targets is probe
 candidates are tested exactly.  A pair is reported only in the leaf that holds its reference point - the lower left
 corner of the intersection of both boxes - so no replica reports it twice; for points that corner is the point itself.
 
-Leaves that stay heavy (many points on one spot can't be cut further) are salted: their points are split over as many
-groups as the sample says are needed and their targets go to each of these.
+Leaves that stay heavy (many points on one spot can't be cut further, or there are more points than leaves can hold) are
+salted: their points are split over as many groups as keep each near GROUP_POINTS and their targets go to each of these.
 """
 
 from __future__ import annotations
@@ -25,11 +25,12 @@ from zonalis.functions.rtree import StrTree, edge_distance2, edges_of, inside
 
 #: Bits of a cell number along one axis.
 BITS = 16
-#: Rows of the sample that shapes the tree: bounds what the driver holds, whatever the size of the input.
-SAMPLE = 20_000
-#: Points a group should hold, and the most leaves.
+#: Rows of the sample that shapes the tree: as many per wanted group, within these bounds, so that what the driver
+#: holds is bounded, whatever the size of the input.
+SAMPLE, SAMPLE_PER_GROUP, SAMPLE_MOST = 20_000, 16, 500_000
+#: Points a group should hold, and the most leaves.  Points beyond that are spread by salts alone.
 GROUP_POINTS = 50_000
-MAX_LEAVES = 4096
+MAX_LEAVES = 65_536
 #: Points probed at once inside a group.
 PROBE = 4096
 
@@ -101,10 +102,15 @@ def _spread_np(v: np.ndarray) -> np.ndarray:
 
 
 def plan_tree(points: DataFrame, x: str, y: str, group_points: int = GROUP_POINTS) -> Tree:
-    """The quadtree over a sample of about SAMPLE rows, whatever the number of partitions."""
+    """The quadtree over a sample that grows with the number of groups, up to SAMPLE_MOST rows."""
     n = points.count()
-    sample = points.select(x, y).sample(min(1.0, SAMPLE / max(1, n)), seed=17).collect()
-    at = np.array([(r[0], r[1]) for r in sample], dtype=float).reshape(-1, 2)
+    rows = min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PER_GROUP * n // max(1, group_points)))
+    sample = points.select(x, y).sample(min(1.0, rows / max(1, n)), seed=17).toArrow()
+    return tree_of(np.column_stack([sample[c].to_numpy().astype(float) for c in (x, y)]), n, group_points)
+
+
+def tree_of(at: np.ndarray, n: int, group_points: int = GROUP_POINTS) -> Tree:
+    """The quadtree over sampled points that stand for n; a leaf has a salt for every 2 * group_points it stands for."""
     if not len(at):
         return Tree(0.0, 0.0, 1.0, np.zeros(1), np.array([[0, 0, 2**BITS, 2**BITS]]), np.ones(1, int))
     # outliers must not stretch the grid: points beyond the outermost half per mille fall into the border leaves
@@ -113,7 +119,8 @@ def plan_tree(points: DataFrame, x: str, y: str, group_points: int = GROUP_POINT
     x0, y0 = (low + high) / 2 - size / 2
     cells = np.clip(np.floor((at - [x0, y0]) / (size / 2**BITS)), 0, 2**BITS - 1).astype(np.int64)
     codes = np.sort(_spread_np(cells[:, 0]) | (_spread_np(cells[:, 1]) << 1))
-    most = max(group_points / n * len(at), len(at) * 3 / MAX_LEAVES, 4)
+    each = n / len(at)
+    most = max(group_points / each, len(at) * 3 / MAX_LEAVES, 4)
     leaves, todo = [], [(0, 0)]
     while todo:
         start, depth = todo.pop()
@@ -127,7 +134,7 @@ def plan_tree(points: DataFrame, x: str, y: str, group_points: int = GROUP_POINT
     starts = np.array([s for s, _, _ in leaves], dtype=np.int64)
     width = np.array([2 ** (BITS - d) for _, d, _ in leaves])
     cx, cy = _gather(starts), _gather(starts >> 1)
-    salts = np.array([max(1, int(np.ceil(c / (2 * most)))) for _, _, c in leaves])
+    salts = np.array([max(1, int(np.ceil(c * each / (2 * group_points)))) for _, _, c in leaves])
     return Tree(float(x0), float(y0), size, starts, np.column_stack([cx, cy, cx + width, cy + width]), salts)
 
 
@@ -177,8 +184,8 @@ def _boxes(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack(ends[0]), np.column_stack(ends[1])
 
 
-def _probe(point_id: str, out: pa.Schema):
-    measured = "distance" in out.names
+def _probe(point_id: str, carried: list[str], out: pa.Schema, measured: bool):
+    of_point = [point_id, *carried]
 
     def run(points: pa.Table, targets: pa.Table) -> pa.Table:
         if not points.num_rows or not targets.num_rows:
@@ -225,36 +232,38 @@ def _probe(point_id: str, out: pa.Schema):
         n = max(1, len(names.dictionary))
         order = np.argsort(far, kind="stable")
         pair, nearest = np.unique(p[order].astype(np.int64) * n + name[order], return_index=True)
-        columns = {point_id: points[point_id].take(pa.array(pair // n)), "other_id": names.dictionary.take(pa.array(pair % n))}
+        columns = [points[c].take(pa.array(pair // n)) for c in of_point] + [names.dictionary.take(pa.array(pair % n))]
         if measured:
-            columns["distance"] = pa.array(np.sqrt(far[order][nearest]))
-        return pa.table(columns).cast(out)
+            columns.append(pa.array(np.sqrt(far[order][nearest])))
+        return pa.table(columns, names=out.names).cast(out)
 
     return run
 
 
-def quadtree_join(points: DataFrame, point_id: str, x: str, y: str, targets: DataFrame, group_points: int = GROUP_POINTS, distances: bool = False) -> DataFrame:
-    """(point_id, other_id), and the distance if asked for (0 inside a region), of every point and every target it matches, each once for each (point_id, x, y).
+def quadtree_join(
+    points: DataFrame, point_id: str, x: str, y: str, targets: DataFrame, group_points: int = GROUP_POINTS, distances: bool = False, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(point_id, carried columns, other_id), and the distance if asked for (0 inside a region), of every point and every
+    target it matches, each once for each (point_id, carried columns, x, y).
 
-    Rows of `points` without an id or without finite coordinates match nothing; repeated rows count once; other
-    columns are ignored.  `targets` come from point_targets() and region_targets(), united as needed: one pass over
-    the points serves them all.  Several targets of one other_id count as one.  Empty tables give no pairs.
+    Rows of `points` without an id or without finite coordinates match nothing; repeated rows count once; columns that
+    aren't in `carry` are ignored.  `targets` come from point_targets() and region_targets(), united as needed: one pass
+    over the points serves them all.  Several targets of one other_id count as one.  Empty tables give no pairs.
     """
     at = (
-        points.select(F.col(point_id), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
+        points.select(point_id, *carry, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
         .where(F.col(point_id).isNotNull() & finite("_px") & finite("_py"))
     )
     tree = plan_tree(at, "_px", "_py", group_points)
-    salts = F.array(*[F.lit(int(s)) for s in tree.salts]) if (tree.salts > 1).any() else None
+    # one literal however many leaves there are
+    salts = F.split(F.lit(",".join(map(str, tree.salts.tolist()))), ",").cast("array<int>") if (tree.salts > 1).any() else None
+    # combined before the shuffle: one point may make up much of the input, and its rows would all meet in one leaf and salt
     placed = tree.leaf_of(at.distinct(), "_px", "_py", "leaf")
     salt = F.pmod(F.xxhash64(point_id), F.element_at(salts, F.col("leaf") + 1)).cast("int") if salts is not None else F.lit(0)
     placed = placed.withColumn("salt", salt)
     schema = targets.select(*TARGET_FIELDS).schema
     copies = targets.select(*TARGET_FIELDS).mapInArrow(_replicate(tree), schema.simpleString()[7:-1] + ",leaf int,salt int")
-    id_type = points.schema[point_id].dataType
-    out = pa.schema([pa.field(point_id, to_arrow_type(id_type)), pa.field("other_id", pa.string()), *[pa.field("distance", pa.float64())] * distances])
-    return (
-        placed.groupBy("leaf", "salt")
-        .cogroup(copies.groupBy("leaf", "salt"))
-        .applyInArrow(_probe(point_id, out), f"`{point_id}` {id_type.simpleString()}, other_id string" + ", distance double" * distances)
-    )
+    kept = [points.schema[c] for c in (point_id, *carry)]
+    fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in kept] + [pa.field("other_id", pa.string()), *[pa.field("distance", pa.float64())] * distances]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", other_id string" + ", distance double" * distances
+    return placed.groupBy("leaf", "salt").cogroup(copies.groupBy("leaf", "salt")).applyInArrow(_probe(point_id, list(carry), pa.schema(fields), distances), ddl)

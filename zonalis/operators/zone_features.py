@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from zonalis.functions.geometry import area
 from zonalis.functions.scalars import JOBS_BY_CLASS, SECTOR_PREFIXES, SMALL_CLASSES, first_prefix, mapped, number_or, safe_ratio, zfill
 from zonalis.operators.quadtree_join import point_targets, quadtree_join, region_targets
+from zonalis.plans.runtime import checkpointed
 
 #: Metres of the near and far ring around a zone, and beyond which a stop doesn't count.
 NEAR, FAR, LIMIT = 400.0, 800.0, 2000.0
@@ -25,9 +26,9 @@ def located(establishments: DataFrame) -> DataFrame:
     return last.select("denue_id", "_e.scian_codigo", "_e.estrato_personal", "_e.x_6372", "_e.y_6372").where("x_6372 is not null and not isnan(x_6372)")
 
 
-def zones_of(points: DataFrame, key: str, x: str, y: str, zones: DataFrame, closed: bool = False) -> DataFrame:
-    """(key, ageb_id) of the points inside zones; with `closed` those on an edge too."""
-    found = quadtree_join(points, key, x, y, region_targets(zones, "cvegeo", "geom", *([0.0] if closed else [])))
+def zones_of(points: DataFrame, key: str, x: str, y: str, zones: DataFrame, closed: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, ageb_id) of the points inside zones; with `closed` those on an edge too."""
+    found = quadtree_join(points, key, x, y, region_targets(zones, "cvegeo", "geom", *([0.0] if closed else [])), carry=carry)
     return found.withColumnRenamed("other_id", "ageb_id")
 
 
@@ -53,9 +54,10 @@ def accessibility(stops: DataFrame, zones: DataFrame) -> DataFrame:
 def employers(establishments: DataFrame, zones: DataFrame, largest: int = 500) -> DataFrame:
     """(denue_id, ageb_id, sector, jobs) of the establishments above the small classes, where a class is known."""
     jobs = JOBS_BY_CLASS | {"251 y más personas": largest}
-    big = located(establishments).where(~F.col("estrato_personal").isin(*SMALL_CLASSES))
-    labelled = big.select("denue_id", first_prefix(F.col("scian_codigo"), SECTOR_PREFIXES).alias("sector"), mapped(F.col("estrato_personal"), jobs).alias("jobs"))
-    return zones_of(big, "denue_id", "x_6372", "y_6372", zones, closed=True).join(labelled, "denue_id")
+    # kept once: the join's count, sample and probe read it
+    big = checkpointed(located(establishments).where(~F.col("estrato_personal").isin(*SMALL_CLASSES)))
+    labelled = big.withColumns({"sector": first_prefix(F.col("scian_codigo"), SECTOR_PREFIXES), "jobs": mapped(F.col("estrato_personal"), jobs)})
+    return zones_of(labelled, "denue_id", "x_6372", "y_6372", zones, closed=True, carry=("sector", "jobs"))
 
 
 def economic_activity(establishments: DataFrame, zones: DataFrame) -> DataFrame:
@@ -85,10 +87,8 @@ def master(establishments: DataFrame, stops: DataFrame, zones: DataFrame, measur
 
 def place_features(establishments: DataFrame, zones: DataFrame, entropy) -> DataFrame:
     """Densities per km2 of establishments, retail and services, jobs, and the entropy of land use, of every zone."""
-    at = located(establishments)
-    inside = zones_of(at, "denue_id", "x_6372", "y_6372", zones).join(
-        at.select("denue_id", first_prefix(F.col("scian_codigo"), SECTOR_PREFIXES).alias("sector"), mapped(F.col("estrato_personal"), JOBS_BY_CLASS).alias("jobs")), "denue_id"
-    )
+    at = checkpointed(located(establishments)).withColumns({"sector": first_prefix(F.col("scian_codigo"), SECTOR_PREFIXES), "jobs": mapped(F.col("estrato_personal"), JOBS_BY_CLASS)})
+    inside = zones_of(at, "denue_id", "x_6372", "y_6372", zones, carry=("sector", "jobs"))
     per = inside.groupBy("ageb_id").agg(
         F.count("*").alias("units"), F.sum("jobs").alias("jobs"), F.count_if(F.col("sector") == "retail").alias("retail"),
         F.count_if(F.col("sector").isin("health", "education", "government")).alias("service"),
@@ -104,9 +104,9 @@ def stop_features(establishments: DataFrame, stops: DataFrame) -> DataFrame:
     """(stop_id, stops_400m, employment_proxy): distinct stops within NEAR of each stop, itself included, and the jobs there."""
     at = stop_points(stops)
     near = quadtree_join(at, "stop_id", "x", "y", point_targets(at, "stop_id", F.col("x"), F.col("y"), NEAR)).groupBy("stop_id").agg(F.count_distinct("other_id").alias("stops_400m"))
-    emp = located(establishments).where(~F.col("estrato_personal").isin(*SMALL_CLASSES))
-    pairs = quadtree_join(emp, "denue_id", "x_6372", "y_6372", point_targets(at, "stop_id", F.col("x"), F.col("y"), NEAR))
-    jobs = pairs.join(emp.select("denue_id", mapped(F.col("estrato_personal"), JOBS_BY_CLASS).alias("jobs")), "denue_id").groupBy(F.col("other_id").alias("stop_id")).agg(F.sum("jobs").alias("employment_proxy"))
+    emp = checkpointed(located(establishments).where(~F.col("estrato_personal").isin(*SMALL_CLASSES)).withColumn("jobs", mapped(F.col("estrato_personal"), JOBS_BY_CLASS)))
+    pairs = quadtree_join(emp, "denue_id", "x_6372", "y_6372", point_targets(at, "stop_id", F.col("x"), F.col("y"), NEAR), carry=("jobs",))
+    jobs = pairs.groupBy(F.col("other_id").alias("stop_id")).agg(F.sum("jobs").alias("employment_proxy"))
     return at.select("stop_id").distinct().join(near, "stop_id", "left").join(jobs, "stop_id", "left").na.fill(0)
 
 
@@ -115,10 +115,8 @@ def node_features(crossings: DataFrame, edges: DataFrame, zones: DataFrame) -> D
 
     `crossings` holds (node, street_count, x, y), `edges` (edge, length, x, y) with the edge's midpoint, which decides
     its zone; crossings and edges on a zone's border belong to none."""
-    n = zones_of(crossings, "node", "x", "y", zones).join(crossings.select("node", "street_count").distinct(), "node").groupBy("ageb_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("street_count") >= 4).alias("n4")
-    )
-    e = zones_of(edges, "edge", "x", "y", zones).join(edges.select("edge", "length"), "edge").groupBy("ageb_id").agg(F.sum("length").alias("metres"))
+    n = zones_of(crossings, "node", "x", "y", zones, carry=("street_count",)).groupBy("ageb_id").agg(F.count("*").alias("n"), F.count_if(F.col("street_count") >= 4).alias("n4"))
+    e = zones_of(edges, "edge", "x", "y", zones, carry=("length",)).groupBy("ageb_id").agg(F.sum("length").alias("metres"))
     sized = zones.where("cvegeo is not null").groupBy(F.col("cvegeo").alias("ageb_id")).agg((F.max(area(F.col("geom"))) / 1e6).alias("km2"))
     joined = sized.join(n, "ageb_id", "left").join(e, "ageb_id", "left").na.fill(0)
     return joined.select("ageb_id", safe_ratio(F.col("n"), F.col("km2")).alias("n_intersections"), safe_ratio(F.col("n4"), F.col("km2")).alias("n_intersection_density"),
@@ -143,13 +141,9 @@ def people_features(census: DataFrame, indices: DataFrame, sizes: DataFrame) ->
     )
 
 
-def indices_of_both(margin: DataFrame, lag: DataFrame) -> DataFrame:
-    """Both indices per zone, zones of either side kept."""
-    return margin.join(lag, "cve_ageb", "full")
-
-
-def vitality_features(lights: DataFrame, ridership: DataFrame, zones: DataFrame, year: int, like: str = "%pasajero%") -> DataFrame:
-    """(ageb_id, v_ntl_median, v_ridership_annual): a zone's median light, and the year's ridership of its municipality."""
-    total = ridership.where((F.col("anio") == year) & F.col("variable").ilike(like)).groupBy(F.concat(F.lit("14"), zfill(F.col("cve_mun").cast("string"), 3)).alias("municipality")).agg(F.sum("valor").alias("v_ridership_annual"))
+def vitality_features(lights: DataFrame, ridership: DataFrame, zones: DataFrame, year: int, like: str = "%pasajero%", state: str = "14") -> DataFrame:
+    """(ageb_id, v_ntl_median, v_ridership_annual): a zone's median light, and the year's ridership of its municipality,
+    whose number is one of `state`.  Zones without either count 0."""
+    total = ridership.where((F.col("anio") == year) & F.col("variable").ilike(like)).groupBy(F.concat(F.lit(state), zfill(F.col("cve_mun").cast("string"), 3)).alias("municipality")).agg(F.sum("valor").alias("v_ridership_annual"))
     ids = zone_ids(zones).withColumn("municipality", F.left("ageb_id", F.lit(5)))
     return ids.join(lights.select("ageb_id", F.col("median").alias("v_ntl_median")), "ageb_id", "left").join(total, "municipality", "left").drop("municipality").na.fill(0)
