@@ -1,11 +1,13 @@
 import math
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from zonalis.llm import quantiles as Q
 from zonalis.llm.cutoff import cutoffs, kept, latest_scores
+from zonalis.plans.runtime import keyed_join
 
 
 def within(values, answers, bound):
@@ -85,7 +87,10 @@ def test_sketch_alone_with_small_buffers(monkeypatch):
     within(values, answers[::37], whole.error)
 
 
-def test_cutoffs_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_cutoffs_against_brute_force(spark, monkeypatch, limit):
+    # without a broadcast the join is salted
+    monkeypatch.setattr("zonalis.llm.cutoff.keyed_join", lambda *a: keyed_join(*a, limit=limit))
     rnd = random.Random(3)
     data = []
     for run, n in (("big", 3000), ("small", 5), ("ties", 400), ("none", 0), ("untargeted", 9)):

@@ -1,8 +1,9 @@
 """Score cutoffs that keep a target share of each source's records.
 
 A rank-error-bounded sketch per source (quantiles.py) brackets the cutoff between two scores; a second pass over the
-records counts what lies above the bracket and the scores and ties inside it, which makes the cutoff exact.  Neither
-pass shuffles the records: the sketches are built per partition and merged, the counts are combined per partition.
+records counts what lies above the bracket and the scores and ties inside it, which makes the cutoff exact.  Sketches
+are built per partition and merged, counts combined per partition.  The records meet the few values of their source by
+a broadcast, so that they aren't shuffled; with more sources than are broadcast, hot ones are spread over salts.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonalis.llm.quantiles import build_sketches
+from zonalis.plans.runtime import checkpointed, keyed_join
 
 
 def latest_scores(scores: DataFrame, keys: list[str], score: str, at: str) -> DataFrame:
@@ -48,19 +50,20 @@ def cutoffs(latest: DataFrame, source: str, score: str, targets: DataFrame, perc
     of its n records reach, how many reach it and how many have just that score.
 
     Sources without a target or without records have no row; a share of 0 keeps those with the top score, one above
-    100 counts as 100.  Repeated targets of a source count as the largest.
+    100 counts as 100.  Repeated targets of a source count as the largest.  The result is checkpointed.
     """
     bracket = brackets(latest, source, score, targets, percent)
-    inside = latest.join(bracket, source).where(F.col(score) >= F.col("low"))
+    # no more sources than rows of targets
+    inside = keyed_join(latest.select(source, score), bracket, source, targets.count()).where(F.col(score) >= F.col("low"))
     clipped = F.when(F.col(score) > F.col("high"), F.lit(None)).otherwise(F.col(score))
     counts = inside.groupBy(source, "n", "need", clipped.alias("_score")).agg(F.count("*").alias("_n"))
     # a null score stands for all above the bracket; within it there are as many scores as the sketch's bound lets be
     down = Window.partitionBy(source).orderBy(F.col("_score").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     reach = counts.withColumn("_reach", F.sum("_n").over(down)).where(F.col("_score").isNotNull() & (F.col("_reach") >= F.col("need")))
     best = reach.groupBy(source, "n").agg(F.max(F.struct("_score", F.col("_reach"), F.col("_n"))).alias("_b"))
-    return best.select(source, "n", F.col("_b._score").alias("cutoff"), F.col("_b._reach").alias("kept"), F.col("_b._n").alias("ties"))
+    return checkpointed(best.select(source, "n", F.col("_b._score").alias("cutoff"), F.col("_b._reach").alias("kept"), F.col("_b._n").alias("ties")))
 
 
 def kept(latest: DataFrame, source: str, score: str, found: DataFrame) -> DataFrame:
-    """The records at or above their source's cutoff."""
-    return latest.join(found.select(source, "cutoff"), source).where(F.col(score) >= F.col("cutoff")).drop("cutoff")
+    """The records at or above their source's cutoff; `found` comes from cutoffs()."""
+    return keyed_join(latest, found.select(source, "cutoff"), source, found.count()).where(F.col(score) >= F.col("cutoff")).drop("cutoff")
