@@ -5,11 +5,17 @@ denser record within the radius (of equal densities the smaller id counts as den
 and the pointers followed to their end give the labels.  Peaks whose clusters touch - two members within the radius of
 each other - are then united, so that similar records never part.
 
-Blocks: a bounded sample shapes a k-d tree whose cuts are laid where the fewest sampled records lie within the radius
-of the cut.  A record belongs to one leaf and is copied to every leaf within the radius of it, so a leaf's own records
-find all their neighbours there.  Leaves that no cut can thin out (one group of mutually similar records may hold a
-third of all) are joined chunk by chunk: chunks of its records against chunks of its candidates, each pair of chunks
-in a task of its own.  Only counts, nearest neighbours and touching labels leave a task, never pairs of records.
+Cells: a bounded sample shows where records lie densely; the records within half the radius of such a place's centre are
+a cell, and all of a cell are neighbours of each other.  Their number is counted, not compared, and they point to the
+densest of them.  A cell that no other record comes near is a group of its own and done with, so that a group of a third
+of all records costs no more than any others.
+
+Blocks: what remains is compared within the leaves of a k-d tree whose cuts are laid where the fewest sampled records lie
+within the radius of the cut.  A record belongs to one leaf and is copied to every leaf within the radius of it, so a
+leaf's own records find all their neighbours there.  In a leaf the records of one cell are compared with those of another,
+or with those of no cell, as far as they can be within the radius of each other; large sides are cut into chunks, each
+pair of chunks a task of its own.  Only counts, nearest neighbours and touching labels leave a task, never pairs of
+records.  Two cells side by side are compared record by record where the distance of their centres doesn't decide.
 """
 
 from __future__ import annotations
@@ -21,19 +27,179 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.plans.runtime import checkpointed
+from zonalis.plans.runtime import checkpointed, keyed_join
 
-#: Rows of the sample that shapes the tree.
-SAMPLE = 20_000
 #: Records a leaf or chunk should hold.
-CHUNK = 8_000
+CHUNK = 4_000
+#: Rows of the sample that shapes the tree: as many per leaf, within these bounds.
+SAMPLE, SAMPLE_PER_LEAF, SAMPLE_MOST = 20_000, 16, 200_000
+#: Rows of the sample that shows the cells, records a cell should have at least, and sampled ones that must show it.
+CELL_SAMPLE, CELL_LEAST, SHOWN = 10_000, 500, 8
 #: Distances computed at once.
 CELLS = 4_000_000
+#: Equal rows from which a point's group is brought to them without a shuffle.
+HEAVY = 100_000
+
+
+def _squares(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of all of p and q."""
+    return np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2.0 * (p @ q.T), 0.0)
+
+
+def _distances(p: np.ndarray, q: np.ndarray):
+    """(first row, squared distances) of slices of p against all of q."""
+    step = max(1, CELLS // max(1, len(q)))
+    for a in range(0, len(p), step):
+        yield a, _squares(p[a : a + step], q)
+
+
+def _vectors(batch, name: str = "at") -> np.ndarray:
+    column = batch[name]
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
+
+
+def _sampled(points: DataFrame, n: int, rows: int) -> np.ndarray:
+    return _vectors(points.select("at").sample(min(1.0, rows / max(1, n)), seed=29).toArrow())
+
+
+# --- cells -----------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centres; and, once counted, per cell the records, the sums of their differences from the centre and of their
+    squares, how far they reach from it, how near others come to it, and the smallest id."""
+
+    centres: np.ndarray
+    n: np.ndarray
+    sums: np.ndarray
+    squares: np.ndarray
+    reach: np.ndarray
+    outside: np.ndarray
+    least: np.ndarray
+    radius: float
+
+    @property
+    def closed(self) -> np.ndarray:
+        """Which cells have no other record within the radius of any of theirs."""
+        return self.outside > (self.reach + self.radius) * (1 + 1e-9)
+
+    def apart(self, at: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Sum of the squared distances to all records of the cell."""
+        off = at - self.centres[cell]
+        return np.maximum(self.n[cell] * (off * off).sum(1) - 2 * (off * self.sums[cell]).sum(1) + self.squares[cell], 0.0)
+
+
+def plan_cells(at: np.ndarray, each: float, radius: float, least: int) -> np.ndarray:
+    """Centres of the places where at least `least` records lie within half the radius, going by sampled ones that stand
+    for `each` records; at most one for every SHOWN sampled records."""
+    need = max(SHOWN, int(np.ceil(least / max(each, 1.0))))
+    near2 = (radius / 2) ** 2
+    around = np.zeros(len(at), np.int64)
+    for a, d2 in _distances(at, at):
+        around[a : a + len(d2)] = (d2 <= 4 * near2).sum(1)
+    free, centres = np.ones(len(at), bool), []
+    for k in np.argsort(-around, kind="stable").tolist():
+        if around[k] < need:
+            break
+        if not free[k]:
+            continue
+        rest = at[free]
+        centre = at[k]
+        # towards the middle of the free records around
+        for size2 in (4 * near2, near2, near2):
+            around_it = rest[_squares(centre[None], rest)[0] <= size2]
+            centre = around_it.mean(0) if len(around_it) else centre
+        mine = _squares(centre[None], at)[0] <= near2
+        free[k] = False
+        if (mine & free).sum() + 1 >= need:
+            centres.append(centre)
+            free &= ~mine
+    return np.array(centres).reshape(len(centres), at.shape[1])
+
+
+def _assign(centres: np.ndarray, radius: float):
+    """Arrow function: the cell of every record, -1 without one."""
+
+    def run(batches):
+        for batch in batches:
+            at = _vectors(batch)
+            cell = np.full(len(at), -1, np.int32)
+            if len(centres):
+                for a, d2 in _distances(at, centres):
+                    k = d2.argmin(1)
+                    # a little less than half the radius, so that rounding never makes two of a cell no neighbours
+                    inside = d2[np.arange(len(d2)), k] <= (radius / 2 * (1 - 1e-9)) ** 2
+                    cell[a : a + len(d2)] = np.where(inside, k, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
+def _count_cells(centres: np.ndarray):
+    """Arrow function: per batch what Cells holds of every cell."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, cell, weight, ids = _vectors(batch), batch["cell"].to_numpy(), batch["weight"].to_numpy(), batch["id"].to_numpy()
+            far = np.full(len(centres), np.inf)
+            for a, d2 in _distances(at, centres):
+                mine = cell[a : a + len(d2)]
+                d2[np.nonzero(mine >= 0)[0], mine[mine >= 0]] = np.inf
+                far = np.minimum(far, np.sqrt(d2.min(0)))
+            rows = []
+            for c in range(len(centres)):
+                own = cell == c
+                off = at[own] - centres[c]
+                off2, w = (off * off).sum(1), weight[own]
+                reach = float(np.sqrt(off2.max(initial=0.0)))
+                rows.append((c, int(w.sum()), (off * w[:, None]).sum(0).tolist(), float((off2 * w).sum()), reach, float(far[c]), int(ids[own].min()) if own.any() else None))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.int64()))],
+                names=["cell", "n", "sums", "squares", "reach", "outside", "least"],
+            )
+
+    return run
+
+
+def count_cells(placed: DataFrame, centres: np.ndarray, radius: float) -> Cells:
+    dims = range(centres.shape[1])
+    per = placed.mapInArrow(_count_cells(centres), "cell int, n bigint, sums array<double>, squares double, reach double, outside double, least bigint").groupBy("cell").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in dims]).alias("sums"), F.sum("squares").alias("squares"), F.max("reach").alias("reach"),
+        F.min("outside").alias("outside"), F.min("least").alias("least"),
+    )
+    rows = {r["cell"]: r for r in per.collect()} if len(centres) else {}  # one row per cell, whose number is bounded by the sample
+    at = [rows[c] for c in range(len(centres))]
+    of = lambda name, kind: np.array([r[name] for r in at], kind)
+    least = np.array([-1 if r["least"] is None else r["least"] for r in at], np.int64)
+    return Cells(centres, of("n", np.int64), of("sums", float).reshape(centres.shape), of("squares", float), of("reach", float), of("outside", float), least, radius)
+
+
+def _closed(cells: Cells):
+    """Arrow function: density, spread and group of the records of closed cells."""
+
+    def run(batches):
+        for batch in batches:
+            cell = batch["cell"].to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["at"], batch["weight"], pa.array(cells.n[cell]), pa.array(cells.apart(_vectors(batch), cell) if len(cell) else np.empty(0)), pa.array(cells.least[cell])],
+                names=["id", "at", "weight", "density", "apart", "group_id"],
+            )
+
+    return run
+
+
+# --- blocks ----------------------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """A k-d tree: nodes (dim, cut, left, right), dim -1 for a leaf whose number is `left`; chunks per leaf."""
+    """A k-d tree: nodes (dim, cut, left, right), dim -1 for a leaf whose number is `left`; chunks per leaf and cell, the
+    last column for records of no cell."""
 
     nodes: list[tuple[int, float, int, int]]
     chunks: np.ndarray
@@ -58,12 +224,14 @@ class Blocks:
         return (np.concatenate(x) if x else np.empty(0, t) for x, t in ((rows, np.int64), (leaves, np.int64), (own, bool)))
 
 
-def plan_blocks(points: DataFrame, radius: float, chunk: int = CHUNK) -> Blocks:
+def plan_blocks(points: DataFrame, cells: Cells, radius: float, chunk: int = CHUNK) -> Blocks:
     n = points.count()
-    sample = points.select("at").sample(min(1.0, SAMPLE / max(1, n)), seed=29).collect()
-    at = np.array([r[0] for r in sample], dtype=float)
+    rows = min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PER_LEAF * n // chunk))
+    sample = points.select("at", "cell").sample(min(1.0, rows / max(1, n)), seed=29).toArrow()
+    at, cell = _vectors(sample), sample["cell"].to_numpy()
+    none = len(cells.centres)
     nodes: list[tuple[int, float, int, int]] = []
-    chunks: list[int] = []
+    chunks: list[np.ndarray] = []
     most = chunk * len(at) / max(1, n)
 
     def grow(part: np.ndarray, depth: int) -> int:
@@ -71,8 +239,8 @@ def plan_blocks(points: DataFrame, radius: float, chunk: int = CHUNK) -> Blocks:
         nodes.append((-1, 0.0, len(chunks), 0))
         if len(part) > max(most, 8) and depth < 40:
             best = (0.5, -1, 0.0)
-            for dim in range(part.shape[1]):
-                v = np.sort(part[:, dim])
+            for dim in range(at.shape[1]):
+                v = np.sort(at[part, dim])
                 cuts = v[(np.linspace(0.15, 0.85, 29) * (len(v) - 1)).astype(int)]
                 near = np.searchsorted(v, cuts + radius) - np.searchsorted(v, cuts - radius)
                 below = np.searchsorted(v, cuts)
@@ -82,95 +250,103 @@ def plan_blocks(points: DataFrame, radius: float, chunk: int = CHUNK) -> Blocks:
                     best = (near[k] / len(v), dim, float(cuts[k]))
             if best[1] >= 0:
                 _, dim, cut = best
-                low = part[:, dim] < cut
+                low = at[part, dim] < cut
                 left = grow(part[low], depth + 1)
                 right = grow(part[~low], depth + 1)
                 nodes[me] = (dim, cut, left, right)
                 return me
-        chunks.append(max(1, int(np.ceil(len(part) / max(most, 1) / 1.5))))
+        held = np.bincount(np.where(cell[part] < 0, none, cell[part]), minlength=none + 1)
+        chunks.append(np.maximum(1, np.ceil(held / max(most, 1) / 1.5)).astype(np.int64))
         nodes[me] = (-1, 0.0, len(chunks) - 1, 0)
         return me
 
-    grow(at if len(at) else np.empty((0, 1)), 0)
+    grow(np.arange(len(at)), 0)
     return Blocks(nodes, np.array(chunks))
 
 
-def _spread(blocks: Blocks, radius: float):
-    """Arrow function: records as askers (of their own leaf) and as candidates (of every leaf they reach), by chunk."""
+def _spread(blocks: Blocks, cells: Cells, radius: float, asking: str | None):
+    """Arrow function: records as askers (of their own leaf) and as candidates (of every leaf they reach), for every cell
+    other than their own in which they may have neighbours, by chunk.  Only records with `asking` ask, if it is named."""
+    none = len(cells.centres)
 
-    def copies(batch: pa.RecordBatch, row, leaf, a, b, asks):
-        t = pa.Table.from_batches([batch]).take(pa.array(row))
-        for name, v, kind in (("leaf", leaf, pa.int32()), ("a", a, pa.int32()), ("b", b, pa.int32()), ("asks", asks, pa.bool_())):
-            t = t.append_column(name, pa.array(v, kind))
-        return t.to_batches(max_chunksize=5000)
+    def copies(batch: pa.RecordBatch, row, leaf, ca, cb, a, b, asks):
+        for first in range(0, len(row), 5000):
+            s = slice(first, first + 5000)
+            part = batch.take(pa.array(row[s]))
+            extra = [pa.array(v[s].astype(np.int32)) for v in (leaf, ca, cb, a, b)] + [pa.array(np.full(len(row[s]), asks))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*batch.schema.names, "leaf", "ca", "cb", "a", "b", "asks"])
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(batch.schema.get_field_index("at"))
-            at = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+            at, ids, cell = _vectors(batch), batch["id"].to_numpy(), batch["cell"].to_numpy()
+            asking_rows = batch[asking].to_numpy(zero_copy_only=False) if asking else np.ones(len(at), bool)
+            meets = np.ones((len(at), none + 1), bool)
+            if none:
+                meets[:, :none] = np.sqrt(_squares(at, cells.centres)) <= (cells.reach + radius) * (1 + 1e-9)
+                meets[np.nonzero(cell >= 0)[0], cell[cell >= 0]] = False
+            at_cell = np.where(cell < 0, none, cell)
             row, leaf, own = blocks.place(at, radius)
-            n = blocks.chunks[leaf]
-            mine = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
-            for asks, keep in ((True, own), (False, np.ones(len(row), bool))):
-                r, l_, k, m = row[keep], leaf[keep], n[keep], mine[keep]
-                other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                r, l_, m = np.repeat(r, k), np.repeat(l_, k), np.repeat(m, k)
-                yield from copies(batch, r, l_, m if asks else other, other if asks else m, np.full(len(r), asks))
+            for asks, keep in ((True, own & asking_rows[row]), (False, np.ones(len(row), bool))):
+                i, other = np.nonzero(meets[row[keep]])
+                r, l_ = row[keep][i], leaf[keep][i]
+                mine = at_cell[r]
+                m = (ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks.chunks[l_, mine]
+                k = blocks.chunks[l_, other]
+                j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                r, l_, mine, other, m = (np.repeat(x, k) for x in (r, l_, mine, other, m))
+                yield from copies(batch, r, l_, *((mine, other, m, j) if asks else (other, mine, j, m)), asks)
 
     return run
 
 
-def _by_block(points: DataFrame, blocks: Blocks, radius: float):
-    schema = points.schema.simpleString()[7:-1] + ",leaf int,a int,b int,asks boolean"
-    return points.mapInArrow(_spread(blocks, radius), schema).groupBy("leaf", "a", "b")
+def _by_block(points: DataFrame, blocks: Blocks, cells: Cells, radius: float, asking: str | None = None):
+    schema = points.schema.simpleString()[7:-1] + ",leaf int,ca int,cb int,a int,b int,asks boolean"
+    return points.mapInArrow(_spread(blocks, cells, radius, asking), schema).groupBy("leaf", "ca", "cb", "a", "b")
 
 
 def _sides(t: pa.Table):
     asks = t["asks"].to_numpy()
+    return [(part, _vectors(part)) for part in (t.filter(pa.array(asks)), t.filter(pa.array(~asks)))]
 
-    def side(keep):
-        part = t.filter(pa.array(keep)).combine_chunks()
-        at = part["at"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-        return part, at
-
-    return side(asks), side(~asks)
 
-
-def _distances(p: np.ndarray, q: np.ndarray):
-    """(first row, squared distances) of slices of p against all of q."""
-    qq = (q * q).sum(1)
-    step = max(1, CELLS // max(1, len(q)))
-    for a in range(0, len(p), step):
-        x = p[a : a + step]
-        yield a, np.maximum((x * x).sum(1)[:, None] + qq[None] - 2.0 * (x @ q.T), 0.0)
-
-
-def densities(points: DataFrame, blocks: Blocks, radius: float) -> DataFrame:
-    """(id, density, apart): weights within the radius and the sum of the distances to them."""
+def densities(points: DataFrame, blocks: Blocks, cells: Cells, radius: float) -> DataFrame:
+    """(id, density, apart): weights within the radius and the sum of the squared distances to them."""
 
     def count(t: pa.Table) -> pa.Table:
         (mine, p), (other, q) = _sides(t)
-        weight = other["weight"].to_numpy().astype(float)
         density, apart = np.zeros(len(p), np.int64), np.zeros(len(p))
         if len(p) and len(q):
+            weight = other["weight"].to_numpy().astype(float)
             for a, d2 in _distances(p, q):
                 near = d2 <= radius * radius
                 density[a : a + len(d2)] = np.rint(near @ weight)
-                apart[a : a + len(d2)] = (np.sqrt(d2) * near) @ weight
+                apart[a : a + len(d2)] = (d2 * near) @ weight
         return pa.table({"id": mine["id"], "density": density, "apart": apart})
 
-    return _by_block(points, blocks, radius).applyInArrow(count, "id bigint, density bigint, apart double").groupBy("id").agg(
-        F.sum("density").alias("density"), F.sum("apart").alias("apart")
-    )
-
-
-def pointers(points: DataFrame, blocks: Blocks, radius: float) -> DataFrame:
-    """(id, parent, apart, to): the nearest denser record within the radius and the distance to it, null for peaks;
-    `to` is where the pointer leads as far as the block alone can tell."""
-    whole = blocks.chunks == 1
+    def of_cell(batches):
+        for batch in batches:
+            inside = np.nonzero(batch["cell"].to_numpy() >= 0)[0]
+            cell = batch["cell"].to_numpy()[inside]
+            at = _vectors(batch)[inside] if len(inside) else np.empty((0, cells.centres.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(inside)), pa.array(cells.n[cell]), pa.array(cells.apart(at, cell))], names=["id", "density", "apart"])
+
+    kind = "id bigint, density bigint, apart double"
+    counted = _by_block(points, blocks, cells, radius).applyInArrow(count, kind)
+    if len(cells.centres):
+        counted = counted.unionByName(points.select("id", "at", "cell").mapInArrow(of_cell, kind))
+    return counted.groupBy("id").agg(F.sum("density").alias("density"), F.sum("apart").alias("apart"))
+
+
+def pointers(points: DataFrame, blocks: Blocks, cells: Cells, radius: float) -> DataFrame:
+    """(id, to): where every record points, the densest of its cell or the nearest denser record within the radius; peaks
+    point to themselves."""
+    # one row per cell, whose number is bounded by the sample
+    tops = points.where("cell >= 0").groupBy("cell").agg(F.min(F.struct((-F.col("density")).alias("d"), "id"))["id"].alias("top")).collect()
+    top_of = F.create_map(*[F.lit(x) for r in tops for x in (r["cell"], r["top"])]) if tops else F.create_map(F.lit(-2), F.lit(-2))
+    top = F.try_element_at(top_of, F.col("cell")).cast("bigint")
+    points = points.withColumn("seeks", (F.col("cell") < 0) | (top == F.col("id")))
 
     def seek(t: pa.Table) -> pa.Table:
         (mine, p), (other, q) = _sides(t)
@@ -189,39 +365,31 @@ def pointers(points: DataFrame, blocks: Blocks, radius: float) -> DataFrame:
                 best[a : a + len(d2)] = d2[np.arange(len(d2)), k]
                 parent[a : a + len(d2)] = k
         has = np.isfinite(best)
-        up = np.where(has, oid[parent] if len(oid) else -1, ids)
-        to = up.copy()
-        if len(ids) and whole[t["leaf"][0].as_py()]:
-            order = np.argsort(ids)
-            for _ in range(64):
-                at = np.minimum(np.searchsorted(ids[order], to), len(ids) - 1)
-                local = ids[order][at] == to
-                step = np.where(local, to[order[at]], to)
-                if (step == to).all():
-                    break
-                to = step
-        return pa.table({"id": mine["id"], "parent": pa.array(up, mask=~has), "apart": pa.array(np.sqrt(best), mask=~has), "to": to})
-
-    found = _by_block(points, blocks, radius).applyInArrow(seek, "id bigint, parent bigint, apart double, to bigint")
-    if whole.all():
-        return found
-    nearest = found.groupBy("id").agg(F.min(F.struct(F.col("apart").isNull().alias("none"), "apart", "parent", "to")).alias("_n"))
-    return nearest.select("id", "_n.parent", "_n.apart", "_n.to")
+        return pa.table({"id": mine["id"].filter(pa.array(has)), "apart": best[has], "to": oid[parent[has]] if len(oid) else np.empty(0, np.int64)})
+
+    found = _by_block(points.select("id", "at", "cell", "density", "seeks"), blocks, cells, radius, "seeks").applyInArrow(seek, "id bigint, apart double, to bigint")
+    nearest = found.groupBy("id").agg(F.min(F.struct("apart", "to"))["to"].alias("to"))
+    return points.select("id", F.when(~F.col("seeks"), top).alias("_top")).join(nearest, "id", "left").select("id", F.coalesce("_top", "to", "id").alias("to"))
 
 
 def follow(to: DataFrame) -> DataFrame:
-    """(id, label): pointers (id, to) followed to their end by doubling; ends point to themselves."""
+    """(id, label): pointers (id, to) followed to their end by doubling; ends point to themselves.
+
+    Only records that others point to are followed, then all take the end of theirs."""
     at = checkpointed(to.select("id", F.col("to").alias("label")))
+    hops = checkpointed(at.select(F.col("label").alias("id")).distinct().join(at, "id"))
     while True:
-        up = at.select(F.col("id").alias("label"), F.col("label").alias("_up"))
-        nxt = checkpointed(at.join(up, "label").select("id", F.col("_up").alias("label"), (F.col("_up") != F.col("label")).alias("_moved")))
-        if not nxt.where("_moved").limit(1).count():
-            return nxt.select("id", "label")
-        at = nxt.select("id", "label")
+        up = hops.select(F.col("id").alias("label"), F.col("label").alias("_up"))
+        nxt = checkpointed(hops.join(up, "label").select("id", F.col("_up").alias("label"), (F.col("_up") != F.col("label")).alias("_moved")))
+        moved = nxt.where("_moved").limit(1).count()
+        hops = nxt.select("id", "label")
+        if not moved:
+            break
+    return keyed_join(at, hops.select(F.col("id").alias("label"), F.col("label").alias("_end")), "label", hops.count()).select("id", F.col("_end").alias("label"))
 
 
-def touching(points: DataFrame, blocks: Blocks, radius: float) -> DataFrame:
-    """(low, high): distinct pairs of labels with members within the radius of each other."""
+def touching(points: DataFrame, blocks: Blocks, cells: Cells, radius: float) -> DataFrame:
+    """(low, high): distinct pairs of labels with members within the radius of each other; those of a cell have one label."""
 
     def seek(t: pa.Table) -> pa.Table:
         (mine, p), (other, q) = _sides(t)
@@ -234,7 +402,7 @@ def touching(points: DataFrame, blocks: Blocks, radius: float) -> DataFrame:
         low, high = zip(*sorted(found)) if found else ((), ())
         return pa.table({"low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
 
-    return _by_block(points, blocks, radius).applyInArrow(seek, "low bigint, high bigint").distinct()
+    return _by_block(points, blocks, cells, radius).applyInArrow(seek, "low bigint, high bigint").distinct()
 
 
 def united(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -254,12 +422,12 @@ def united(labels: DataFrame, links: DataFrame) -> DataFrame:
         best = nxt
         if not moved:
             break
-    return labels.join(best, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return keyed_join(labels, best, "label", best.count(), "left").select("id", F.coalesce("to", "label").alias("label"))
 
 
-def clusters(df: DataFrame, key: str, features: list[str], radius: float, chunk: int = CHUNK) -> DataFrame:
+def clusters(df: DataFrame, key: str, features: list[str], radius: float, chunk: int = CHUNK, least: int = CELL_LEAST) -> DataFrame:
     """(key, group_id, density, apart) of every row that has all features: the group's smallest key, the number of
-    rows within `radius` and the sum of the distances to them.
+    rows within `radius` and the sum of the squared distances to them.
 
     `key` must be an integer and unique; rows with a null key, or a null or NaN feature, have no group and no row.
     Rows with equal features share their group.  An empty table gives an empty result.  Other columns are ignored.
@@ -270,14 +438,34 @@ def clusters(df: DataFrame, key: str, features: list[str], radius: float, chunk:
     rows = df.where(sound).select(F.col(key).cast("bigint").alias("key"), F.array(*[F.col(f).cast("double") + F.lit(0.0) for f in features]).alias("at"))
     # equal rows are one weighted point from here on
     points = checkpointed(rows.groupBy("at").agg(F.min("key").alias("id"), F.count("*").alias("weight")).select("id", "at", "weight"))
-    blocks = plan_blocks(points, radius, chunk)
-    dense = checkpointed(points.join(densities(points, blocks, radius), "id"))
-    labels = follow(pointers(dense.select("id", "at", "density"), blocks, radius))
-    labelled = points.select("id", "at").join(labels, "id")
-    labels = united(labels, touching(labelled, blocks, radius))
-    named = labels.join(labels.groupBy("label").agg(F.min("id").alias("group_id")), "label").select("id", "group_id")
-    of_point = dense.select("id", "at", "density", "apart").join(named, "id")
-    return rows.join(of_point, "at").select(F.col("key").alias(key), "group_id", "density", "apart")
+    n = points.count()
+    sample = _sampled(points, n, CELL_SAMPLE)
+    centres = plan_cells(sample, n / max(1, len(sample)), radius, least) if len(sample) else np.empty((0, len(features)))
+    placed = checkpointed(points.mapInArrow(_assign(centres, radius), points.schema.simpleString()[7:-1] + ",cell int"))
+    cells = count_cells(placed, centres, radius)
+    closed = F.col("cell").isin(np.nonzero(cells.closed)[0].tolist())
+    done = placed.where(closed).mapInArrow(_closed(cells), "id bigint, at array<double>, weight bigint, density bigint, apart double, group_id bigint")
+
+    rest = placed.where(~closed)
+    blocks = plan_blocks(rest, cells, radius, chunk)
+    dense = checkpointed(rest.join(densities(rest, blocks, cells, radius), "id"))
+    labels = checkpointed(follow(pointers(dense.select("id", "at", "cell", "density"), blocks, cells, radius)))
+    labelled = rest.select("id", "at", "cell").join(labels, "id")
+    labels = checkpointed(united(labels, touching(labelled, blocks, cells, radius)))
+    first = checkpointed(labels.groupBy("label").agg(F.min("id").alias("group_id")))
+    named = keyed_join(labels, first, "label", first.count()).select("id", "group_id")
+    of_point = dense.select("id", "at", "weight", "density", "apart").join(named, "id").unionByName(done)
+    return _to_rows(rows, checkpointed(of_point.select("at", "weight", "density", "apart", "group_id"))).select(F.col("key").alias(key), "group_id", "density", "apart")
+
+
+def _to_rows(rows: DataFrame, of_point: DataFrame) -> DataFrame:
+    """Every row with what its point has; points of very many equal rows don't draw these together."""
+    heavy = of_point.where(F.col("weight") >= HEAVY)
+    n = heavy.count()
+    if not n:
+        return rows.join(of_point, "at")
+    marked = keyed_join(rows, heavy, "at", n, "left")
+    return marked.where("weight is not null").unionByName(marked.where("weight is null").select(*rows.columns).join(of_point, "at"))
 
 
 def described(found: DataFrame, key: str, typical: int = 3) -> DataFrame:
