@@ -40,3 +40,52 @@ def test_garbled_lines_are_found_and_restored(spark):
             assert back[i]["restored_text"].replace("\n", "") == texts[i] and back[i]["n_lost"] == 0
     assert back[51]["n_lost"] > 0
     assert evidence(df.limit(0), "doc", "text").count() == 0
+
+
+def planted(wrong, words=WORDS, filler=" de la", n=200):
+    """Texts of two lines, the second of some garbled; (rows, clean texts)."""
+    rnd = random.Random(9)
+    texts = ["\n".join(" ".join(rnd.choice(words) + ("" if rnd.random() < 0.5 else filler) for _ in range(20)) for _ in range(2)) for _ in range(n)]
+    docs = []
+    for i, t in enumerate(texts):
+        a, b = t.split("\n")
+        docs.append((i, a + "\n" + (wrong[i](b) if i in wrong else b)))
+    return docs, texts
+
+
+def check(spark, docs, texts, wrong, **more):
+    df = spark.createDataFrame(docs, "doc bigint, text string").repartition(3)
+    back = {r["doc"]: r["restored_text"] for r in restored(df, "doc", "text", **more).collect()}
+    assert set(back) == set(wrong) and all(back[i] == texts[i] for i in wrong)
+    assert {r["doc"] for r in evidence(df, "doc", "text", **more).collect()} == set(wrong)
+
+
+def test_code_page_that_is_not_usual(spark):
+    wrong = {i: lambda t: t.encode("cp1252").decode("koi8_r") for i in range(3, 200, 25)}
+    check(spark, *planted(wrong), wrong)
+    check(spark, *planted(wrong), wrong, broadcast=0)
+
+
+def test_a_mapping_of_no_code_page(spark):
+    odd = str.maketrans("áéíóúñü", "Ж☂λЩ╬♞д")
+    wrong = {i: lambda t: t.translate(odd) for i in range(4, 200, 30)}
+    # every letter in three words at least
+    more = "público último número rápido página pájaro vergüenza ungüento bilingüe bebé médico época país raíz aquí bahía pequeño".split()
+    check(spark, *planted(wrong, WORDS + more, n=300), wrong)
+
+
+RUSSIAN = "правда столица городской газета сегодня утром площадь министр заседание объявил письмо читатель вечерний театр".split()
+GREEK = "εφημερίδα σήμερα πρωτεύουσα κυβέρνηση άνθρωπος θάλασσα δρόμος πλατεία γράμμα επιστολή υπουργός θέατρο".split()
+
+
+def test_words_without_ascii_letters(spark):
+    for words in (RUSSIAN, GREEK):
+        wrong = {i: lambda t: t.encode().decode("latin-1") for i in (3, 60)} | {99: lambda t: t.encode().decode("cp1252", "replace").replace("�", "\x81") if "\x81" in t else t.encode().decode("latin-1")}
+        check(spark, *planted(wrong, words, ""), wrong)
+    # one byte a letter; and a few lines of another script among others
+    wrong = {i: lambda t: t.encode("cp1251").decode("cp1252") for i in (3, 60)}
+    check(spark, *planted(wrong, RUSSIAN, ""), wrong)
+    docs, texts = planted({i: lambda t: t.encode().decode("latin-1") for i in (3, 60)})
+    docs += [(300, ("«" + " ".join(RUSSIAN) + "»").encode().decode("latin-1")), (301, " ".join(GREEK)), (302, "ESPAÑ… Ñ… NIÑ“ Ð Î")]
+    texts += [""] * 100 + ["«" + " ".join(RUSSIAN) + "»"]
+    check(spark, docs, texts, {3, 60, 300})
