@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from zonalis.llm import leakage
 from zonalis.llm.leakage import index_items, leaked, reading_order, search
 
 BOX = "array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>"
@@ -83,7 +84,20 @@ def test_many_short_items_on_late_pages():
     pages = [plain("nada") for _ in range(256)]
     for p, k in ((0, 5), (209, 39_998), (210, 7), (255, 39_999)):
         pages[p] = plain(" ".join(words(rnd, 20) + [texts[k]] + words(rnd, 20)))
-    assert [r[:2] for r in search(index_items(list(enumerate(texts))), pages)] == [(0, 5), (209, 39_998), (210, 7), (255, 39_999)]
+    assert [r[:2] for r in search([index_items(list(enumerate(texts)))], pages)] == [(0, 5), (209, 39_998), (210, 7), (255, 39_999)]
+
+
+def test_blocks_of_items_in_one_pass(spark, monkeypatch):
+    rnd = random.Random(6)
+    texts = [words(rnd, 20) for _ in range(60)]
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(k, " ".join(words(rnd, 15) + t[3:17] + words(rnd, 15)), None, None) for k, t in enumerate(texts)], f"doc_id bigint, text string, line_boxes {BOX}, page_width int"
+    )
+    for letters, at_once in ((1000, 100), (1000, 2), (10**9, 1)):
+        monkeypatch.setattr(leakage, "BLOCK_LETTERS", letters)
+        monkeypatch.setattr(leakage, "BLOCKS", at_once)
+        assert sorted((r["doc_id"], r["item_id"]) for r in leaked(docs, items).collect()) == [(k, k) for k in range(60)]
 
 
 def test_item_of_a_hundred_thousand_letters():
@@ -91,7 +105,7 @@ def test_item_of_a_hundred_thousand_letters():
     item = words(rnd, 22_000)
     assert sum(map(len, item)) > 100_000
     pages = [plain(" ".join(words(rnd, 9) + item[k : k + 14] + words(rnd, 9))) for k in (3, 10_000, 21_980)]
-    assert [r[:2] for r in search(index_items([(1, " ".join(item))]), pages)] == [(0, 0), (1, 0), (2, 0)]
+    assert [r[:2] for r in search([index_items([(1, " ".join(item))])], pages)] == [(0, 1), (1, 1), (2, 1)]
 
 
 def test_twelve_words_with_a_misread_short_or_end_word():
@@ -105,7 +119,7 @@ def test_twelve_words_with_a_misread_short_or_end_word():
     ]
     for mine, read in cases:
         items = index_items([(1, " ".join(["zzzz"] * 5 + mine + ["kkkk"] * 5))])
-        assert [r[:2] for r in search(items, [plain(" ".join(["xxxx"] * 9 + read + ["qqqq"] * 9))])] == [(0, 0)], read
+        assert [r[:2] for r in search([items], [plain(" ".join(["xxxx"] * 9 + read + ["qqqq"] * 9))])] == [(0, 1)], read
     # eight shared words, of the next ones some by chance
     items = index_items([(1, " ".join([*long[:8], "para", "de", "que", "de", "un", "kkkk"]))])
-    assert search(items, [plain(" ".join(["xxxx"] * 9 + [*long[:8], "sora", "de", "que", "da", "qqqq", "qqqq"]))]) == []
+    assert search([items], [plain(" ".join(["xxxx"] * 9 + [*long[:8], "sora", "de", "que", "da", "qqqq", "qqqq"]))]) == []

@@ -1,7 +1,7 @@
 """Held-out passages that leaked into a corpus of scanned pages.
 
-Query items are a stated set, taken in blocks of bounded size; every block runs against all pages in one pass without a
-shuffle.  For each page:
+Query items are a stated set, taken in blocks of bounded size; BLOCKS blocks at once run against all pages in one pass
+without a shuffle, in which every page is read, put in order and folded once.  For each page:
 
 1. the wording as printed is rebuilt from the line boxes: columns are found from where lines begin, each column is read
    from top to bottom, lines that run over several columns are cut where the next column begins, and centred lines
@@ -36,8 +36,9 @@ Q, FINE = 8, 4
 EDIT_SHARE, MIN_SHARED = 0.075, 4
 #: Words in a row that make a passage, and how many of them may show no short q-gram because they are its misread ends.
 WORDS, SLACK = 12, 2
-#: Letters of all items of a block, at most; bounds what is broadcast.
-BLOCK_LETTERS = 4_000_000
+#: Letters of all items of a block, at most, and blocks of one pass: together they bound what is broadcast (about 40 bytes
+#: a letter).
+BLOCK_LETTERS, BLOCKS = 4_000_000, 4
 #: Pages whose q-grams are looked up at once.
 PAGES = 256
 #: Pixels within which lines begin together, and within which centres coincide.
@@ -154,7 +155,7 @@ def index_items(rows: list[tuple], words: int = WORDS) -> Items:
         begins.append(np.concatenate(([0], np.cumsum([len(x) for x in own_letters]))).astype(np.int64))
         starts.append(own_starts)
         keys.append(unique)
-        first.append(np.append(at, len(all_)))
+        first.append(np.append(at, len(all_)).astype(np.int32))
         item.append(who_[order].astype(np.int32))
         place.append(where_[order].astype(np.int32))
         table.append(bits)
@@ -458,9 +459,9 @@ def _bands(items: Items, variant: int, stream: np.ndarray, page_of: np.ndarray,
     return out
 
 
-def search(items: Items, pages: list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, float | None]]) -> list[tuple[int, int, int]]:
-    """(page, item, words) for every item of which a page carries at least WORDS words in a row."""
-    best: dict[tuple[int, int], int] = {}
+def search(blocks: list[Items], pages: list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, float | None]]) -> list[tuple[int, object, int]]:
+    """(page, id of the item, words) for every item of which a page carries at least WORDS words in a row."""
+    best: dict[tuple[int, int, int], int] = {}
     ordered = [reading_order(*p) for p in pages]
     for variant in (0, 1):
         parts, who = [], []
@@ -473,18 +474,19 @@ def search(items: Items, pages: list[tuple[list[str], np.ndarray, np.ndarray, np
             continue
         sizes = np.array([len(p) for p in parts])
         begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        stream = np.concatenate(parts)
-        for page, item, diagonal in _bands(items, variant, stream, np.repeat(np.arange(len(parts)), sizes), begin, sizes):
-            key = (who[page], item)
-            if best.get(key, 0) >= WORDS:
-                continue
-            band = 2 * int(items.edits[variant][item])
-            if _touched(parts[page], items.letters[variant][item], items.starts[variant][item], diagonal, band) < WORDS - SLACK:
-                continue
-            words = _runs(parts[page].tobytes(), items.letters[variant][item].tobytes(), items.starts[variant][item].tolist(), diagonal, band)
-            if words >= WORDS:
-                best[key] = max(best.get(key, 0), words)
-    return [(p, i, w) for (p, i), w in sorted(best.items())]
+        stream, page_of = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+        for b, items in enumerate(blocks):
+            for page, item, diagonal in _bands(items, variant, stream, page_of, begin, sizes):
+                key = (who[page], b, item)
+                if best.get(key, 0) >= WORDS:
+                    continue
+                band = 2 * int(items.edits[variant][item])
+                if _touched(parts[page], items.letters[variant][item], items.starts[variant][item], diagonal, band) < WORDS - SLACK:
+                    continue
+                words = _runs(parts[page].tobytes(), items.letters[variant][item].tobytes(), items.starts[variant][item].tolist(), diagonal, band)
+                if words >= WORDS:
+                    best[key] = max(best.get(key, 0), words)
+    return [(p, blocks[b].ids[i], w) for (p, b, i), w in sorted(best.items())]
 
 
 def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", boxes: str = "line_boxes", width: str = "page_width",
@@ -505,10 +507,12 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     )
     item_type = to_arrow_type(items.schema[item_key].dataType)
     result = None
-    for block in range(blocks):
-        # the stated items, a block of bounded size at a time
-        own = sized.where(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(index_items([(r[0], r[1]) for r in own]))
+    for first in range(0, blocks, BLOCKS):
+        shared = []
+        for block in range(first, min(first + BLOCKS, blocks)):
+            # the stated items, a block of bounded size at a time
+            own = sized.where(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == block).collect()
+            shared.append(spark.sparkContext.broadcast(index_items([(r[0], r[1]) for r in own])))
 
         def find(batches, shared=shared):
             for batch in batches:
@@ -524,9 +528,9 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
                     for i in range(a, min(a + PAGES, len(texts))):
                         x0, y0, x1 = (np.nan_to_num(flat[ends[i] : ends[i + 1]]) for flat, ends in sides)
                         group.append((texts[i].split("\n"), x0, y0, x1, widths[i]))
-                    for p, item, n in search(shared.value, group):
+                    for p, item, n in search([b.value for b in shared], group):
                         at.append(a + p)
-                        which.append(shared.value.ids[item])
+                        which.append(item)
                         words.append(n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.array(which, item_type), pa.array(words, pa.int32())], names=[key, "_item", "words"]
