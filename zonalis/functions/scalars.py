@@ -28,6 +28,10 @@ SECTOR_PREFIXES = {
 SMALL_CLASSES = ("0 a 5 personas", "6 a 10 personas")
 
 
+#: The municipalities of the study area (fixed values).
+MUNICIPALITIES = ("039", "044", "051", "070", "097", "098", "101", "120", "009", "124")
+
+
 def zfill(c: Column, width: int) -> Column:
     """Left-padded with zeros, never cut."""
     return F.when(F.length(c) >= width, c).otherwise(F.lpad(c, width, "0"))

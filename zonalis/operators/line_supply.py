@@ -8,14 +8,16 @@ each of these is an interval of the segment, so the length is that of the union
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.rtree import edges_of, inside
+from zonalis.plans.runtime import checkpointed, keyed_join
+
+#: Polygons up to which their points are broadcast, and segments times edges that are measured at once.
+POLYGONS, AT_ONCE = 20_000, 400_000
 
 
 def segments(lines: DataFrame, key: str, line: str, longest: float) -> DataFrame:
@@ -46,71 +48,63 @@ def grid_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return both.where(touch & corner).drop("_cx", "_cy")
 
 
-def near_intervals(seg: tuple[float, float, float, float], edges: np.ndarray, d: float) -> list[tuple[float, float]]:
-    """Disjoint intervals, ascending, of a segment's length that lie inside a polygon or within d of its edges."""
-    ax, ay, bx, by = seg
-    ux, uy = bx - ax, by - ay
-    length = math.hypot(ux, uy)
-    if not length or not len(edges):
-        return []
-    ux, uy = ux / length, uy / length
-    found: list[tuple[float, float]] = []
-
-    def add(low: float, high: float) -> None:
-        low, high = max(0.0, low), min(length, high)
-        if high > low:
-            found.append((low, high))
-
-    crossings = [0.0, length]
-    for x1, y1, x2, y2 in edges.tolist():
-        # discs around the ends of the edge
-        px, py = x1 - ax, y1 - ay
-        along, off = px * ux + py * uy, px * uy - py * ux
-        if abs(off) < d:
-            half = math.sqrt(d * d - off * off)
-            add(along - half, along + half)
-        ex, ey = x2 - x1, y2 - y1
-        el = math.hypot(ex, ey)
-        if not el:
-            continue
-        ex, ey = ex / el, ey / el
-        # the rectangle along the edge: |distance to its line| <= d and the foot within it
-        low, high = 0.0, length
-        for rate, at, lo, hi in ((ux * ey - uy * ex, (ax - x1) * ey - (ay - y1) * ex, -d, d), (ux * ex + uy * ey, (ax - x1) * ex + (ay - y1) * ey, 0.0, el)):
-            if abs(rate) < 1e-12:
-                if not lo <= at <= hi:
-                    low, high = 1.0, 0.0
-                continue
-            s, e = sorted(((lo - at) / rate, (hi - at) / rate))
-            low, high = max(low, s), min(high, e)
-        add(low, high)
-        cross = ux * ey - uy * ex
-        if abs(cross) > 1e-12:
-            t = ((x1 - ax) * ey - (y1 - ay) * ex) / cross
-            if 0 < t < length:
-                crossings.append(t)
-    crossings.sort()
-    mids = [(a + b) / 2 for a, b in zip(crossings, crossings[1:])]
-    within = inside(np.array([ax + m * ux for m in mids]), np.array([ay + m * uy for m in mids]), edges)
-    for a, b, hit in zip(crossings, crossings[1:], within):
-        if hit:
-            add(a, b)
-    return united(found)
-
-
-def united(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    out: list[tuple[float, float]] = []
-    for low, high in sorted(intervals):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
-        else:
-            out.append((low, high))
-    return out
+def near_intervals(segs: np.ndarray, edges: np.ndarray, d: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of the segments (rows x1, y1, x2, y2) the begins and ends of the disjoint intervals, ascending, of its
+    length that lie inside a polygon or within d of its edges; all edges of all segments at once."""
+    a, u = segs[:, :2], segs[:, 2:] - segs[:, :2]
+    length = np.hypot(u[:, 0], u[:, 1])
+    none = (np.empty(0), np.empty(0))
+    if not len(edges) or not len(segs):
+        return [none] * len(segs)
+    ux, uy = (u / np.where(length > 0, length, 1)[:, None]).T[:, :, None]
+    x1, y1, x2, y2 = edges.T[:, None]
+    el = np.hypot(x2 - x1, y2 - y1)
+    ex, ey = (x2 - x1) / np.where(el > 0, el, 1), (y2 - y1) / np.where(el > 0, el, 1)
+    dx, dy = x1 - a[:, :1], y1 - a[:, 1:]
+    # discs around the ends of the edges
+    along, off = dx * ux + dy * uy, dx * uy - dy * ux
+    half = np.sqrt(np.maximum(d * d - off * off, 0.0))
+    lows, highs = [np.where(np.abs(off) < d, along - half, 0.0)], [np.where(np.abs(off) < d, along + half, 0.0)]
+    # the rectangles along the edges: |distance to the edge's line| <= d and the foot within the edge
+    low, high = np.zeros(off.shape), np.broadcast_to(length[:, None], off.shape).copy()
+    for rate, at, lo, hi in ((ux * ey - uy * ex, dy * ex - dx * ey, -d, d), (ux * ex + uy * ey, -dx * ex - dy * ey, 0.0, el)):
+        flat = np.abs(rate) < 1e-12
+        s, e = (lo - at) / np.where(flat, 1, rate), (hi - at) / np.where(flat, 1, rate)
+        low, high = np.where(flat, low, np.maximum(low, np.minimum(s, e))), np.where(flat, high, np.minimum(high, np.maximum(s, e)))
+        high = np.where(flat & ((at < lo) | (at > hi)), -1.0, high)
+    lows.append(low)
+    highs.append(np.where(el > 0, high, -1.0))
+    # between crossings with the edges a segment is inside or not
+    cross = ux * ey - uy * ex
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(np.abs(cross) > 1e-12, (dx * ey - dy * ex) / cross, 0.0)
+    foot = (t * ux - dx) * ex + (t * uy - dy) * ey
+    t = np.where((foot >= -1e-6) & (foot <= el + 1e-6), t, 0.0)
+    cuts = np.sort(np.concatenate([np.clip(t, 0, length[:, None]), np.zeros((len(segs), 1)), length[:, None]], 1), 1)
+    mid = (cuts[:, 1:] + cuts[:, :-1]) / 2
+    real = np.diff(cuts, axis=1) > 0
+    row = np.nonzero(real)[0]
+    within = np.zeros(real.shape, bool)
+    within[real] = inside(a[row, 0] + mid[real] * ux[row, 0], a[row, 1] + mid[real] * uy[row, 0], edges)
+    lows.append(np.where(within, cuts[:, :-1], 0.0))
+    highs.append(np.where(within, cuts[:, 1:], 0.0))
+    low, high = np.maximum(np.concatenate(lows, 1), 0.0), np.minimum(np.concatenate(highs, 1), length[:, None])
+    return [_united(lo[hi > lo], hi[hi > lo]) for lo, hi in zip(low, high)]
+
+
+def _united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(low):
+        return low, high
+    order = np.argsort(low)
+    low, high = low[order], np.maximum.accumulate(high[order])
+    new = np.concatenate(([True], low[1:] > high[:-1]))
+    return low[new], high[np.append(np.nonzero(new)[0][1:] - 1, len(high) - 1)]
 
 
 def near_length(seg: tuple[float, float, float, float], edges: np.ndarray, d: float) -> float:
     """Length of the part of a segment inside a polygon or within d of its edges."""
-    return sum(high - low for low, high in near_intervals(seg, edges, d))
+    low, high = near_intervals(np.array([seg], float), edges, d)[0]
+    return float((high - low).sum())
 
 
 def length_near_regions(lines: DataFrame, key: str, line: str, regions: DataFrame, region_id: str, geom: str, distance: float, cell: float | None = None) -> DataFrame:
@@ -125,29 +119,34 @@ def length_near_regions(lines: DataFrame, key: str, line: str, regions: DataFram
     polygons = regions.select(F.col(region_id).alias("region"), F.explode(f"{geom}.rings").alias("_p")).distinct()
     flat = lambda axis: F.flatten(F.transform("_p", lambda r: F.transform(r, lambda p: p[axis])))
     shaped = polygons.select("region", flat("x").alias("xs"), flat("y").alias("ys"), F.transform("_p", lambda r: F.size(r)).alias("sizes"))
+    shaped = checkpointed(shaped.where(F.size("xs") > 0).withColumn("polygon", F.xxhash64("region", "xs", "ys", "sizes")))
     boxed = shaped.select(
-        "*", (F.array_min("xs") - distance).alias("xmin"), (F.array_min("ys") - distance).alias("ymin"), (F.array_max("xs") + distance).alias("xmax"), (F.array_max("ys") + distance).alias("ymax")
+        "polygon", "region", (F.array_min("xs") - distance).alias("xmin"), (F.array_min("ys") - distance).alias("ymin"), (F.array_max("xs") + distance).alias("xmax"), (F.array_max("ys") + distance).alias("ymax")
     )
-    # far more work than bytes: spread by a number of its own, which adaptive execution doesn't lower
+    # far more work than bytes: spread by a number of its own, which adaptive execution doesn't lower; the points of the
+    # polygons come last, the pairs of one lie together
     spread = 4 * lines.sparkSession.sparkContext.defaultParallelism
-    pairs = grid_pairs(seg, boxed, cell).repartition(spread, "region", "x1", "y1")
+    pairs = grid_pairs(seg, boxed, cell).repartition(spread, "polygon", F.floor(F.col("x1") / cell))
+    shapes = shaped.select("polygon", "xs", "ys", "sizes")
+    pairs = keyed_join(pairs, shapes, "polygon", shaped.count(), limit=POLYGONS).sortWithinPartitions("polygon")
 
     def measure(batches):
         for batch in batches:
-            lows, highs, known = [], [], {}
-            for x1, y1, x2, y2, xs, ys, sizes in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5, 7, 8, 9))):
-                shape = (xs[0], ys[0], len(xs), xs[-1], ys[-1], tuple(sizes))
-                if shape not in known or known[shape][0] != xs or known[shape][1] != ys:
-                    known[shape] = (xs, ys, edges_of(np.array(xs), np.array(ys), np.array(sizes)))
-                near = near_intervals((x1, y1, x2, y2), known[shape][2], distance)
-                lows.append([low for low, _ in near])
-                highs.append([high for _, high in near])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in range(7)), pa.array(lows, pa.list_(pa.float64())), pa.array(highs, pa.list_(pa.float64()))], names=["region", key, "x1", "y1", "x2", "y2", "_times", "_low", "_high"]
-            )
+            polygon = batch.column(7).to_numpy()
+            segs = np.column_stack([batch.column(c).to_numpy() for c in (2, 3, 4, 5)]) if len(polygon) else np.empty((0, 4))
+            found = []
+            cuts = np.nonzero(np.diff(polygon))[0] + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(polygon)]):
+                if b > a:
+                    edges = edges_of(*(batch.column(c)[a].values.to_numpy(zero_copy_only=False) for c in (8, 9, 10)))
+                    step = max(1, AT_ONCE // max(1, len(edges)))
+                    for k in range(a, b, step):
+                        found += near_intervals(segs[k : min(k + step, b)], edges, distance)
+            sides = [pa.array([f[i] for f in found], pa.list_(pa.float64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(7)), *sides], names=["region", key, "x1", "y1", "x2", "y2", "_times", "_low", "_high"])
 
     kinds = f"region {regions.schema[region_id].dataType.simpleString()}, `{key}` {lines.schema[key].dataType.simpleString()}, x1 double, y1 double, x2 double, y2 double, _times bigint, _low array<double>, _high array<double>"
-    measured = pairs.select("region", key, "x1", "y1", "x2", "y2", "_times", "xs", "ys", "sizes").mapInArrow(measure, kinds).where(F.size("_low") > 0)
+    measured = pairs.select("region", key, "x1", "y1", "x2", "y2", "_times", "polygon", "xs", "ys", "sizes").mapInArrow(measure, kinds).where(F.size("_low") > 0)
     found = measured.groupBy("region", key, "x1", "y1", "x2", "y2", "_times").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("_low", "_high")))).alias("_near"))
 
     def longer(so_far, near):

@@ -79,10 +79,13 @@ def slopes(measured: DataFrame, no_data: float = -9999.0) -> DataFrame:
     return sound.groupBy("ageb_id").agg(F.avg("slope_mean").alias("slope_mean"))
 
 
-def master(establishments: DataFrame, stops: DataFrame, zones: DataFrame, measured: DataFrame) -> DataFrame:
-    """Zones with employers: accessibility, employment and mean slope (0 where none was measured)."""
-    joined = accessibility(stops, zones).join(employment(establishments, zones).drop("total_establishments"), "ageb_id").join(slopes(measured), "ageb_id", "left")
-    return joined.na.fill(0.0, ["slope_mean"])
+def master(access: DataFrame, jobs: DataFrame, measured: DataFrame, supply: DataFrame) -> DataFrame:
+    """Zones with employers: accessibility, employment, kilometres of routes and mean slope (0 where there is none).
+
+    `access`, `jobs` and `supply` come from accessibility(), employment() and line_supply.route_supply()."""
+    joined = access.join(jobs.select("ageb_id", "employment_proxy"), "ageb_id").join(slopes(measured), "ageb_id", "left")
+    near = supply.select(F.col("region").alias("ageb_id"), F.col("route_km_within_800m").alias("route_km_800m"))
+    return joined.join(near, "ageb_id", "left").na.fill(0.0, ["slope_mean", "route_km_800m"])
 
 
 def place_features(establishments: DataFrame, zones: DataFrame, entropy) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import geometry as G
 from zonalis.functions.projection import forward, inverse
-from zonalis.functions.scalars import SECTOR_PREFIXES, safe_corr
-from zonalis.operators import line_supply, metrics, models, weighting, zone_features
+from zonalis.functions.scalars import MUNICIPALITIES, SECTOR_PREFIXES, safe_corr
+from zonalis.operators import line_supply, metrics, models, siting, weighting, zone_features
 from zonalis.operators.quadtree_join import point_targets, quadtree_join
 from zonalis.plans.runtime import checkpointed
 from zonalis.plans.runtime import table as T
@@ -59,11 +59,41 @@ access AS (SELECT z.ageb_id, count(*) FILTER (WHERE distance <= 400) AS stops_40
 _EMPLOYERS = f"big AS (SELECT *, {_sql_jobs('estrato_personal')} AS jobs, {_sql_sector('scian_codigo')} AS sector FROM located WHERE estrato_personal NOT IN ('0 a 5 personas', '6 a 10 personas'))"
 _EMPLOYMENT = f"{_EMPLOYERS}, {_inside('big', 'denue_id').replace('inside AS', 'at_work AS')}, emp AS (SELECT ageb_id, count(*) AS total_establishments, sum(CASE WHEN jobs = 500 THEN 300 ELSE jobs END)::BIGINT AS employment_proxy FROM at_work JOIN big USING (denue_id) GROUP BY ageb_id)"
 _TOPO = "topo AS (SELECT ageb_id, avg(slope_mean) AS slope_mean FROM ageb_topography WHERE slope_mean IS NOT NULL AND NOT isnan(slope_mean) AND slope_mean <> -9999 GROUP BY ageb_id)"
-_MASTER = f"{_STOP_DISTANCES}, {_ACCESS}, {_LOCATED}, {_EMPLOYMENT}, {_TOPO}, master AS (SELECT a.*, e.employment_proxy, coalesce(t.slope_mean, 0) AS slope_mean FROM access a JOIN emp e USING (ageb_id) LEFT JOIN topo t USING (ageb_id))"
-_NORM = f"""{_MASTER}, tops AS (SELECT max(stops_400m) AS a, max(stops_800m) AS b, max(min_stop_dist_m) AS c, max(employment_proxy) AS e, max(slope_mean) AS s FROM master),
-norm AS (SELECT ageb_id, CASE WHEN a > 0 THEN stops_400m / a ELSE 0 END AS stops_400m_norm, CASE WHEN b > 0 THEN stops_800m / b ELSE 0 END AS stops_800m_norm, CASE WHEN e > 0 THEN employment_proxy / e ELSE 0 END AS employment_norm,
-  CASE WHEN c > 0 THEN (c - min_stop_dist_m) / c ELSE 0 END AS min_dist_inverted_norm, CASE WHEN s > 0 THEN (s - slope_mean) / s ELSE 0 END AS slope_inverted_norm FROM master, tops)"""
-_NORMS = ["stops_400m_norm", "stops_800m_norm", "employment_norm", "min_dist_inverted_norm", "slope_inverted_norm"]
+_SHAPES = "shapes AS (SELECT left(stop_id, 2) AS shape, stop_id || '|' || lpad(cast(x AS VARCHAR), 12, ' ') AS o, x, y FROM (SELECT DISTINCT stop_id, geom.x AS x, geom.y AS y FROM gtfs_stops WHERE geom.x IS NOT NULL))"
+#: Lengths of the steps of the lines within 800 m of each zone: every edge's disc and rectangle cut an interval out of a
+#: step, and so does the inside of the polygon; united over all parts of a zone.
+_ROUTES = f"""{_SHAPES}, steps AS (SELECT row_number() OVER () AS sid, px AS ax, py AS ay, x AS bx, y AS by_, sqrt(power(x - px, 2) + power(y - py, 2)) AS l
+  FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM shapes WINDOW w AS (PARTITION BY shape ORDER BY o)) WHERE px IS NOT NULL),
+met AS (SELECT s.sid, b.pid, s.l, s.ax, s.ay, (s.bx - s.ax) / s.l AS ux, (s.by_ - s.ay) / s.l AS uy FROM steps s JOIN boxes b
+  ON least(ax, bx) <= b.xb + 800 AND greatest(ax, bx) >= b.xa - 800 AND least(ay, by_) <= b.yb + 800 AND greatest(ay, by_) >= b.ya - 800 WHERE l > 0),
+along AS (SELECT m.*, cvegeo, x1 - ax AS dx, y1 - ay AS dy, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS el, (x2 - x1) / nullif(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)), 0) AS ex,
+  (y2 - y1) / nullif(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)), 0) AS ey FROM met m JOIN edges e USING (pid)),
+turned AS (SELECT *, dx * ux + dy * uy AS fwd, dx * uy - dy * ux AS off, ux * ey - uy * ex AS r1, dy * ex - dx * ey AS a1, ux * ex + uy * ey AS r2, -dx * ex - dy * ey AS a2 FROM along),
+cuts AS (SELECT sid, pid, 0.0 AS t FROM met UNION SELECT sid, pid, l FROM met UNION SELECT sid, pid, (dx * ey - dy * ex) / r1 FROM turned WHERE abs(r1) > 1e-12 AND (dx * ey - dy * ex) / r1 BETWEEN 0 AND l
+  AND ((dx * ey - dy * ex) / r1 * ux - dx) * ex + ((dx * ey - dy * ex) / r1 * uy - dy) * ey BETWEEN -1e-6 AND el + 1e-6),
+mids AS (SELECT c.sid, c.pid, t AS lo, lead(t) OVER (PARTITION BY c.sid, c.pid ORDER BY t) AS hi, m.ax, m.ay, m.ux, m.uy FROM cuts c JOIN met m ON c.sid = m.sid AND c.pid = m.pid),
+within AS (SELECT k.sid, any_value(e.cvegeo) AS cvegeo, lo, hi FROM mids k JOIN edges e USING (pid) WHERE hi IS NOT NULL AND (e.y1 > ay + (lo + hi) / 2 * uy) <> (e.y2 > ay + (lo + hi) / 2 * uy)
+  AND ax + (lo + hi) / 2 * ux < (e.x2 - e.x1) * (ay + (lo + hi) / 2 * uy - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY k.sid, k.pid, lo, hi HAVING count(*) % 2 = 1),
+spans AS (SELECT sid, cvegeo, greatest(lo, 0) AS lo, least(hi, l) AS hi FROM (
+  SELECT sid, cvegeo, l, fwd - sqrt(640000 - off * off) AS lo, fwd + sqrt(640000 - off * off) AS hi FROM turned WHERE abs(off) < 800
+  UNION ALL SELECT sid, cvegeo, l, greatest(CASE WHEN abs(r1) < 1e-12 THEN CASE WHEN abs(a1) <= 800 THEN 0 ELSE 1e18 END ELSE least((-800 - a1) / r1, (800 - a1) / r1) END,
+      CASE WHEN abs(r2) < 1e-12 THEN CASE WHEN a2 BETWEEN 0 AND el THEN 0 ELSE 1e18 END ELSE least(-a2 / r2, (el - a2) / r2) END),
+    least(CASE WHEN abs(r1) < 1e-12 THEN 1e18 ELSE greatest((-800 - a1) / r1, (800 - a1) / r1) END, CASE WHEN abs(r2) < 1e-12 THEN 1e18 ELSE greatest(-a2 / r2, (el - a2) / r2) END) FROM turned WHERE el > 0
+  UNION ALL SELECT sid, cvegeo, 1e18, lo, hi FROM within) WHERE least(hi, l) > greatest(lo, 0)),
+reached AS (SELECT *, max(hi) OVER (PARTITION BY sid, cvegeo ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM spans),
+supply AS (SELECT cvegeo AS ageb_id, sum(greatest(0, hi - greatest(lo, coalesce(upto, lo)))) / 1000 AS km FROM reached GROUP BY cvegeo)"""
+_MASTER = f"""{_STOP_DISTANCES}, {_ACCESS}, {_LOCATED}, {_EMPLOYMENT}, {_TOPO}, {_ROUTES}, master AS (SELECT a.*, e.employment_proxy, coalesce(t.slope_mean, 0) AS slope_mean, coalesce(r.km, 0) AS route_km_800m
+  FROM access a JOIN emp e USING (ageb_id) LEFT JOIN topo t USING (ageb_id) LEFT JOIN supply r USING (ageb_id))"""
+
+
+def _sql_normalised(table: str, to: str, key: str) -> str:
+    tops = ", ".join(f"max({c}) AS _{f}" for f, c, _ in siting.CRITERIA)
+    each = ", ".join(f"CASE WHEN _{f} > 0 THEN {f'(_{f} - {c})' if less else c} / _{f} ELSE 0 END AS {f}" for f, c, less in siting.CRITERIA)
+    return f"{to} AS (SELECT {key}, {each} FROM {table}, (SELECT {tops} FROM {table}))"
+
+
+_NORM = f"{_MASTER}, {_sql_normalised('master', 'norm', 'ageb_id')}"
+_NORMS = siting.FEATURES
 
 
 def _sql_critic(table: str, columns: list[str]) -> str:
@@ -152,9 +182,6 @@ def geo_type(s, d):
     return _zones(s, d).groupBy(F.col("geom.kind").alias("kind"), F.col("geom.srid").alias("srid")).agg(F.count("*").alias("n"))
 
 
-_SHAPES = "shapes AS (SELECT left(stop_id, 2) AS shape, stop_id || '|' || lpad(cast(x AS VARCHAR), 12, ' ') AS o, x, y FROM (SELECT DISTINCT stop_id, geom.x AS x, geom.y AS y FROM gtfs_stops WHERE geom.x IS NOT NULL))"
-
-
 def _lines(s, d):
     at = zone_features.stop_points(_stops(s, d))
     return at.groupBy(F.left("stop_id", F.lit(2)).alias("shape")).agg(G.make_line(F.concat("stop_id", F.lit("|"), F.lpad(F.col("x").cast("string"), 12, " ")), F.col("x"), F.col("y")).alias("line"))
@@ -208,25 +235,18 @@ def cmp_topography(s, d):
     return zone_features.slopes(T(s, d, "ageb_topography")).withColumn("slope_mean", F.round("slope_mean", 6))
 
 
-@query(f"""WITH {_STOPS}, {_LOCATED}, {_EMPLOYERS}, near AS (SELECT a.stop_id, count(DISTINCT b.stop_id) AS stops_400m FROM stops a JOIN stops b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 160000 GROUP BY 1),
-jobs AS (SELECT stop_id, sum(jobs)::BIGINT AS employment_proxy FROM (SELECT DISTINCT s.stop_id, b.denue_id, b.jobs FROM stops s JOIN big b ON power(s.x - b.x, 2) + power(s.y - b.y, 2) <= 160000) GROUP BY 1)
-SELECT stop_id, coalesce(stops_400m, 0) AS stops_400m, coalesce(employment_proxy, 0) AS employment_proxy FROM (SELECT DISTINCT stop_id FROM stops) LEFT JOIN near USING (stop_id) LEFT JOIN jobs USING (stop_id)""")
-def cmp_stop_features(s, d):
-    return zone_features.stop_features(_denue(s, d), _stops(s, d))
-
-
 def _master(s, d):
-    return zone_features.master(_denue(s, d), _stops(s, d), _zones(s, d), T(s, d, "ageb_topography"))
+    zones, stops = _zones(s, d), _stops(s, d)
+    return checkpointed(zone_features.master(zone_features.accessibility(stops, zones), zone_features.employment(_denue(s, d), zones), T(s, d, "ageb_topography"), _supply(s, d)))
 
 
-@query(f"{_MASTER} SELECT ageb_id, stops_400m, stops_800m, round(min_stop_dist_m, 4) AS min_stop_dist_m, employment_proxy, round(slope_mean, 6) AS slope_mean FROM master")
+@query(f"{_MASTER} SELECT ageb_id, stops_400m, stops_800m, round(min_stop_dist_m, 4) AS min_stop_dist_m, employment_proxy, round(route_km_800m, 6) AS route_km_800m, round(slope_mean, 6) AS slope_mean FROM master")
 def cmp_master_suitability(s, d):
-    return _master(s, d).withColumns({"min_stop_dist_m": F.round("min_stop_dist_m", 4), "slope_mean": F.round("slope_mean", 6)})
+    return _master(s, d).withColumns({"min_stop_dist_m": F.round("min_stop_dist_m", 4), "slope_mean": F.round("slope_mean", 6), "route_km_800m": F.round("route_km_800m", 6)})
 
 
 def _normalised(s, d):
-    direct = {"stops_400m": "stops_400m_norm", "stops_800m": "stops_800m_norm", "employment_proxy": "employment_norm"}
-    return weighting.max_normalise(_master(s, d), direct, {"min_stop_dist_m": "min_dist_inverted_norm", "slope_mean": "slope_inverted_norm"}).select("ageb_id", *_NORMS)
+    return siting.normalised(_master(s, d), ["ageb_id"])
 
 
 @query(f"{_NORM} SELECT ageb_id, {', '.join(f'round({c}, 6) AS {c}' for c in _NORMS)} FROM norm")
@@ -234,20 +254,36 @@ def cmp_max_normalise(s, d):
     return _normalised(s, d).withColumns({c: F.round(c, 6) for c in _NORMS})
 
 
-@query(f"{_NORM}, {_sql_critic('norm', _NORMS)} SELECT feature, round(variance, 8) AS variance, round(avg_abs_correlation, 8) AS avg_abs_correlation, round(weight_unnormalized / sum(weight_unnormalized) OVER (), 8) AS weight, rank() OVER (ORDER BY weight_unnormalized DESC) AS feature_rank FROM weights")
+_WEIGHTS = f"{_NORM}, {_sql_critic('norm', _NORMS)}, share AS (SELECT *, weight_unnormalized / sum(weight_unnormalized) OVER () AS w FROM weights)"
+
+
+@query(f"{_WEIGHTS} SELECT feature, round(variance, 8) AS variance, round(avg_abs_correlation, 8) AS avg_abs_correlation, round(w, 8) AS weight, rank() OVER (ORDER BY weight_unnormalized DESC) AS feature_rank FROM share")
 def cmp_critic_sql(s, d):
-    w = weighting.critic(checkpointed(_normalised(s, d)), _NORMS)
+    w = weighting.critic(_normalised(s, d), _NORMS)
     return w.select("feature", F.round("variance", 8).alias("variance"), F.round("avg_abs_correlation", 8).alias("avg_abs_correlation"), F.round("weight_normalized", 8).alias("weight"), F.col("feature_rank").cast("bigint").alias("feature_rank"))
 
 
-@query(f"""{_NORM}, {_sql_critic('norm', _NORMS)}, share AS (SELECT feature, weight_unnormalized / sum(weight_unnormalized) OVER () AS w FROM weights),
-scored AS (SELECT ageb_id, {' + '.join(f"coalesce({c}, 0) * (SELECT w FROM share WHERE feature = '{c}')" for c in _NORMS)} AS score FROM norm)
-SELECT ageb_id, round(score, 6) AS score, round(100 * percent_rank() OVER (ORDER BY round(score, 9)), 4) AS percentile FROM scored""")
+_AT_STOPS = f"""near AS (SELECT a.stop_id, count(DISTINCT b.stop_id) AS stops_400m FROM stops a JOIN stops b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 160000 GROUP BY 1),
+jobs_near AS (SELECT stop_id, sum(jobs)::BIGINT AS employment_proxy FROM (SELECT DISTINCT s.stop_id, b.denue_id, b.jobs FROM stops s JOIN big b ON power(s.x - b.x, 2) + power(s.y - b.y, 2) <= 160000) GROUP BY 1)"""
+
+
+@query(f"""WITH {_STOPS}, {_LOCATED}, {_EMPLOYERS}, {_AT_STOPS} SELECT stop_id, coalesce(stops_400m, 0) AS stops_400m, coalesce(employment_proxy, 0) AS employment_proxy
+  FROM (SELECT DISTINCT stop_id FROM stops) LEFT JOIN near USING (stop_id) LEFT JOIN jobs_near USING (stop_id)""")
+def cmp_stop_features(s, d):
+    return zone_features.stop_features(_denue(s, d), _stops(s, d))
+
+
+@query(f"""{_WEIGHTS}, {_AT_STOPS}, named AS (SELECT stop_id, max(stop_name) AS stop_name FROM gtfs_stops WHERE stop_id IS NOT NULL GROUP BY 1),
+joined AS (SELECT i.stop_id, n.stop_name, i.ageb_id, coalesce(k.stops_400m, 0) AS stops_400m, m.stops_800m, m.min_stop_dist_m, coalesce(j.employment_proxy, 0) AS employment_proxy, m.route_km_800m, m.slope_mean
+  FROM inside i JOIN named n USING (stop_id) LEFT JOIN near k USING (stop_id) LEFT JOIN jobs_near j USING (stop_id) JOIN master m USING (ageb_id)),
+{_sql_normalised('joined', 'scaled', 'stop_id, ageb_id')},
+scored AS (SELECT stop_id, ageb_id, round({' + '.join(f"{c} * (SELECT w FROM share WHERE feature = '{c}')" for c in _NORMS)}, 9) AS s FROM scaled)
+SELECT stop_id, stop_name, ageb_id, stops_400m, stops_800m, round(min_stop_dist_m, 2) AS min_stop_dist_m, employment_proxy, round(route_km_800m, 2) AS route_km_800m, round(slope_mean, 3) AS slope_mean,
+  round(s, 4) AS npv_score, rank() OVER (ORDER BY s DESC) AS npv_rank, round(100 * percent_rank() OVER (ORDER BY s), 6) AS npv_percentile FROM joined JOIN scored USING (stop_id, ageb_id)""")
 def cmp_station_audit(s, d):
-    """Weighted score of every zone with its percentile; one row per zone, so one window holds them all."""
-    norm = checkpointed(_normalised(s, d)).na.fill(0.0, _NORMS)
-    scored = weighting.weighted_score(norm, weighting.critic(checkpointed(_normalised(s, d)), _NORMS), {c: c for c in _NORMS}, "score")
-    return scored.select("ageb_id", F.round("score", 6).alias("score"), F.round(100 * F.percent_rank().over(Window.orderBy(F.round("score", 9))), 4).alias("percentile"))
+    master = _master(s, d)
+    weights = weighting.critic(siting.normalised(master, ["ageb_id"]), _NORMS)
+    return siting.station_audit(_stops(s, d), zone_features.stop_features(_denue(s, d), _stops(s, d)), siting.holding(_stops(s, d), _zones(s, d)), master, weights)
 
 
 @query(f"""{_INSIDE_DENUE}, lab AS (SELECT i.ageb_id, {_sql_sector('scian_codigo')} AS sector, {_sql_jobs('estrato_personal')} AS jobs FROM inside i JOIN located USING (denue_id)),
@@ -261,13 +297,19 @@ def cmp_place_features(s, d):
     return f.withColumns({c: F.round(c, 4) for c in ("p_poi_density", "p_retail_density", "p_service_density")} | {"p_land_use_mix": F.round("p_land_use_mix", 6)})
 
 
-@query(f"""{_STOP_DISTANCES}, {_ACCESS}, held AS (SELECT DISTINCT ageb_id FROM inside), both_ AS (SELECT a.*, h.ageb_id IS NOT NULL AS positive FROM access a LEFT JOIN held h USING (ageb_id))
-SELECT ageb_id, CASE WHEN positive THEN 1 ELSE 0 END AS label, ntile(4) OVER (PARTITION BY positive ORDER BY stops_800m NULLS LAST, ageb_id) AS quartile FROM both_""")
+_LABELS = f"""held AS (SELECT DISTINCT ageb_id FROM inside), both_ AS (SELECT a.ageb_id, stops_400m, stops_800m, employment_proxy, CASE WHEN h.ageb_id IS NULL THEN 0 ELSE 1 END AS label
+  FROM access a LEFT JOIN emp e USING (ageb_id) LEFT JOIN held h USING (ageb_id) WHERE h.ageb_id IS NULL OR e.ageb_id IS NOT NULL),
+tiles AS (SELECT *, ntile(4) OVER (PARTITION BY label ORDER BY stops_400m + stops_800m NULLS LAST, ageb_id) AS accessibility_quartile, ntile(4) OVER (PARTITION BY label ORDER BY employment_proxy NULLS LAST, ageb_id) AS employment_quartile FROM both_),
+picked AS (SELECT *, row_number() OVER (PARTITION BY accessibility_quartile, employment_quartile ORDER BY md5('42|' || ageb_id)) AS k FROM tiles WHERE label = 0),
+labels AS (SELECT ageb_id, label, stops_400m, stops_800m, employment_proxy, accessibility_quartile, employment_quartile, 'existing_station' AS stratum, 'suitable' AS label_str FROM tiles WHERE label = 1
+  UNION ALL SELECT ageb_id, label, stops_400m, stops_800m, employment_proxy, accessibility_quartile, employment_quartile, 'underserved_q' || accessibility_quartile || '_' || employment_quartile, 'unsuitable'
+  FROM picked WHERE k <= greatest(1, (SELECT count(*) FROM tiles WHERE label = 1) // 16))"""
+
+
+@query(f"{_STOP_DISTANCES}, {_ACCESS}, {_LOCATED}, {_EMPLOYMENT}, {_LABELS} SELECT * FROM labels")
 def cmp_training_labels(s, d):
-    """Zones with a stop are positive; quartiles of accessibility within either label, nulls last."""
-    held = zone_features.zones_of(zone_features.stop_points(_stops(s, d)), "stop_id", "x", "y", _zones(s, d)).select("ageb_id").distinct().withColumn("label", F.lit(1))
-    both = zone_features.accessibility(_stops(s, d), _zones(s, d)).join(held, "ageb_id", "left").na.fill(0, ["label"])
-    return both.select("ageb_id", "label", F.ntile(4).over(Window.partitionBy("label").orderBy(F.col("stops_800m").asc_nulls_last(), "ageb_id")).alias("quartile"))
+    zones = _zones(s, d)
+    return siting.training_labels(zone_features.zone_ids(zones), siting.holding(_stops(s, d), zones), zone_features.accessibility(_stops(s, d), zones), zone_features.employment(_denue(s, d), zones))
 
 
 # --- weights over the sixteen indicators -----------------------------------------------------------------------------
@@ -387,9 +429,9 @@ def cmp_predict_surface(s, d):
 # --- further composites ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT cvegeo, cve_mun, geom.srid AS srid FROM ageb WHERE cve_ent = '14' AND cve_ageb NOT LIKE '%A%' AND cve_mun IN ('039', '044', '051', '070', '097', '098', '101', '120', '124', '009')")
+@query(f"SELECT DISTINCT cvegeo, cve_mun, geom.srid AS srid FROM ageb WHERE cve_ent = '14' AND cve_ageb NOT LIKE '%A%' AND cve_mun IN {MUNICIPALITIES}")
 def cmp_base_ageb(s, d):
-    keep = F.col("cve_mun").isin("039", "044", "051", "070", "097", "098", "101", "120", "124", "009")
+    keep = F.col("cve_mun").isin(*MUNICIPALITIES)
     return _zones(s, d).where((F.col("cve_ent") == "14") & ~F.col("cve_ageb").like("%A%") & keep).select("cvegeo", "cve_mun", F.col("geom.srid").alias("srid")).distinct()
 
 
@@ -403,16 +445,17 @@ def _supply(s, d):
     return line_supply.route_supply(_lines(s, d), "shape", "line", _zones(s, d), "cvegeo", "geom", 800.0)
 
 
-@query(None)
+@query(f"WITH {_ZONES}, {_ROUTES} SELECT ageb_id AS region, round(km, 6) AS route_km_within_800m FROM supply")
 def cmp_route_supply(s, d):
-    """Kilometres of lines within 800 m of each zone; tested against dense sampling."""
+    """Kilometres of lines within 800 m of each zone."""
     return _supply(s, d).withColumn("route_km_within_800m", F.round("route_km_within_800m", 6))
 
 
-@query(None)
+@query(f"{_STOP_DISTANCES}, {_ACCESS}, {_ROUTES} SELECT a.ageb_id, stops_400m, stops_800m, round(min_stop_dist_m, 4) AS min_stop_dist_m, round(coalesce(km, 0), 6) AS route_km_within_800m FROM access a LEFT JOIN supply USING (ageb_id)")
 def cmp_features_transport(s, d):
     supply = _supply(s, d).withColumnRenamed("region", "ageb_id")
-    return zone_features.accessibility(_stops(s, d), _zones(s, d)).join(supply, "ageb_id", "left").na.fill(0.0, ["route_km_within_800m"])
+    joined = zone_features.accessibility(_stops(s, d), _zones(s, d)).join(supply, "ageb_id", "left").na.fill(0.0, ["route_km_within_800m"])
+    return joined.withColumns({"min_stop_dist_m": F.round("min_stop_dist_m", 4), "route_km_within_800m": F.round("route_km_within_800m", 6)})
 
 
 @query(f"""WITH {_SHAPES}, seg AS (SELECT shape || '|' || o AS edge, (x + px) / 2 AS x, (y + py) / 2 AS y, sqrt(power(x - px, 2) + power(y - py, 2)) AS l FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM shapes WINDOW w AS (PARTITION BY shape ORDER BY o)) WHERE px IS NOT NULL),
@@ -431,11 +474,18 @@ def cmp_node_features(s, d):
     return f.withColumns({"n_intersections": F.round("n_intersections", 4), "n_intersection_density": F.round("n_intersection_density", 4), "n_street_density": F.round("n_street_density", 2)})
 
 
-@query(f"{_MASTER}, held AS (SELECT DISTINCT ageb_id FROM inside) SELECT m.ageb_id, CASE WHEN h.ageb_id IS NOT NULL THEN 1 ELSE 0 END AS label, coalesce(stops_800m, 0)::DOUBLE AS stops_800m, round(coalesce(min_stop_dist_m, 0), 4) AS min_stop_dist_m, employment_proxy::DOUBLE AS employment_proxy FROM master m LEFT JOIN held h USING (ageb_id)")
+_FRAME = ["stops_800m", "min_stop_dist_m", "employment_proxy", "route_km_800m", "slope_mean"]
+
+
+@query(f"{_MASTER}, {_LABELS} SELECT ageb_id, label, label_str, l.stops_400m::DOUBLE AS stops_400m, {', '.join(f'round(coalesce(m.{c}, 0), 4) AS {c}' for c in _FRAME)} FROM labels l JOIN master m USING (ageb_id)")
 def cmp_training_frame(s, d):
-    held = zone_features.zones_of(zone_features.stop_points(_stops(s, d)), "stop_id", "x", "y", _zones(s, d)).select("ageb_id").distinct().withColumn("label", F.lit(1))
-    joined = _master(s, d).join(held, "ageb_id", "left").na.fill(0)
-    return joined.select("ageb_id", "label", F.col("stops_800m").cast("double").alias("stops_800m"), F.round("min_stop_dist_m", 4).alias("min_stop_dist_m"), F.col("employment_proxy").cast("double").alias("employment_proxy"))
+    """The labelled zones of the master table with its criteria as numbers, 0 where there is none."""
+    return _frame(s, d).withColumns({c: F.round(c, 4) for c in _FRAME})
+
+
+def _frame(s, d):
+    joined = cmp_training_labels(s, d).select("ageb_id", "label", "label_str", F.col("stops_400m").cast("double").alias("stops_400m")).join(_master(s, d).drop("stops_400m"), "ageb_id")
+    return joined.select("ageb_id", "label", "label_str", "stops_400m", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _FRAME])
 
 
 _SPLIT = "right(ageb_id, 1) IN ('0', '1', '2', '3', '4')"
