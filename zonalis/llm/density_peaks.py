@@ -14,7 +14,7 @@ Blocks: what remains is compared within the leaves of a k-d tree whose cuts are
 within the radius of the cut.  A record belongs to one leaf and is copied to every leaf within the radius of it, so a
 leaf's own records find all their neighbours there.  In a leaf the records of one cell are compared with those of another,
 or with those of no cell, as far as they can be within the radius of each other; large sides are cut into chunks, each
-pair of chunks a task of its own.  Only counts, nearest neighbours and touching labels leave a task, never pairs of
+pair of chunks a task of its own, which divides both sides further in the same way.  Only counts, nearest neighbours and touching labels leave a task, never pairs of
 records.  Two cells side by side are compared record by record where the distance of their centres doesn't decide.
 """
 
@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from zonalis.plans.runtime import checkpointed, keyed_join
 
 #: Records a leaf or chunk should hold.
-CHUNK = 4_000
+CHUNK = 8_000
 #: Rows of the sample that shapes the tree: as many per leaf, within these bounds.
 SAMPLE, SAMPLE_PER_LEAF, SAMPLE_MOST = 20_000, 16, 200_000
 #: Rows of the sample that shows the cells, records a cell should have at least, and sampled ones that must show it.
 CELL_SAMPLE, CELL_LEAST, SHOWN = 10_000, 500, 8
-#: Distances computed at once.
-CELLS = 4_000_000
+#: Distances computed at once, and pairs of records of a task that aren't divided any further.
+CELLS, PIECE = 4_000_000, 100_000
 #: Equal rows from which a point's group is brought to them without a shuffle.
 HEAVY = 100_000
 
@@ -53,6 +53,27 @@ def _distances(p: np.ndarray, q: np.ndarray):
         yield a, _squares(p[a : a + step], q)
 
 
+def _pieces(p: np.ndarray, q: np.ndarray, radius: float):
+    """(rows of p, rows of q) that together hold all pairs within the radius, every row of p with each of its q once:
+    both sides are cut where few of q lie within the radius of the cut, for as long as that saves comparisons."""
+    todo = [(np.arange(len(p)), np.arange(len(q)))]
+    while todo:
+        i, j = todo.pop()
+        if len(i) * len(j) > PIECE:
+            v = q[j[:: max(1, len(j) // 256)]]
+            cuts = np.quantile(v, np.linspace(0.2, 0.8, 7), axis=0, method="nearest")
+            near = (np.abs(v[None] - cuts[:, None]) <= radius).mean(1)
+            k, dim = np.unravel_index(near.argmin(), near.shape)
+            cut = cuts[k, dim]
+            low, at = p[i, dim] < cut, q[j, dim]
+            sides = (i[low], j[at < cut + radius]), (i[~low], j[at >= cut - radius])
+            if sum(len(a) * len(b) for a, b in sides) < 0.8 * len(i) * len(j):
+                todo += sides
+                continue
+        if len(i) and len(j):
+            yield i, j
+
+
 def _vectors(batch, name: str = "at") -> np.ndarray:
     column = batch[name]
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -319,10 +340,11 @@ def densities(points: DataFrame, blocks: Blocks, cells: Cells, radius: float) ->
         density, apart = np.zeros(len(p), np.int64), np.zeros(len(p))
         if len(p) and len(q):
             weight = other["weight"].to_numpy().astype(float)
-            for a, d2 in _distances(p, q):
-                near = d2 <= radius * radius
-                density[a : a + len(d2)] = np.rint(near @ weight)
-                apart[a : a + len(d2)] = (d2 * near) @ weight
+            for i, j in _pieces(p, q, radius):
+                for a, d2 in _distances(p[i], q[j]):
+                    near = d2 <= radius * radius
+                    density[i[a : a + len(d2)]] = np.rint(near @ weight[j])
+                    apart[i[a : a + len(d2)]] = (d2 * near) @ weight[j]
         return pa.table({"id": mine["id"], "density": density, "apart": apart})
 
     def of_cell(batches):
@@ -359,13 +381,15 @@ def pointers(points: DataFrame, blocks: Blocks, cells: Cells, radius: float) ->
             oid, odens, q = oid[order], odens[order], q[order]
             place, end = np.searchsorted(-odens, -dens, "left"), np.searchsorted(-odens, -dens, "right")
             place = np.array([a + np.searchsorted(oid[a:b], i) for a, b, i in zip(place, end, ids)])
-            for a, d2 in _distances(p, q):
-                d2[(d2 > radius * radius) | (np.arange(len(q))[None] >= place[a : a + len(d2), None])] = np.inf
-                k = d2.argmin(1)
-                best[a : a + len(d2)] = d2[np.arange(len(d2)), k]
-                parent[a : a + len(d2)] = k
+            for i, j in _pieces(p, q, radius):
+                for a, d2 in _distances(p[i], q[j]):
+                    mine = i[a : a + len(d2)]
+                    d2[(d2 > radius * radius) | (j[None] >= place[mine, None])] = np.inf
+                    k = d2.argmin(1)
+                    best[mine] = d2[np.arange(len(d2)), k]
+                    parent[mine] = j[k]
         has = np.isfinite(best)
-        return pa.table({"id": mine["id"].filter(pa.array(has)), "apart": best[has], "to": oid[parent[has]] if len(oid) else np.empty(0, np.int64)})
+        return pa.table({"id": ids[has], "apart": best[has], "to": oid[parent[has]] if len(oid) else np.empty(0, np.int64)})
 
     found = _by_block(points.select("id", "at", "cell", "density", "seeks"), blocks, cells, radius, "seeks").applyInArrow(seek, "id bigint, apart double, to bigint")
     nearest = found.groupBy("id").agg(F.min(F.struct("apart", "to"))["to"].alias("to"))
@@ -395,10 +419,14 @@ def touching(points: DataFrame, blocks: Blocks, cells: Cells, radius: float) ->
         (mine, p), (other, q) = _sides(t)
         la, lb = mine["label"].to_numpy(), other["label"].to_numpy()
         found = set()
-        if len(p) and len(q) and (la.min() != la.max() or lb.min() != lb.max() or la[0] != lb[0]):
-            for a, d2 in _distances(p, q):
-                r, c = np.nonzero((d2 <= radius * radius) & (la[a : a + len(d2), None] != lb[None]))
-                found |= set(zip(np.minimum(la[a + r], lb[c]).tolist(), np.maximum(la[a + r], lb[c]).tolist()))
+        if len(p) and len(q):
+            for i, j in _pieces(p, q, radius):
+                if la[i].min() == la[i].max() == lb[j].min() == lb[j].max():
+                    continue
+                for a, d2 in _distances(p[i], q[j]):
+                    r, c = np.nonzero((d2 <= radius * radius) & (la[i[a : a + len(d2)], None] != lb[j][None]))
+                    one, two = la[i[a + r]], lb[j[c]]
+                    found |= set(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist()))
         low, high = zip(*sorted(found)) if found else ((), ())
         return pa.table({"low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
 
@@ -460,12 +488,14 @@ def clusters(df: DataFrame, key: str, features: list[str], radius: float, chunk:
 
 def _to_rows(rows: DataFrame, of_point: DataFrame) -> DataFrame:
     """Every row with what its point has; points of very many equal rows don't draw these together."""
-    heavy = of_point.where(F.col("weight") >= HEAVY)
+    # the hash spares comparing whole vectors when sorting
+    rows, of_point = (df.withColumn("_hash", F.xxhash64("at")) for df in (rows, of_point))
+    heavy = of_point.where(F.col("weight") >= HEAVY).drop("_hash")
     n = heavy.count()
     if not n:
-        return rows.join(of_point, "at")
+        return rows.join(of_point, ["_hash", "at"])
     marked = keyed_join(rows, heavy, "at", n, "left")
-    return marked.where("weight is not null").unionByName(marked.where("weight is null").select(*rows.columns).join(of_point, "at"))
+    return marked.where("weight is not null").unionByName(marked.where("weight is null").select(*rows.columns).join(of_point, ["_hash", "at"]).select(*marked.columns))
 
 
 def described(found: DataFrame, key: str, typical: int = 3) -> DataFrame:
