@@ -200,11 +200,11 @@ def geo_interpolate(s, d):
     return _lines(s, d).select("shape", G.interpolate(F.col("line"), 0.5).alias("m")).select("shape", F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"))
 
 
-@query("SELECT denue_id, x_6372, y_6372, true AS round_trip FROM denue WHERE latitud BETWEEN 1 AND 89")
+@query("SELECT denue_id, x_6372, y_6372, true AS round_trip FROM denue WHERE latitud IS NOT NULL AND longitud IS NOT NULL")
 def geo_transform(s, d):
     """The stored plane coordinates, out of the geographic ones, and the way back within 1e-9 degrees."""
     x, y = forward(F.col("longitud"), F.col("latitud"))
-    at = _denue(s, d).where("latitud between 1 and 89").select("denue_id", "longitud", "latitud", x.alias("x"), y.alias("y"))
+    at = _denue(s, d).where("latitud is not null and longitud is not null").select("denue_id", "longitud", "latitud", x.alias("x"), y.alias("y"))
     lon, lat = inverse(F.col("x"), F.col("y"))
     back = (F.abs(lon - F.col("longitud")) < 1e-9) & (F.abs(lat - F.col("latitud")) < 1e-9)
     return at.select("denue_id", (F.round(F.col("x") * 8) / 8).alias("x_6372"), (F.round(F.col("y") * 8) / 8).alias("y_6372"), back.alias("round_trip"))
@@ -345,19 +345,16 @@ def cmp_ensemble(s, d):
     return weighting.ensemble(_sixteen(s, d), _SIXTEEN, _DIMENSIONS).select("feature", "dimension", F.round("ensemble_weight", 6).alias("w"))
 
 
-_MM = _SIXTEEN[3:7]
-
-
-@query(f"WITH {_FILLED} SELECT profile_id, " + ", ".join(f"round(coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0), 8) AS {c}" for c in _MM) + " FROM f")
+@query(f"WITH {_FILLED} SELECT profile_id, " + ", ".join(f"round(coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0), 8) AS {c}" for c in _SIXTEEN) + " FROM f")
 def cmp_minmax(s, d):
-    return weighting.minmax(T(s, d, "cluster_profiles").select("profile_id", *_MM), _MM).withColumns({c: F.round(c, 8) for c in _MM})
+    return weighting.minmax(T(s, d, "cluster_profiles").select("profile_id", *_SIXTEEN), _SIXTEEN).withColumns({c: F.round(c, 8) for c in _SIXTEEN})
 
 
-@query(f"WITH {_FILLED}, {_EWM} SELECT profile_id, " + ", ".join(f"round({c} * (SELECT w FROM ewm WHERE feature = '{c}'), 8) AS {c}" for c in _MM) + " FROM f")
+@query(f"WITH {_FILLED}, {_EWM} SELECT profile_id, " + ", ".join(f"round({c} * (SELECT w FROM ewm WHERE feature = '{c}'), 8) AS {c}" for c in _SIXTEEN) + " FROM f")
 def cmp_apply_weights(s, d):
     weights = weighting.entropy_weights(_sixteen(s, d), _SIXTEEN)
     wide = weights.agg(F.map_from_entries(F.collect_list(F.struct("feature", "ewm_weight"))).alias("w"))  # one row of sixteen entries
-    return _sixteen(s, d).crossJoin(F.broadcast(wide)).select("profile_id", *[F.round(F.col(c) * F.try_element_at("w", F.lit(c)), 8).alias(c) for c in _MM])
+    return _sixteen(s, d).crossJoin(F.broadcast(wide)).select("profile_id", *[F.round(F.col(c) * F.try_element_at("w", F.lit(c)), 8).alias(c) for c in _SIXTEEN])
 
 
 # --- quality of scores -----------------------------------------------------------------------------------------------
@@ -398,15 +395,13 @@ def mtr_macro(s, d):
     return m.withColumns({c: F.round(c, 8) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")})
 
 
-_TWO = ["p_poi_density_n", "pe_rezago_n"]
-
-
-@query("""WITH r AS (SELECT profile_id AS k, cluster_id AS c, p_poi_density_n AS a, pe_rezago_n AS b FROM cluster_profiles WHERE cluster_id IS NOT NULL AND p_poi_density_n IS NOT NULL AND pe_rezago_n IS NOT NULL),
-d AS (SELECT x.k, x.c, y.c AS o, sum(sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2))) AS d, count(*) AS n FROM r x CROSS JOIN r y GROUP BY 1, 2, 3),
+@query(f"""WITH r AS (SELECT profile_id AS k, cluster_id AS c, [{", ".join(_SIXTEEN)}] AS at FROM cluster_profiles WHERE cluster_id IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in _SIXTEEN)}),
+d AS (SELECT x.k, x.c, y.c AS o, sum(list_distance(x.at, y.at)) AS d, count(*) AS n FROM r x CROSS JOIN r y GROUP BY 1, 2, 3),
 s AS (SELECT k, max(CASE WHEN c = o AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN c <> o THEN d / n END) AS b FROM d GROUP BY k)
 SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 8) AS silhouette FROM s""")
 def mtr_silhouette(s, d):
-    return metrics.silhouette(T(s, d, "cluster_profiles"), "profile_id", "cluster_id", _TWO).select(F.round("silhouette", 8).alias("silhouette"))
+    """By definition of all pairs: for tables of the size of the study area's."""
+    return metrics.silhouette(T(s, d, "cluster_profiles"), "profile_id", "cluster_id", _SIXTEEN).select(F.round("silhouette", 8).alias("silhouette"))
 
 
 @query("WITH a AS (SELECT run_id, avg(score_rf) AS x, avg(score_lgbm) AS y FROM ageb_suitability_predictions WHERE NOT isnan(score_rf) AND NOT isnan(score_lgbm) GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY x) AS rx, rank() OVER (ORDER BY y) AS ry FROM a) SELECT round(corr(rx, ry), 8) AS rho, count(*) AS n FROM r")
@@ -499,10 +494,10 @@ def cmp_leakage(s, d):
     return models.leakage_report(r.where("train"), r.where("not train"), "k", ["a", "b"], "y").withColumn("positive_rate", F.round("positive_rate", 8))
 
 
-@query("SELECT cluster_id, count(*) AS size, round(avg(p_poi_density_n), 8) AS p_poi_density_n, round(avg(pe_rezago_n), 8) AS pe_rezago_n, 'Typology ' || chr(65 + cluster_id) AS typology_name FROM cluster_profiles WHERE cluster_id IS NOT NULL GROUP BY cluster_id")
+@query(f"SELECT cluster_id, count(*) AS size, {', '.join(f'round(avg({c}), 8) AS {c}' for c in _SIXTEEN)}, 'Typology ' || chr(65 + cluster_id) AS typology_name FROM cluster_profiles WHERE cluster_id IS NOT NULL GROUP BY cluster_id")
 def cmp_cluster_profiles(s, d):
-    found = models.cluster_profiles(T(s, d, "cluster_profiles").where("cluster_id is not null"), ["p_poi_density_n", "pe_rezago_n"])
-    return found.withColumns({c: F.round(c, 8) for c in ("p_poi_density_n", "pe_rezago_n")})
+    found = models.cluster_profiles(T(s, d, "cluster_profiles").where("cluster_id is not null"), _SIXTEEN)
+    return found.withColumns({c: F.round(c, 8) for c in _SIXTEEN})
 
 
 @query(f"""WITH {_FILLED}, {_EWM}, m AS ({" UNION ALL ".join(f"SELECT cluster_id, '{c}' AS feature, round(avg({c}), 10) AS v FROM cluster_profiles WHERE cluster_id IS NOT NULL GROUP BY 1" for c in _SIXTEEN)}),

@@ -20,6 +20,7 @@ from zonalis.functions.scalars import (
     safe_ratio,
     zfill,
 )
+from zonalis.operators.ranking import percent_rank_ascending, positions, tile
 from zonalis.plans.runtime import table as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,10 +190,10 @@ def jn_left_equi(s, d):
     return T(s, d, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.bal, b.size FROM (SELECT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_custkey % 2 = 0) a FULL OUTER JOIN (SELECT p_partkey AS k, p_size AS size FROM part WHERE p_partkey % 3 = 0) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, a.units, b.slopes FROM (SELECT ageb_id AS k, count(*) AS units FROM denue WHERE ageb_id IS NOT NULL GROUP BY 1) a FULL OUTER JOIN (SELECT ageb_id AS k, count(slope_mean) AS slopes FROM ageb_topography WHERE ageb_id IS NOT NULL GROUP BY 1) b ON a.k = b.k")
 def jn_full_outer(s, d):
-    a = T(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
-    b = T(s, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
+    a = T(s, d, "denue").where("ageb_id is not null").groupBy(F.col("ageb_id").alias("k")).agg(F.count("*").alias("units"))
+    b = T(s, d, "ageb_topography").where("ageb_id is not null").groupBy(F.col("ageb_id").alias("k")).agg(F.count("slope_mean").alias("slopes"))
     return a.join(b, "k", "full")
 
 
@@ -388,13 +389,14 @@ def win_rank_desc(s, d):
 
 @query("SELECT run_id, ageb_id, created_at IS NULL AS u, round(100 * percent_rank() OVER (PARTITION BY run_id ORDER BY CASE WHEN isnan(score_rf) THEN NULL ELSE score_rf END NULLS FIRST), 6) AS pct FROM ageb_suitability_predictions")
 def win_percent_rank(s, d):
-    w = Window.partitionBy("run_id").orderBy(nan_to_null(F.col("score_rf")).asc_nulls_first())
-    return T(s, d, "ageb_suitability_predictions").select("run_id", "ageb_id", F.col("created_at").isNull().alias("u"), F.round(100 * F.percent_rank().over(w), 6).alias("pct"))
+    # nulls first in ascending order are last in descending order
+    rows = T(s, d, "ageb_suitability_predictions").select("run_id", "ageb_id", F.col("created_at").isNull().alias("u"), nan_to_null(F.col("score_rf")).alias("_score"))
+    return positions(rows, ["run_id"], ["_score"], descending=True).select("run_id", "ageb_id", "u", F.round(100 * percent_rank_ascending(), 6).alias("pct"))
 
 
 @query("SELECT c_custkey, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal NULLS LAST, c_custkey) AS quartile FROM customer")
 def win_ntile(s, d):
-    return T(s, d, "customer").select("c_custkey", F.ntile(4).over(Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").asc_nulls_last(), "c_custkey")).alias("quartile"))
+    return positions(T(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_mktsegment"], ["c_acctbal", "c_custkey"]).select("c_custkey", tile(4).alias("quartile"))
 
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS position FROM part")
@@ -417,14 +419,25 @@ def win_stratified_sample(s, d):
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int) -> DataFrame:
-    """`df` with a fold from 0 to folds - 1 that spreads every label evenly."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % folds)
+    """`df` with a fold from 0 to folds - 1 that spreads every label evenly, in the order of a hash of the key."""
+    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string")))
+    return positions(hashed, [label], ["_hash", key]).select(*df.columns, ((F.col("_position") - 1) % folds).alias("fold"))
+
+
+def stratified_split(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
+    """`df` with `held`: whether a row belongs to the share of every label that is held out, rounded to whole rows."""
+    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string")))
+    return positions(hashed, [label], ["_hash", key]).select(*df.columns, (F.col("_position") <= F.round(F.col("_n") * share)).alias("held"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) <= round(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) AS held FROM orders")
+def win_stratified_split(s, d):
+    return stratified_split(T(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 0.2).select("o_orderkey", "held")
 
 
 @query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) - 1) % 5 AS fold FROM orders")
 def win_stratified_fold(s, d):
-    return stratified_folds(T(s, d, "orders"), "o_orderstatus", "o_orderkey", 5).select("o_orderkey", "fold")
+    return stratified_folds(T(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 5).select("o_orderkey", "fold")
 
 
 # --- sorts, limits, samples, sets ------------------------------------------------------------------------------------
