@@ -105,3 +105,40 @@ def geojson(geom: Column) -> Column:
     closed = lambda r: F.when((r[0]["x"] == F.get(r, F.size(r) - 1)["x"]) & (r[0]["y"] == F.get(r, F.size(r) - 1)["y"]), r).otherwise(F.concat(r, F.array(r[0])))
     coordinates = F.transform(geom["rings"], lambda p: F.transform(p, lambda r: F.transform(closed(r), lambda q: F.array(q["x"], q["y"]))))
     return F.when(geom["rings"].isNotNull(), F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates"))))
+
+
+def edges(geom: Column) -> Column:
+    """array<struct<ax, ay, bx, by>> of all rings, each edge from its lesser to its greater end, closed rings or not;
+    edges without length are left out."""
+
+    def of_ring(ring: Column) -> Column:
+        n = F.size(ring)
+
+        def edge(p: Column, i: Column) -> Column:
+            q = F.get(ring, (i + 1) % n)
+            first = (p["x"] < q["x"]) | ((p["x"] == q["x"]) & (p["y"] < q["y"]))
+            a, b = (F.when(first, p).otherwise(q), F.when(first, q).otherwise(p))
+            return F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+
+        return F.filter(F.transform(ring, edge), lambda e: (e["ax"] != e["bx"]) | (e["ay"] != e["by"]))
+
+    return F.flatten(F.transform(F.flatten(geom["rings"]), of_ring))
+
+
+def union_geom(geom: Column) -> Column:
+    """Aggregate: the distinct polygons of a group as one list of polygons; for groups known to be small."""
+    return F.array_distinct(F.flatten(F.collect_list(geom["rings"])))
+
+
+def representative_point(geom: Column) -> Column:
+    """A point inside the first polygon: the middle of the widest stretch inside, on the level halfway between the two
+    middle heights of its points.  Null without an area."""
+    geom = F.struct(F.slice(geom["rings"], 1, 1).alias("rings"))
+    heights = F.array_sort(F.array_distinct(points_of(geom)["y"]))
+    k = F.floor(F.size(heights) / 2).cast("int")
+    level = (F.get(heights, k - 1) + F.get(heights, k)) / 2
+    across = F.filter(edges(geom), lambda e: (e["ay"] > level) != (e["by"] > level))
+    xs = F.array_sort(F.transform(across, lambda e: e["ax"] + (level - e["ay"]) * (e["bx"] - e["ax"]) / F.when(e["by"] != e["ay"], e["by"] - e["ay"])))
+    stretches = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("w"), ((F.get(xs, 2 * i + 1) + F.get(xs, 2 * i)) / 2).alias("x")))
+    widest = F.array_max(stretches)
+    return F.when(widest["x"].isNotNull(), F.struct(widest["x"].alias("x"), level.alias("y")))

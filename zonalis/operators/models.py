@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonalis.operators import metrics
 from zonalis.operators.metrics import silhouette
+from zonalis.operators.ranking import positions, stratified_folds
+from zonalis.plans.runtime import checkpointed
 
 
 def assembled(df: DataFrame, features: list[str], to: str = "features") -> DataFrame:
@@ -24,18 +28,17 @@ def assembled(df: DataFrame, features: list[str], to: str = "features") -> DataF
 
 def kmeans(df: DataFrame, features: list[str], k: int, starts: int = 10, seed: int = 42) -> DataFrame:
     """`df` with `cluster_id`, the best of several starts; clusters are numbered by size, then by their centre."""
-    data = assembled(df, features, "_f").persist()
+    data = checkpointed(assembled(df, features, "_f"))
     best = min((KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="_c").fit(data) for i in range(starts)), key=lambda m: m.summary.trainingCost)
     sizes, centres = best.summary.clusterSizes, [c.tolist() for c in best.clusterCenters()]
     order = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i])))}
     names = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    out = best.transform(data).withColumn("cluster_id", names[F.col("_c")]).drop("_f", "_c")
-    data.unpersist()
-    return out
+    return best.transform(data).withColumn("cluster_id", names[F.col("_c")]).drop("_f", "_c")
 
 
 def select_k(df: DataFrame, key: str, features: list[str], ks: range = range(3, 9), starts: int = 3) -> tuple[int, dict[int, float]]:
-    """The number of clusters with the greatest exact silhouette, the smallest of several, and all silhouettes."""
+    """The number of clusters with the greatest exact silhouette, the smallest of several, and all silhouettes.  Every
+    silhouette compares all pairs of rows: for tables of the size of a study area's zones."""
     scores = {k: silhouette(kmeans(df, features, k, starts), key, "cluster_id", features).first()[0] for k in ks}
     return max(scores, key=lambda k: (scores[k], -k)), scores
 
@@ -68,7 +71,7 @@ def boosted(df: DataFrame, features: list[str], label: str, rounds: int = 350, s
 
 def boosted_multiclass(df: DataFrame, features: list[str], label: str, rounds: int = 300, step: float = 0.05, depth: int = 6, seed: int = 42):
     one = GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
-    return OneVsRest(classifier=one, labelCol="_y", featuresCol="_f").fit(assembled(df, features, "_f").withColumn("_y", F.col(label).cast("double")))
+    return OneVsRest(classifier=one, labelCol="_y", featuresCol="_f", parallelism=4).fit(assembled(df, features, "_f").withColumn("_y", F.col(label).cast("double")))
 
 
 def scored(model, df: DataFrame, features: list[str], to: str = "score") -> DataFrame:
@@ -76,6 +79,68 @@ def scored(model, df: DataFrame, features: list[str], to: str = "score") -> Data
     return model.transform(assembled(df, features, "_f")).withColumn(to, vector_to_array("probability")[1]).select(*df.columns, to)
 
 
+def classified(model, df: DataFrame, features: list[str], to: str = "predicted") -> DataFrame:
+    """`df` with the class a model of several classes gives."""
+    return model.transform(assembled(df, features, "_f")).withColumn(to, F.col("prediction").cast("int")).select(*df.columns, to)
+
+
+def best_threshold(model, df: DataFrame, features: list[str], label: str) -> float:
+    """The score with the greatest F1 on labelled rows, 0.5 where there are none."""
+    row = metrics.best_f1(scored(model, df, features, "_score").withColumn("_g", F.lit(0)), ["_g"], label, "_score").first()
+    return 0.5 if row is None else row["threshold"]
+
+
+def evaluated(model, df: DataFrame, features: list[str], label: str, threshold: float) -> dict[str, float]:
+    """Average precision, AUC, and F1, precision, recall and accuracy at a threshold, on labelled rows."""
+    s = checkpointed(scored(model, df, features, "_score").select(label, "_score", (F.col("_score") >= threshold).cast("int").alias("_p"), F.lit(0).alias("_g")))
+    ranks, cells = metrics.ranking_metrics(s, ["_g"], label, "_score").first(), metrics.binary_metrics(s, ["_g"], label, "_p").first()
+    return {"n": ranks["n"], "pr_auc": ranks["ap"], "roc_auc": ranks["auc"], **{c: cells[c] for c in ("f1", "precision", "recall", "accuracy")}, "threshold": threshold}
+
+
+def cross_validated(df: DataFrame, key: str, label: str, features: list[str], fit, folds: int = 5, at_once: int = 4) -> list[dict[str, float]]:
+    """evaluated() of every stratified fold by `fit(rows)` of the others, whose best threshold counts; some folds at once."""
+    folded = checkpointed(stratified_folds(df.select(key, label, *features), label, key, folds))
+
+    def one(k: int) -> dict[str, float]:
+        train = folded.where(F.col("fold") != k)
+        model = fit(train)
+        return {"fold": k + 1, **evaluated(model, folded.where(F.col("fold") == k), features, label, best_threshold(model, train, features, label))}
+
+    with ThreadPool(at_once) as pool:
+        return pool.map(one, range(folds))
+
+
+def cross_validated_classes(df: DataFrame, key: str, label: str, features: list[str], fit, folds: int = 5, at_once: int = 4) -> dict[str, float]:
+    """Accuracy and macro precision, recall and F1, the means of stratified folds."""
+    folded = checkpointed(stratified_folds(df.select(key, label, *features), label, key, folds))
+
+    def one(k: int):
+        return classified(fit(folded.where(F.col("fold") != k)), folded.where(F.col("fold") == k), features).select(label, "predicted", "fold")
+
+    with ThreadPool(at_once) as pool:
+        parts = pool.map(one, range(folds))
+    per = metrics.macro_metrics(reduce(DataFrame.unionByName, parts), ["fold"], label, "predicted")
+    names = ("accuracy", "macro_precision", "macro_recall", "macro_f1")
+    return per.agg(*[F.avg(c).alias(c) for c in names]).first().asDict()
+
+
+def shuffled_labels(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
+    """`df` with its labels dealt out anew in the order of a hash: what a model finds then is chance or leakage."""
+    placed = positions(df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))), [], ["_hash", key]).withColumnRenamed("_position", "_at")
+    dealt = positions(df.select(key, label), [], [key]).select(F.col("_position").alias("_at"), F.col(label).alias("_label"))
+    return placed.join(dealt, "_at").withColumn(label, F.col("_label")).select(*df.columns)
+
+
+def univariate(df: DataFrame, features: list[str], label: str, most: float = 0.98) -> DataFrame:
+    """(feature, best_direction, best_pr_auc, flagged): how well each feature alone, or its negative, ranks the labels."""
+    sides = [F.struct(F.lit(f).alias("feature"), F.lit(d).alias("direction"), (F.col(f) * (1 if d == "positive" else -1)).alias("_s")) for f in features for d in ("positive", "negative")]
+    long = df.select(label, F.explode(F.array(*sides)).alias("_r")).select(label, "_r.*")
+    ap = metrics.ranking_metrics(long, ["feature", "direction"], label, "_s")
+    # of equal directions the positive one
+    best = ap.groupBy("feature").agg(F.max(F.struct(F.col("ap"), F.col("direction"))).alias("_b"))
+    return best.select("feature", F.col("_b.direction").alias("best_direction"), F.col("_b.ap").alias("best_pr_auc"), (F.col("_b.ap") > most).alias("flagged"))
+
+
 # --- explanation -----------------------------------------------------------------------------------------------------
 
 
@@ -154,6 +219,22 @@ def importance(explained_: DataFrame, features: list[str]) -> DataFrame:
     return long.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean_abs_shap"))))  # as many rows as features
 
 
+def class_importance(model, df: DataFrame, key: str, features: list[str], classes: dict[int, str]) -> DataFrame:
+    """(feature, class, mean_abs_shap) of a forest of several classes, and their sum as the class 'total'."""
+    parts = [importance(explained(model, df, key, features, value), features).select("feature", F.lit(name).alias("class"), "mean_abs_shap") for value, name in classes.items()]
+    per = checkpointed(reduce(DataFrame.unionByName, parts))
+    return per.unionByName(per.groupBy("feature").agg(F.sum("mean_abs_shap").alias("mean_abs_shap")).withColumn("class", F.lit("total")))
+
+
+def against_weights(importances: list[DataFrame], weights: DataFrame) -> DataFrame:
+    """(feature, mean_abs_shap, shap_rank, weight, weight_rank, rho): the mean over models of the mean contributions beside
+    a criterion weight of the same name, and the rank correlation of both.  As many rows as features."""
+    mean = reduce(DataFrame.unionByName, [i.select("feature", "mean_abs_shap") for i in importances]).groupBy("feature").agg(F.avg("mean_abs_shap").alias("mean_abs_shap"))
+    both = mean.join(weights.select("feature", F.col("weight_normalized").alias("weight")), "feature")
+    ranked = both.withColumns({"shap_rank": F.rank().over(Window.orderBy(F.desc("mean_abs_shap"))), "weight_rank": F.rank().over(Window.orderBy(F.desc("weight")))})
+    return ranked.withColumn("rho", F.corr("shap_rank", "weight_rank").over(Window.partitionBy()))
+
+
 def leakage_report(train: DataFrame, test: DataFrame, key: str, features: list[str], label: str) -> DataFrame:
     """One row: feature vectors (rounded to 8 digits) shared by both sets, vectors with both labels, repeated keys."""
     rounded = lambda df: df.select(*[F.bround(F.col(f), 8).alias(f) for f in features])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.functions.projection import EPSG_6372, Conic, forward
 from zonalis.operators.quadtree_join import quadtree_join, region_targets
 
 
@@ -44,8 +45,15 @@ def slope(cells: DataFrame) -> DataFrame:
 
 def in_zones(cells: DataFrame, zones: DataFrame) -> DataFrame:
     """The cells with the zone that holds their centre; cells in no zone drop out."""
+    kept = tuple(c for c in cells.columns if c not in ("x", "y"))
     keyed = cells.withColumn("cell", F.concat_ws("_", "col", "row"))
-    return quadtree_join(keyed, "cell", "x", "y", region_targets(zones, "cvegeo", "geom")).withColumnRenamed("other_id", "ageb_id").join(keyed, "cell")
+    return quadtree_join(keyed, "cell", "x", "y", region_targets(zones, "cvegeo", "geom"), carry=kept).withColumnRenamed("other_id", "ageb_id")
+
+
+def projected(cells: DataFrame, crs: Conic = EPSG_6372) -> DataFrame:
+    """The cells with their centres in the plane instead of geographic degrees; values aren't resampled."""
+    x, y = forward(F.col("x"), F.col("y"), crs)
+    return cells.withColumns({"x": x, "y": y})
 
 
 def zonal_slope(tiles: DataFrame, zones: DataFrame) -> DataFrame:
@@ -66,5 +74,5 @@ def mean_of_tile_means(tiles: DataFrame, zones: DataFrame) -> DataFrame:
         "tile_id", F.concat_ws("_", "tile_id", "i").alias("cell"), (F.col("x0") + (F.col("i") % F.col("ncols") + 0.5) * F.col("dx")).alias("x"),
         (F.col("y0") + (F.floor(F.col("i") / F.col("ncols")) + 0.5) * F.col("dy")).alias("y"), F.col("z").cast("double").alias("z"), "nodata",
     ).where(~F.isnan("z") & (F.col("nodata").isNull() | (F.col("z") != F.col("nodata"))))
-    found = quadtree_join(at, "cell", "x", "y", region_targets(zones, "cvegeo", "geom")).join(at, "cell")
+    found = quadtree_join(at, "cell", "x", "y", region_targets(zones, "cvegeo", "geom"), carry=("tile_id", "z"))
     return found.groupBy(F.col("other_id").alias("ageb_id"), "tile_id").agg(F.avg("z").alias("m")).groupBy("ageb_id").agg(F.avg("m").alias("mean"))

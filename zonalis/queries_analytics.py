@@ -12,6 +12,7 @@ from zonalis.functions.projection import forward, inverse
 from zonalis.functions.scalars import MUNICIPALITIES, SECTOR_PREFIXES, safe_corr
 from zonalis.operators import line_supply, metrics, models, siting, weighting, zone_features
 from zonalis.operators.quadtree_join import point_targets, quadtree_join
+from zonalis.operators.ranking import stratified_split
 from zonalis.plans.runtime import checkpointed
 from zonalis.plans.runtime import table as T
 from zonalis.queries_relational import _sql_jobs, _sql_sector, entropy
@@ -210,6 +211,32 @@ def geo_transform(s, d):
     return at.select("denue_id", (F.round(F.col("x") * 8) / 8).alias("x_6372"), (F.round(F.col("y") * 8) / 8).alias("y_6372"), back.alias("round_trip"))
 
 
+@query("SELECT cvegeo, true AS inside FROM ageb")
+def geo_repr_point(s, d):
+    """A point of every zone, and that it lies inside."""
+    at = _zones(s, d).select("cvegeo", "geom", G.representative_point(F.col("geom")).alias("p"))
+    return at.select("cvegeo", G.contains_point(F.col("geom"), F.col("p.x"), F.col("p.y")).alias("inside"))
+
+
+_SIDES = """sides AS (SELECT DISTINCT cve_mun, pid, least_ AS a, most_ AS b FROM (SELECT cve_mun, pid, CASE WHEN (x1, y1) < (x2, y2) THEN [x1, y1] ELSE [x2, y2] END AS least_, CASE WHEN (x1, y1) < (x2, y2) THEN [x2, y2] ELSE [x1, y1] END AS most_
+  FROM edges JOIN (SELECT DISTINCT cvegeo, cve_mun FROM ageb) USING (cvegeo) WHERE (x1, y1) <> (x2, y2)))"""
+
+
+@query(f"WITH {_ZONES}, {_SIDES}, outer_ AS (SELECT cve_mun, a, b FROM sides GROUP BY ALL HAVING count(*) % 2 = 1) SELECT cve_mun, count(*) AS edges, round(sum(sqrt(power(a[1] - b[1], 2) + power(a[2] - b[2], 2))), 3) AS length FROM outer_ GROUP BY cve_mun")
+def geo_dissolve(s, d):
+    """The outer edges of the zones of each municipality: an edge that two zones share is inside.  Neighbours must have
+    their edges point by point in common."""
+    polygons = _zones(s, d).where("cvegeo is not null").select("cve_mun", F.explode("geom.rings").alias("p")).distinct()
+    sides = polygons.select("cve_mun", F.explode(F.array_distinct(G.edges(F.struct(F.array("p").alias("rings"))))).alias("e"))
+    outer = sides.groupBy("cve_mun", "e").agg(F.count("*").alias("n")).where("n % 2 = 1")
+    return outer.groupBy("cve_mun").agg(F.count("*").alias("edges"), F.round(F.sum(F.hypot(F.col("e.ax") - F.col("e.bx"), F.col("e.ay") - F.col("e.by"))), 3).alias("length"))
+
+
+@query("SELECT cve_mun, count(*) AS polygons FROM (SELECT DISTINCT cve_mun, unnest(geom.rings) AS p FROM ageb) GROUP BY 1")
+def agg_union_geom(s, d):
+    return _zones(s, d).groupBy("cve_mun").agg(F.size(G.union_geom(F.col("geom"))).cast("bigint").alias("polygons"))
+
+
 # --- zone and stop indicators ----------------------------------------------------------------------------------------
 
 
@@ -483,15 +510,26 @@ def _frame(s, d):
     return joined.select("ageb_id", "label", "label_str", "stops_400m", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _FRAME])
 
 
-_SPLIT = "right(ageb_id, 1) IN ('0', '1', '2', '3', '4')"
+_CRITERIA = ["stops_400m", *_FRAME]
+_FRAME_SQL = f"""{_MASTER}, {_LABELS}, frame AS (SELECT ageb_id, label, l.stops_400m::DOUBLE AS stops_400m, {', '.join(f'coalesce(m.{c}, 0)::DOUBLE AS {c}' for c in _FRAME)} FROM labels l JOIN master m USING (ageb_id))"""
 
 
-@query(f"""WITH r AS (SELECT run_id || ageb_id AS k, floor(score_rf * 100) AS a, floor(score_lgbm * 100) AS b, class_rf::INT AS y, {_SPLIT} AS train FROM ageb_suitability_predictions WHERE score_rf IS NOT NULL AND score_lgbm IS NOT NULL AND class_rf IS NOT NULL AND NOT isnan(score_rf) AND NOT isnan(score_lgbm))
-SELECT (SELECT count(*) FROM (SELECT a, b FROM r WHERE train INTERSECT SELECT a, b FROM r WHERE NOT train)) AS shared_vectors, (SELECT count(*) FROM (SELECT a, b FROM r GROUP BY 1, 2 HAVING count(DISTINCT y) > 1)) AS conflicting_vectors, count(k) - count(DISTINCT k) AS repeated_keys, round(avg(y), 8) AS positive_rate FROM r""")
+@query(f"""{_FRAME_SQL}, parted AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(ageb_id), ageb_id) <= round(count(*) OVER (PARTITION BY label) * 0.2) AS held, {', '.join(f'round({c}, 6) AS r_{c}' for c in _CRITERIA)} FROM frame)
+SELECT (SELECT count(*) FROM (SELECT {', '.join(f'r_{c}' for c in _CRITERIA)} FROM parted WHERE NOT held INTERSECT SELECT {', '.join(f'r_{c}' for c in _CRITERIA)} FROM parted WHERE held)) AS shared_vectors,
+  (SELECT count(*) FROM (SELECT 1 FROM parted GROUP BY {', '.join(f'r_{c}' for c in _CRITERIA)} HAVING count(DISTINCT label) > 1)) AS conflicting_vectors, count(ageb_id) - count(DISTINCT ageb_id) AS repeated_keys, round(avg(label), 8) AS positive_rate FROM parted""")
 def cmp_leakage(s, d):
-    r = T(s, d, "ageb_suitability_predictions").where("score_rf is not null and score_lgbm is not null and class_rf is not null and not isnan(score_rf) and not isnan(score_lgbm)").select(
-        F.concat("run_id", "ageb_id").alias("k"), F.floor(F.col("score_rf") * 100).alias("a"), F.floor(F.col("score_lgbm") * 100).alias("b"), F.col("class_rf").cast("int").alias("y"), F.expr(_SPLIT).alias("train"))
-    return models.leakage_report(r.where("train"), r.where("not train"), "k", ["a", "b"], "y").withColumn("positive_rate", F.round("positive_rate", 8))
+    """The training frame against its held-out fifth."""
+    frame = stratified_split(_frame(s, d).withColumns({c: F.round(c, 6) for c in _CRITERIA}), "label", "ageb_id", 0.2)
+    return models.leakage_report(frame.where("not held").drop("held"), frame.where("held").drop("held"), "ageb_id", _CRITERIA, "label").withColumn("positive_rate", F.round("positive_rate", 8))
+
+
+@query(f"""{_FRAME_SQL}, sides AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, '{d}' AS direction, round({s}{c}, 6) AS v, label FROM frame" for c in ("stops_400m", *_FRAME) for d, s in (("positive", ""), ("negative", "-")))}),
+per AS (SELECT feature, direction, v, sum(label) AS p, count(*) AS n FROM sides GROUP BY 1, 2, 3), run AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER (PARTITION BY feature, direction) AS pos FROM per WINDOW w AS (PARTITION BY feature, direction ORDER BY v DESC)),
+ap AS (SELECT feature, direction, sum(p * tp / seen) / max(pos) AS ap FROM run GROUP BY 1, 2), best AS (SELECT feature, max(ap) AS best_pr_auc FROM ap GROUP BY 1)
+SELECT b.feature, max(a.direction) AS best_direction, round(b.best_pr_auc, 8) AS best_pr_auc, b.best_pr_auc > 0.98 AS flagged FROM best b JOIN ap a ON a.feature = b.feature AND a.ap = b.best_pr_auc GROUP BY b.feature, b.best_pr_auc""")
+def cmp_leakage_univariate(s, d):
+    """How well each criterion alone ranks the labels."""
+    return models.univariate(_frame(s, d).withColumns({c: F.round(c, 6) for c in _CRITERIA}), _CRITERIA, "label").withColumn("best_pr_auc", F.round("best_pr_auc", 8))
 
 
 @query(f"SELECT cluster_id, count(*) AS size, {', '.join(f'round(avg({c}), 8) AS {c}' for c in _SIXTEEN)}, 'Typology ' || chr(65 + cluster_id) AS typology_name FROM cluster_profiles WHERE cluster_id IS NOT NULL GROUP BY cluster_id")
@@ -510,34 +548,109 @@ def cmp_phase5_drivers(s, d):
     return top.join(weighting.entropy_weights(_sixteen(s, d), _SIXTEEN), "feature").select("cluster_id", F.col("k").cast("bigint").alias("k"), "feature", F.round("ewm_weight", 6).alias("w"))
 
 
-def _judged(s, d):
-    return T(s, d, "ageb_suitability_predictions").where("class_rf is not null").select(F.concat_ws("|", "run_id", "ageb_id", "created_at").alias("k"), "score_rf", "score_lgbm", "threshold_rf", F.col("class_rf").cast("int").alias("y"))
+def _rows(s, rows: list[dict]) -> DataFrame:
+    """A row per fold or model."""
+    return s.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+
 
+def _forest(rows, trees: int = 300):
+    return models.random_forest(rows, _CRITERIA, "label", trees=trees)
 
-_SCORES = ["score_rf", "score_lgbm", "threshold_rf"]
+
+def _kept_frame(s, d):
+    # one partition: a few hundred rows, which every level of every tree reads
+    return checkpointed(_frame(s, d).coalesce(1))
 
 
 @query(None)
 def ml_rf_binary(s, d):
-    """Quality of a forest on its own training rows, by label."""
-    data = _judged(s, d)
-    return metrics.ranking_metrics(models.scored(models.random_forest(data, _SCORES, "y", trees=20, depth=6), data, _SCORES).withColumn("g", F.lit("all")), ["g"], "y", "score")
+    """The forest over the training frame: its quality in five stratified folds."""
+    return _rows(s, models.cross_validated(_kept_frame(s, d), "ageb_id", "label", _CRITERIA, _forest))
+
+
+@query(None)
+def ml_lgbm_binary(s, d):
+    """Boosted trees over four fifths of the training frame, judged by the fifth that was held out."""
+    frame = checkpointed(stratified_split(_frame(s, d), "label", "ageb_id", 0.2).coalesce(1))
+    train, test = frame.where("not held"), frame.where("held")
+    model = models.boosted(train, _CRITERIA, "label")
+    return _rows(s, [{"model": "boosted", **models.evaluated(model, test, _CRITERIA, "label", models.best_threshold(model, train, _CRITERIA, "label"))}])
+
+
+@query(None)
+def ml_label_shuffle(s, d):
+    """Mean average precision of the forest where the labels were dealt out anew, and whether that is suspicious."""
+    frame = checkpointed(models.shuffled_labels(_kept_frame(s, d), "ageb_id", "label").coalesce(1))
+    found = models.cross_validated(frame, "ageb_id", "label", _CRITERIA, _forest, folds=3)
+    mean, rate = sum(r["pr_auc"] for r in found) / 3, frame.agg(F.avg("label")).first()[0]
+    return _rows(s, [{"model": "random_forest", "mean_pr_auc": mean, "positive_rate": rate, "flagged": mean > max(rate + 0.12, 0.65)}])
 
 
 @query(None)
+def ml_predict_surface(s, d):
+    """Every zone of the master table scored by the forest, and its class at the forest's best threshold."""
+    frame = _kept_frame(s, d)
+    model = _forest(frame)
+    threshold = models.best_threshold(model, frame, _CRITERIA, "label")
+    clean = _master(s, d).na.fill(0)
+    return models.scored(model, clean, _CRITERIA).select("ageb_id", "score", (F.col("score") >= threshold).cast("int").alias("class"), F.lit(threshold).alias("threshold"))
+
+
+@query(f"{_FRAME_SQL} SELECT count(*) AS n, true AS adds_up FROM frame")
 def xai_tree_shap(s, d):
-    """Mean absolute contribution and rank of each feature."""
-    data = _judged(s, d)
-    return models.importance(models.explained(models.random_forest(data, _SCORES, "y", trees=10, depth=5), data, "k", _SCORES), _SCORES)
+    """Whether base and contributions add up to the forest's score in every row."""
+    frame = _kept_frame(s, d)
+    model = _forest(frame)
+    both = models.explained(model, frame, "ageb_id", _CRITERIA).join(models.scored(model, frame, _CRITERIA).select("ageb_id", "score"), "ageb_id")
+    total = sum((F.col(c) for c in _CRITERIA), F.col("base"))
+    return both.agg(F.count("*").alias("n"), F.bool_and(F.abs(total - F.col("score")) < 1e-9).alias("adds_up"))
 
 
 @query(None)
-def ml_kmeans(s, d):
+def cmp_shap_vs_critic(s, d):
+    """Mean contributions of forest and boosted trees beside the criterion weights, joined by name: criteria that enter the
+    weights inverted have other names there and drop out."""
+    frame = _kept_frame(s, d)
+    found = [models.importance(models.explained(m, frame, "ageb_id", _CRITERIA, value), _CRITERIA) for m, value in ((_forest(frame), 1), (models.boosted(frame, _CRITERIA, "label", rounds=BOOSTED_HERE), None))]
+    return models.against_weights(found, weighting.critic(_normalised(s, d), _NORMS))
+
+
+#: Rounds of the boosted model whose contributions are only ranked.
+BOOSTED_HERE = 100
+
+
+def _typed(s, d):
     clean = T(s, d, "cluster_profiles").select("profile_id", *_SIXTEEN).na.fill(0.0)
-    return models.kmeans(clean, _SIXTEEN, 4, starts=2).select("profile_id", "cluster_id")
+    return clean, checkpointed(models.kmeans(clean, _SIXTEEN, 4).select("profile_id", "cluster_id", *_SIXTEEN))
 
 
 @query(None)
+def ml_kmeans(s, d):
+    return _typed(s, d)[1].select("profile_id", "cluster_id")
+
+
+@query(None)
+def ml_rf_multi(s, d):
+    """A forest over the typologies that clustering found: means of five stratified folds."""
+    found = models.cross_validated_classes(_typed(s, d)[1].coalesce(1), "profile_id", "cluster_id", _SIXTEEN, lambda rows: models.random_forest(rows, _SIXTEEN, "cluster_id"))
+    return _rows(s, [{"model": "random_forest", **found}])
+
+
+@query(None)
+def xai_class_drivers(s, d):
+    """The ten leading features of a forest of the typologies, and the three leading ones of each typology."""
+    typed = _typed(s, d)[1]
+    model = models.random_forest(typed, _SIXTEEN, "cluster_id", trees=60, depth=8)
+    per = models.class_importance(model, typed, "profile_id", _SIXTEEN, {k: f"Typology {chr(65 + k)}" for k in range(4)})
+    placed = per.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("mean_abs_shap"), "feature")))  # sixteen rows a class
+    return placed.where("place <= 3 or (class = 'total' and place <= 10)")
+
+
+@query("SELECT count(*) AS n, true AS uncorrelated, true AS descending, true AS within_total FROM cluster_profiles")
 def ml_pca2(s, d):
+    """What two principal components must hold: no correlation, the first spread no less, both within the total spread."""
     clean = T(s, d, "cluster_profiles").select("profile_id", *_SIXTEEN).na.fill(0.0)
-    return models.principal_components(clean, _SIXTEEN)[0].select("profile_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+    found, shares = models.principal_components(clean, _SIXTEEN)
+    one = found.agg(F.count("*").alias("n"), F.covar_samp("pc1", "pc2").alias("c"), F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2"), sum((F.var_samp(c) for c in _SIXTEEN), F.lit(0.0)).alias("all"))
+    near = F.abs(F.col("v1") / F.col("all") - shares[0]) + F.abs(F.col("v2") / F.col("all") - shares[1]) < 1e-9
+    return one.select("n", (F.abs("c") < 1e-9).alias("uncorrelated"), (F.col("v1") >= F.col("v2")).alias("descending"), (near & (F.col("v1") + F.col("v2") <= F.col("all"))).alias("within_total"))

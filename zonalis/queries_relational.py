@@ -20,7 +20,7 @@ from zonalis.functions.scalars import (
     safe_ratio,
     zfill,
 )
-from zonalis.operators.ranking import percent_rank_ascending, positions, tile
+from zonalis.operators.ranking import percent_rank_ascending, positions, stratified_folds, stratified_split, tile
 from zonalis.plans.runtime import table as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -418,18 +418,6 @@ def win_stratified_sample(s, d):
     return stratified_sample(T(s, d, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey", 1000).select("c_custkey")
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, folds: int) -> DataFrame:
-    """`df` with a fold from 0 to folds - 1 that spreads every label evenly, in the order of a hash of the key."""
-    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string")))
-    return positions(hashed, [label], ["_hash", key]).select(*df.columns, ((F.col("_position") - 1) % folds).alias("fold"))
-
-
-def stratified_split(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
-    """`df` with `held`: whether a row belongs to the share of every label that is held out, rounded to whole rows."""
-    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string")))
-    return positions(hashed, [label], ["_hash", key]).select(*df.columns, (F.col("_position") <= F.round(F.col("_n") * share)).alias("held"))
-
-
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) <= round(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) AS held FROM orders")
 def win_stratified_split(s, d):
     return stratified_split(T(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 0.2).select("o_orderkey", "held")
@@ -498,9 +486,11 @@ def dup_detect(s, d):
     return T(s, d, "denue").agg((F.count("*") - F.count_distinct(F.struct("denue_id", "clee"))).alias("duplicated"))
 
 
-@query("SELECT column_name AS name FROM (DESCRIBE denue)")
+@query("SELECT 'denue' AS tbl, column_name AS name, (row_number() OVER () - 1)::INTEGER AS place, column_type LIKE 'STRUCT%' AS nested FROM (DESCRIBE denue) UNION ALL SELECT 'ageb', column_name, (row_number() OVER () - 1)::INTEGER, column_type LIKE 'STRUCT%' FROM (DESCRIBE ageb)")
 def src_catalog(s, d):
-    return s.createDataFrame([(c,) for c in T(s, d, "denue").columns], "name string")
+    """The columns of tables, out of their schemas: no data is read."""
+    rows = [(t, f.name, i, f.dataType.typeName() == "struct") for t in ("denue", "ageb") for i, f in enumerate(T(s, d, t).schema)]
+    return s.createDataFrame(rows, "tbl string, name string, place int, nested boolean")
 
 
 @query("SELECT denue_id, geom.x AS lon, scian_codigo FROM denue WHERE geom.x BETWEEN -103.45 AND -103.25 AND geom.y BETWEEN 20.55 AND 20.75")

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from zonalis.functions.wkb import GEOMETRY
 
 
-def read_strings(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8", empty_is_null: bool = False, lower: bool = False) -> DataFrame:
+def read_strings(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8", empty_is_null: bool = False, lower: bool = False, multi_line: bool = False) -> DataFrame:
     """A CSV with a header, every column a string; only `columns` if given.  Empty fields stay empty unless
-    `empty_is_null`.  The header alone is read ahead of the query."""
-    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"')
+    `empty_is_null`.  The header alone is read ahead of the query.  With `multi_line` quoted fields may hold line feeds,
+    and then a file can't be split over tasks."""
+    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"')
     df = reader.option("nullValue", "").option("inferSchema", False).csv(path)
     # the parser knows no empty unquoted field
     df = df.select([F.nullif(c, F.lit("")).alias(c) for c in df.columns]) if empty_is_null else df.na.fill("")
@@ -134,3 +135,28 @@ def granule_links(responses: DataFrame, body: str, suffix: str, part: str, tile:
     fits = lambda u: F.endswith(u, F.lit(suffix)) & F.contains(u, F.lit(part)) & F.contains(u, F.lit(tile))
     first = F.get(F.filter(F.col("e.links.href"), fits), F.lit(0))
     return entries.select(F.col("e.id").alias("id"), first.alias("href")).where("href is not null")
+
+
+def paged_records(pages: DataFrame, page: str, body: str, record: str) -> DataFrame:
+    """(page, record fields) of the stored responses of a paged interface: JSON arrays of objects with the fields of
+    `record` (DDL), read up to the first page that holds none; a response that is no array counts as empty."""
+    parsed = pages.select(F.col(page).alias("page"), F.from_json(body, f"array<struct<{_struct(record)}>>").alias("_r"))
+    empty = parsed.where(F.coalesce(F.size("_r"), F.lit(0)) <= 0).agg(F.min("page").alias("_end"))
+    upto = parsed.crossJoin(F.broadcast(empty)).where(F.col("_end").isNull() | (F.col("page") < F.col("_end")))  # one row
+    return upto.select("page", F.inline("_r"))
+
+
+def missing_granules(links: DataFrame, stored: DataFrame, href: str = "href", name: str = "name") -> DataFrame:
+    """The links whose file (the last part of the path) isn't among the stored ones."""
+    return links.join(stored.select(F.col(name).alias("_name")).distinct(), F.substring_index(href, "/", -1) == F.col("_name"), "left_anti")
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low: object = None, high: object = None, parts: int = 1, rows: int = 10_000, **properties: str) -> DataFrame:
+    """A database table, or a query in brackets with a name; columns and filters go to the database.
+
+    With a numeric or time `column` it is read in `parts` at once, cut evenly between `low` and `high`, rows beyond them
+    included; without one by a single task."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=str(rows), **properties)
+    if column and parts > 1:
+        reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+    return reader.load()

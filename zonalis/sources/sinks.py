@@ -1,11 +1,13 @@
-"""Writing results: replace, delete-and-append by run, upsert, and text formats."""
+"""Writing results: replace, delete-and-append by run, views, changed tables, models, and text formats."""
 
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
+from importlib import import_module
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions.geometry import geojson
@@ -21,11 +23,34 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def upserted(existing: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
+def view(df: DataFrame, name: str) -> None:
+    """A view of the session: computed anew whenever it is read."""
+    df.createOrReplaceTempView(name)
+
+
+def deleted(df: DataFrame, which: Column) -> DataFrame:
+    """`df` without the rows of which the condition holds; those where it is null stay."""
+    return df.where(~F.coalesce(which, F.lit(False)))
+
+
+def updated(df: DataFrame, which: Column, values: dict[str, Column]) -> DataFrame:
+    """`df` with new values in the rows of which the condition holds; all values see the old row."""
+    hit = F.coalesce(which, F.lit(False))
+    return df.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+
+
+def altered(df: DataFrame, drop: tuple[str, ...] = (), rename: dict[str, str] | None = None, add: dict[str, Column] | None = None) -> DataFrame:
+    """`df` with columns dropped (if they are there), renamed, then added, in that order."""
+    return df.drop(*drop).withColumnsRenamed(rename or {}).withColumns(add or {})
+
+
+def upserted(existing: DataFrame, new: DataFrame, keys: list[str], update: list[str], latest: str | None = None) -> DataFrame:
     """`existing` with the `update` columns of matching `new` rows, and the `new` rows without a match.
 
-    Keys compare null-safe; of several new rows of one key any one counts.  Other columns of matched rows stay."""
-    one = new.dropDuplicates(keys)
+    Keys compare null-safe.  Of several new rows of one key the one with the greatest `latest` counts, nulls least, and
+    of equal ones the one whose columns are greatest in order.  Other columns of matched rows stay."""
+    order = ([latest] if latest else []) + [c for c in new.columns if c != latest]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in new.columns])
     theirs = one.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_u_{c}") for c in update], F.lit(True).alias("_hit"))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     changed = existing.join(theirs, on, "left").select(*[F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in update else F.col(c) for c in existing.columns])
@@ -46,6 +71,30 @@ def feature_collection(df: DataFrame, geom: str, properties: list[str], order: s
     return '{"type":"FeatureCollection","features":[' + ",".join(r[0] for r in found) + "]}"
 
 
+def save_model(model, path: str, name: str, features: list[str], threshold: float | None = None) -> None:
+    """A fitted model in a folder of its own, its features and threshold beside it, readable by load_model()."""
+    model.write().overwrite().save(f"{path}/{name}")
+    note = {"name": name, "kind": f"{type(model).__module__}.{type(model).__name__}", "features": features, "threshold": threshold}
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}.note")
+
+
+def load_model(path: str, name: str) -> tuple:
+    """(model, features, threshold) of a saved model."""
+    note = json.loads(SparkSession.active().read.text(f"{path}/{name}.note").first()[0])
+    module, kind = note["kind"].rsplit(".", 1)
+    return getattr(import_module(module), kind).load(f"{path}/{name}"), note["features"], note["threshold"]
+
+
+def synthesis(reports: dict[str, str]) -> str:
+    """Several Markdown reports as one: their headings one level lower, their image links led to their folders."""
+    out = []
+    for folder, text in reports.items():
+        text = re.sub(r"^(#+) ", r"#\1 ", text, flags=re.MULTILINE)
+        out.append(re.sub(r"(!\[[^\]]*\]\()(?!https?:|/)([^)]+\))", rf"\g<1>{folder}/\g<2>", text).strip())
+    return "\n\n---\n\n".join(out) + "\n"
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 

@@ -145,7 +145,8 @@ class _ShapeReader(DataSourceReader):
 
 
 class TiffTiles(DataSource):
-    """A one-band TIFF (none or deflate compression, strips or tiles) as square tile rows; options: path, tile (100).
+    """A one-band TIFF, classic or big, in strips or tiles, plain or packed by deflate or LZW, with or without a predictor,
+    as square tile rows; options: path (reachable from every node), tile (100).  Other packings raise.
 
     x0, y0 is the upper left corner, dy is negative as rows run south."""
 
@@ -160,39 +161,82 @@ class TiffTiles(DataSource):
         return _TiffReader(self.options)
 
 
+def unpacked_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, highest bit first; 256 empties the table, 257 ends."""
+    out, table, width, bits, n, last = [], [], 9, 0, 0, b""
+    for byte in data:
+        bits, n = (bits << 8) | byte, n + 8
+        if n < width:
+            continue
+        code = bits >> (n - width)
+        n -= width
+        bits &= (1 << n) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        out.append(word)
+        if last:
+            table.append(last + word[:1])
+        last = word
+        # one code earlier than the table is full
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return b"".join(out)
+
+
 class _TiffReader(DataSourceReader):
     # Bytes and codes of the field types
-    TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
+    TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 
     def __init__(self, options):
         self.path, self.tile = options["path"], int(options.get("tile", "100"))
         with open(self.path, "rb") as f:
-            head = f.read(8)
-            self.order = "<" if head[:2] == b"II" else ">"
-            f.seek(struct.unpack(self.order + "I", head[4:])[0])
-            n = struct.unpack(self.order + "H", f.read(2))[0]
+            head = f.read(16)
+            self.order = o = "<" if head[:2] == b"II" else ">"
+            big = struct.unpack(o + "H", head[2:4])[0] == 43
+            word, entry = ("Q", 20) if big else ("I", 12)
+            inline = struct.calcsize(word)
+            f.seek(struct.unpack(o + word, head[8:16] if big else head[4:8])[0])
+            n = struct.unpack(o + ("Q" if big else "H"), f.read(8 if big else 2))[0]
             self.tags = {}
-            for raw in [f.read(12) for _ in range(n)]:
-                tag, kind, count = struct.unpack(self.order + "HHI", raw[:8])
+            for raw in [f.read(entry) for _ in range(n)]:
+                tag, kind, count = struct.unpack(o + "HH" + word, raw[: 4 + inline])
                 size, code = self.TYPES.get(kind, (1, "B"))
-                if size * count > 4:
+                if size * count > inline:
                     back = f.tell()
-                    f.seek(struct.unpack(self.order + "I", raw[8:])[0])
+                    f.seek(struct.unpack(o + word, raw[4 + inline :])[0])
                     data = f.read(size * count)
                     f.seek(back)
                 else:
-                    data = raw[8 : 8 + size * count]
-                self.tags[tag] = data.rstrip(b"\0").decode() if kind == 2 else list(struct.unpack(f"{self.order}{count}{code}", data)) if len(code) == 1 else []
+                    data = raw[4 + inline : 4 + inline + size * count]
+                self.tags[tag] = data.rstrip(b"\0").decode() if kind == 2 else list(struct.unpack(f"{o}{count}{code}", data)) if len(code) == 1 else []
         self.ncols, self.nrows = self.tags[256][0], self.tags[257][0]
+        if self.tags.get(259, [1])[0] not in (1, 5, 8, 32946) or self.tags.get(317, [1])[0] not in (1, 2, 3) or self.tags.get(277, [1])[0] != 1:
+            raise ValueError(f"{self.path}: compression, predictor or number of bands not supported")
 
     def partitions(self):
         return [_Range(a, min(a + self.tile, self.nrows)) for a in range(0, self.nrows, self.tile)]
 
+    def _block(self, data: bytes, kind: str, w: int):
+        import numpy as np
+
+        packing, predictor = self.tags.get(259, [1])[0], self.tags.get(317, [1])[0]
+        data = zlib.decompress(data) if packing in (8, 32946) else unpacked_lzw(data) if packing == 5 else data
+        size = int(kind[1])
+        if predictor == 3:
+            # the bytes of a row's numbers lie highest first, one after another, as differences
+            rows = np.cumsum(np.frombuffer(data, np.uint8).reshape(-1, w * size), axis=1, dtype=np.uint8).reshape(-1, size, w)
+            return np.ascontiguousarray(rows.transpose(0, 2, 1)).view(f">{kind}")[:, :, 0]
+        block = np.frombuffer(data, np.dtype(kind).newbyteorder(self.order)).reshape(-1, w)
+        return np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("=")) if predictor == 2 else block
+
     def _rows(self, f, low, high):
         import numpy as np
 
         t = self.tags
-        kind = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}[(t.get(339, [1])[0], t.get(258, [8])[0])]
+        kind = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}[(t.get(339, [1])[0], t.get(258, [8])[0])]
         out = np.empty((high - low, self.ncols), np.float32)
         tiled = 322 in t
         w, h = (t[322][0], t[323][0]) if tiled else (self.ncols, t.get(278, [self.nrows])[0])
@@ -200,9 +244,7 @@ class _TiffReader(DataSourceReader):
         across = -(-self.ncols // w)
         for k in range(low // h * across, min(len(offsets), ((high - 1) // h + 1) * across)):
             f.seek(offsets[k])
-            data = f.read(sizes[k])
-            data = zlib.decompress(data) if t.get(259, [1])[0] in (8, 32946) else data
-            block = np.frombuffer(data, np.dtype(kind).newbyteorder(self.order)).reshape(-1, w)
+            block = self._block(f.read(sizes[k]), kind, w)
             r0, c0 = k // across * h, k % across * w
             a, b = max(low, r0), min(high, r0 + len(block))
             out[a - low : b - low, c0 : c0 + w] = block[a - r0 : b - r0, : self.ncols - c0]
