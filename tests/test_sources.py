@@ -97,11 +97,121 @@ def test_sinks(spark, tmp_path):
     sinks.replace_partitions(old.na.fill("z"), path, ["run"])
     sinks.replace_partitions(new.where("run = 'a'"), path, ["run"])
     assert {(r["run"], r["started"]) for r in spark.read.parquet(path).collect()} == {("a", 9), ("b", 2), ("z", 3)}
+    twice = new.unionByName(spark.createDataFrame([("c", "late", 10), ("c", "none", None)], new.schema))
+    assert rows(sinks.upserted(old, twice, ["run"], ["status"], latest="started"))[2] == ("c", "late", 10)
+    assert rows(sinks.deleted(old, F.col("run") == "a")) == [("b", "done", 2), (None, "x", 3)]
+    assert rows(sinks.updated(old, F.col("run") == "a", {"status": F.lit("done"), "started": F.col("started") + 1})) == [("a", "done", 2), ("b", "done", 2), (None, "x", 3)]
+    assert sinks.altered(old, ("started", "gone"), {"run": "id"}, {"n": F.lit(1)}).columns == ["id", "status", "n"]
+    sinks.view(old, "runs_seen")
+    assert spark.sql("select count(*) from runs_seen where status = 'done'").first()[0] == 1
     sinks.write_csv(old, str(tmp_path / "c"), one_file=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
     assert sinks.markdown_table(old.orderBy("started")).splitlines()[2] == "| a | running | 1 |"
 
 
+def test_models_are_kept(spark, tmp_path):
+    from zonalis.operators import models
+
+    df = spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(60)], "k int, a double, y int")
+    model = models.random_forest(df, ["a"], "y", trees=3, depth=3)
+    sinks.save_model(model, str(tmp_path), "forest", ["a"], 0.4)
+    back, features, threshold = sinks.load_model(str(tmp_path), "forest")
+    assert (features, threshold) == (["a"], 0.4) and rows(models.scored(back, df, features)) == rows(models.scored(model, df, features))
+
+
+def test_one_report_of_several():
+    text = sinks.synthesis({"one": "# A\n![p](p.png) ![q](https://x/q.png)\n", "two": "## B"})
+    assert text == "## A\n![p](one/p.png) ![q](https://x/q.png)\n\n---\n\n### B\n"
+
+
+def test_pages_and_granules(spark):
+    pages = spark.createDataFrame([(1, '[{"Id":"7","Nombre":"a"}]'), (2, '[{"Id":"8"},{"Id":"9"}]'), (3, "[]"), (4, '[{"Id":"10"}]')], "page int, body string")
+    assert rows(files.paged_records(pages, "page", "body", "Id string, Nombre string")) == [(1, "7", "a"), (2, "8", None), (2, "9", None)]
+    assert files.paged_records(pages.where("page < 3"), "page", "body", "Id string").count() == 3 and files.paged_records(pages.limit(0), "page", "body", "Id string").count() == 0
+    links = spark.createDataFrame([("x/a.h5",), ("x/b.h5",)], "href string")
+    assert rows(files.missing_granules(links, spark.createDataFrame([("a.h5",)], "name string"))) == [("x/b.h5",)]
+
+
+def test_database_table(spark):
+    url = "jdbc:derby:memory:zones;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(i, f"z{i}") for i in range(40)], "k int, name string")
+    try:
+        df.write.format("jdbc").options(url=url, dbtable="zones", driver=driver).mode("overwrite").save()
+    except Exception as e:  # the database that comes with the library may be missing
+        pytest.skip(str(e)[:80])
+    got = files.read_jdbc(spark, url, "zones", "k", 0, 30, 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 40 and files.read_jdbc(spark, url, "zones", driver=driver).where("k = 7").count() == 1
+
+
+def lzw(data):
+    """Packs as TIFF does; a table of its own for every 3,000 codes."""
+    out, bits, n = bytearray(), 0, 0
+
+    def put(code, width):
+        nonlocal bits, n
+        bits, n = bits << width | code, n + width
+        while n >= 8:
+            n -= 8
+            out.append(bits >> n & 255)
+            bits &= (1 << n) - 1
+
+    table, word, width = {bytes([k]): k for k in range(256)}, b"", 9
+    put(256, 9)
+    size = 258
+    for k in data:
+        longer = word + bytes([k])
+        if longer in table:
+            word = longer
+            continue
+        put(table[word], width)
+        table[longer] = size
+        size += 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        if size > 3300:
+            put(256, width)
+            table, size, width = {bytes([j]): j for j in range(256)}, 258, 9
+        word = bytes([k])
+    put(table[word], width)
+    size += 1
+    width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    put(257, width)
+    if n:
+        out.append(bits << (8 - n) & 255)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("packing,predictor,big", [(1, 1, True), (5, 1, False), (5, 2, True), (8, 3, True), (8, 2, False)])
+def test_packed_tiff(spark, tmp_path, packing, predictor, big):
+    import zlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    kind = "<f4" if predictor == 3 else "<i2"
+    band = (np.cumsum(rng.integers(-3, 4, (60, 50)), axis=1) * (0.5 if predictor == 3 else 1)).astype(kind)
+    if predictor == 2:
+        raw = np.concatenate([band[:, :1], np.diff(band, axis=1)], 1).astype(kind).tobytes()
+    elif predictor == 3:
+        rows_ = band.astype(">f4").view(np.uint8).reshape(60, 50, 4).transpose(0, 2, 1).reshape(60, 200)
+        raw = np.concatenate([rows_[:, :1], np.diff(rows_, axis=1)], 1).astype(np.uint8).tobytes()
+    else:
+        raw = band.tobytes()
+    data = lzw(raw) if packing == 5 else zlib.compress(raw) if packing == 8 else raw
+    tags = [(256, 3, 50), (257, 3, 60), (258, 3, 32 if predictor == 3 else 16), (259, 3, packing), (273, 4, 600), (278, 3, 60), (279, 4, len(data)), (317, 3, predictor), (339, 3, 3 if predictor == 3 else 2)]
+    if big:
+        head = b"II" + struct.pack("<HHHQ", 43, 8, 0, 16) + struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQQ", t, k, 1, v) for t, k, v in tags)
+    else:
+        head = b"II*\0" + struct.pack("<IH", 8, len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags)
+    (tmp_path / "p.tif").write_bytes(head.ljust(600, b"\0") + data)
+    spark.dataSource.register(TiffTiles)
+    got = np.zeros((60, 50))
+    for r in spark.read.format("tifftiles").option("tile", "32").load(str(tmp_path / "p.tif")).collect():
+        a, c = map(int, r["tile_id"].split("_"))
+        got[a : a + r["nrows"], c : c + r["ncols"]] = np.array(r["band"]).reshape(r["nrows"], r["ncols"])
+    assert (got == band).all()
+
+
 @pytest.mark.parametrize("kind", ["MULTIPOLYGON"])
 def test_features_lines(spark, kind):
     df = spark.createDataFrame([(1, (kind, 4326, SQUARE, None))], "k int, geom struct<kind:string,srid:int,rings:array<array<array<struct<x:double,y:double>>>>,bbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -339,6 +340,76 @@ def cmp_training_labels(s, d):
     return siting.training_labels(zone_features.zone_ids(zones), siting.holding(_stops(s, d), zones), zone_features.accessibility(_stops(s, d), zones), zone_features.employment(_denue(s, d), zones))
 
 
+_KM2 = f"size AS (SELECT cvegeo AS ageb_id, greatest(max({_AREA}) / 1e6, 0.01) AS km2 FROM ageb WHERE cvegeo IS NOT NULL GROUP BY 1)"
+
+
+def _km2(s, d):
+    return _zones(s, d).where("cvegeo is not null").groupBy(F.col("cvegeo").alias("ageb_id")).agg((F.max(G.area(F.col("geom"))) / 1e6).alias("km2"))
+
+
+@query(f"""WITH {_TOPO}, {_KM2}, census AS (SELECT ageb_id, count(*) AS pop, count(*) FILTER (WHERE estrato_personal = '0 a 5 personas') + count(*) FILTER (WHERE estrato_personal = '6 a 10 personas') AS dependent,
+  count(*) FILTER (WHERE estrato_personal LIKE '11 a%') AS active, count(*) FILTER (WHERE scian_codigo LIKE '46%') AS youth FROM denue WHERE length(ageb_id) = 13 GROUP BY 1)
+SELECT z.ageb_id, coalesce(pop, 0)::DOUBLE AS pe_population, round(coalesce(pop, 0) / km2, 4) AS pe_pop_density, round(coalesce(slope_mean, 0), 6) AS pe_marginacion, round(coalesce(-slope_mean, 0), 6) AS pe_rezago,
+  round(least(coalesce(dependent, 0) / greatest(coalesce(active, 0), 1), 5), 6) AS pe_dep_ratio, round(coalesce(youth, 0) / greatest(coalesce(pop, 0), 1), 6) AS pe_youth_share
+FROM size z LEFT JOIN census USING (ageb_id) LEFT JOIN topo USING (ageb_id)""")
+def cmp_people_features(s, d):
+    """Establishments stand for inhabitants, their size classes for ages, slopes for the indices."""
+    units = _denue(s, d).where("length(ageb_id) = 13")
+    n = lambda c: F.count_if(c).cast("string")
+    kind = F.col("estrato_personal")
+    census = units.groupBy("ageb_id").agg(
+        F.count("*").cast("string").alias("POBTOT"), n(kind == "0 a 5 personas").alias("POB0_14"), n(kind == "6 a 10 personas").alias("POB65_MAS"), n(kind.like("11 a%")).alias("POB15_64"), n(F.col("scian_codigo").like("46%")).alias("P_15A29")
+    ).select("*", F.lit("000").alias("MZA"), F.substring("ageb_id", 1, 2).alias("ENTIDAD"), F.substring("ageb_id", 3, 3).alias("MUN"), F.substring("ageb_id", 6, 4).alias("LOC"), F.substring("ageb_id", 10, 4).alias("AGEB"))
+    indices = zone_features.slopes(T(s, d, "ageb_topography")).select(F.col("ageb_id").alias("cve_ageb"), F.col("slope_mean").alias("im_2020"), (-F.col("slope_mean")).alias("irs_2020"))
+    f = zone_features.people_features(census, indices, _km2(s, d))
+    return f.withColumns({c: F.round(c, 4 if c == "pe_pop_density" else 6) for c in f.columns if c != "ageb_id"})
+
+
+@query("""WITH lights AS (SELECT ageb_id, quantile_cont(slope_mean, 0.5) AS m FROM ageb_topography WHERE slope_mean > 0 AND NOT isnan(slope_mean) GROUP BY 1),
+rides AS (SELECT '14' || lpad((user_id % 130)::VARCHAR, 3, '0') AS municipality, sum(value) AS v FROM events WHERE year(ts) = 2024 AND event_type ILIKE '%purch%' GROUP BY 1)
+SELECT z.ageb_id, round(coalesce(m, 0), 6) AS v_ntl_median, round(coalesce(v, 0), 4) AS v_ridership_annual FROM (SELECT DISTINCT cvegeo AS ageb_id FROM ageb WHERE cvegeo IS NOT NULL) z LEFT JOIN lights USING (ageb_id) LEFT JOIN rides ON municipality = left(z.ageb_id, 5)""")
+def cmp_vitality_features(s, d):
+    """Slopes stand for light, events for rides."""
+    lights = T(s, d, "ageb_topography").where("slope_mean > 0 and not isnan(slope_mean)").groupBy("ageb_id").agg(F.median("slope_mean").alias("median"))
+    rides = T(s, d, "events").select(F.year("ts").alias("anio"), F.col("event_type").alias("variable"), (F.col("user_id") % 130).alias("cve_mun"), F.col("value").alias("valor"))
+    f = zone_features.vitality_features(lights, rides, _zones(s, d), 2024, "%purch%")
+    return f.select("ageb_id", F.round("v_ntl_median", 6).alias("v_ntl_median"), F.round("v_ridership_annual", 4).alias("v_ridership_annual"))
+
+
+_CHECKED = ["stops_800m", "min_stop_dist_m", "employment_proxy", "route_km_800m", "slope_mean"]
+
+
+def _sql_checks() -> str:
+    spread = lambda c: " UNION ALL ".join(f"SELECT '{c}_{f}', {g}({c})::DOUBLE FROM master" for f, g in (("min", "min"), ("max", "max"), ("avg", "avg"), ("std", "stddev_pop")))
+    nulls = " UNION ALL ".join(f"SELECT 'null_{c}', count(*) FILTER (WHERE {c} IS NULL)::DOUBLE FROM master" for c in _CHECKED)
+    return f"""{_WEIGHTS}, {_LABELS}, checks(name, value) AS (SELECT 'stops', count(*)::DOUBLE FROM gtfs_stops UNION ALL SELECT 'zones', count(DISTINCT cvegeo) FROM ageb UNION ALL SELECT 'audited', count(*) FROM (SELECT DISTINCT stop_id, ageb_id FROM inside) JOIN master USING (ageb_id)
+      UNION ALL SELECT 'weights', count(*) FROM weights UNION ALL SELECT 'weights_sum', sum(w) FROM share UNION ALL SELECT 'top_weight', max(w) FROM share UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'labelled_zones', count(DISTINCT ageb_id) FROM labels
+      UNION ALL SELECT 'repeated_labels', count(*) - count(DISTINCT ageb_id) FROM labels UNION ALL SELECT 'label_' || label, count(*) FROM labels GROUP BY label UNION ALL SELECT 'master', count(*) FROM master UNION ALL {nulls} UNION ALL {spread('stops_800m')} UNION ALL {spread('min_stop_dist_m')} UNION ALL {spread('employment_proxy')}
+      UNION ALL SELECT 'corr_stops_employment', corr(stops_800m, employment_proxy) FROM master UNION ALL SELECT 'corr_stops_routes', corr(stops_800m, route_km_800m) FROM master) SELECT name, round(value, 6) AS value FROM checks"""
+
+
+@query(_sql_checks())
+def cmp_db_checks(s, d):
+    """The sanity checks of the base and derived tables, a row each."""
+    master = _master(s, d)
+    zones, labels, held = _zones(s, d), cmp_training_labels(s, d), siting.holding(_stops(s, d), _zones(s, d))
+    weights = weighting.critic(siting.normalised(master, ["ageb_id"]), _NORMS)
+    named = lambda **values: F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in values.items()])).alias("_r")
+    stats = {f"{c}_{f}": g(c) for c in _CHECKED[:3] for f, g in (("min", F.min), ("max", F.max), ("avg", F.avg), ("std", F.stddev_pop))}
+    of_master = {"master": F.count("*"), **{f"null_{c}": F.count_if(F.col(c).isNull()) for c in _CHECKED}, **stats,
+                 "corr_stops_employment": safe_corr(F.col("stops_800m"), F.col("employment_proxy")), "corr_stops_routes": safe_corr(F.col("stops_800m"), F.col("route_km_800m"))}
+    parts = [
+        (_stops(s, d), {"stops": F.count("*")}), (zones, {"zones": F.count_distinct("cvegeo")}), (held.select("stop_id", "ageb_id").distinct().join(master, "ageb_id"), {"audited": F.count("*")}),
+        (weights, {"weights": F.count("*"), "weights_sum": F.sum("weight_normalized"), "top_weight": F.max("weight_normalized")}), (master, of_master),
+        (labels, {"labels": F.count("*"), "labelled_zones": F.count_distinct("ageb_id"), "repeated_labels": F.count("*") - F.count_distinct("ageb_id"), "label_0": F.count_if(F.col("label") == 0), "label_1": F.count_if(F.col("label") == 1)}),
+    ]
+    rows = []
+    for df, values in parts:
+        one = df.agg(*[v.alias(k) for k, v in values.items()])
+        rows.append(one.select(named(**{k: F.col(k) for k in values})).select("_r.name", F.round("_r.value", 6).alias("value")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- weights over the sixteen indicators -----------------------------------------------------------------------------
 
 _SIXTEEN = [

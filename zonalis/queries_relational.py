@@ -510,24 +510,6 @@ def prj_clip(s, d):
     return T(s, d, "customer").select("c_custkey", clip(F.col("c_acctbal"), 0.0, 5000.0).alias("c"))
 
 
-@query("""SELECT * FROM (VALUES ('establishments', (SELECT count(*) FROM denue)), ('without place', (SELECT count(*) FROM denue WHERE geom IS NULL OR geom.x IS NULL)),
-('repeated ids', (SELECT count(*) FROM (SELECT denue_id FROM denue GROUP BY 1 HAVING count(*) > 1))), ('zones', (SELECT count(DISTINCT cvegeo) FROM ageb)),
-('stops', (SELECT count(*) FROM gtfs_stops)), ('unfinished runs', (SELECT count(*) FROM model_runs WHERE finished_at IS NULL)),
-('other srid', (SELECT count(*) FROM ageb WHERE geom.srid <> 6372))) t(name, n)""")
-def cmp_db_checks(s, d):
-    denue, ageb = T(s, d, "denue"), T(s, d, "ageb")
-    one = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
-    parts = [
-        one("establishments", denue), one("without place", denue.where("geom is null or geom.x is null")), one("repeated ids", denue.groupBy("denue_id").count().where("count > 1")),
-        one("zones", ageb.where("cvegeo is not null").select("cvegeo").distinct()), one("stops", T(s, d, "gtfs_stops")), one("unfinished runs", T(s, d, "model_runs").where("finished_at is null")),
-        one("other srid", ageb.where("geom.srid <> 6372")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
 @query("SELECT x_6372 AS x, y_6372 AS y, ageb_id, count(*) AS n FROM denue WHERE x_6372 IS NOT NULL AND NOT isnan(x_6372) GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def cmp_tie_groups(s, d):
     return T(s, d, "denue").where("x_6372 is not null and not isnan(x_6372)").groupBy(F.col("x_6372").alias("x"), F.col("y_6372").alias("y"), "ageb_id").agg(F.count("*").alias("n")).where("n > 1")
