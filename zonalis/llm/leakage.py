@@ -20,6 +20,7 @@ Pages with characters of a wrong decoding are also compared by their ASCII lette
 from __future__ import annotations
 
 import bisect
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -46,8 +47,8 @@ EDGE, CENTRE = 11, 9
 BASE = 37
 #: Added to diagonals, which begin below zero; more where an item is longer.
 _ZERO = 1 << 15
-_SHIFT = BASE ** np.arange(Q - 1, -1, -1, dtype=np.int64)
-_TABLE_BITS = 22
+#: Bits of the hashes by which q-grams and bands are looked up first.
+_TABLE_BITS, _BAND_BITS = 22, 19
 
 
 def _letter_table() -> dict[int, str | None]:
@@ -63,7 +64,8 @@ def _letter_table() -> dict[int, str | None]:
 _FOLD = _letter_table()
 _KEEP = {c: chr(c).lower() if chr(c).isalnum() else None for c in range(0x80)}
 #: Letters that well decoded pages hold; others make a page be compared by its ASCII letters too.
-_USUAL = frozenset("áéíóúñüàèìòùâêôîûëïçãõöäœæßøåÁÉÍÓÚÑÜÀÈÊÔÇÂÕ¡¿«»“”‘’—–-…§ºª°€£¬­‐©·")
+_USUAL = "áéíóúñüàèìòùâêôîûëïçãõöäœæßøåÁÉÍÓÚÑÜÀÈÊÔÇÂÕ¡¿«»“”‘’—–-…§ºª°€£¬­‐©·"
+_UNUSUAL = re.compile(f"[^\x00-\x7f{re.escape(_USUAL)}]")
 
 
 class _Fold(dict):
@@ -87,11 +89,13 @@ def codes(letters: str) -> np.ndarray:
 
 
 def grams(numbers: np.ndarray) -> np.ndarray:
+    """The q-grams as numbers, out of those of half the length: Q is a power of two."""
     if len(numbers) < Q:
         return np.empty(0, np.int64)
-    out = np.zeros(len(numbers) - Q + 1, np.int64)
-    for k in range(Q):
-        out += numbers[k : len(numbers) - Q + 1 + k].astype(np.int64) * _SHIFT[k]
+    out, size = numbers.astype(np.int64), 1
+    while size < Q:
+        out = out[:-size] * BASE**size + out[size:]
+        size *= 2
     return out
 
 
@@ -167,27 +171,29 @@ def reading_order(lines: list[str], x0: np.ndarray, y0: np.ndarray, x1: np.ndarr
     n = len(lines)
     if len(x0) != n or n < 2:
         return lines
-    margin = np.sort(x0)[max(0, min(n - 1, n // 20))]
-    lefts, aligned = _columns(x0, x1, float(min(margin, np.median(x0))), width)
+    # within the outermost twentieth, but never right of the middle
+    margin = np.sort(x0)[max(0, min((n - 1) // 2, n // 20))]
+    lefts, aligned = _columns(x0, x1, float(margin), width)
     out: list[tuple[int, int, str]] = []
-    cw = float(np.median((x1 - x0) / np.maximum(1, [len(s) for s in lines])))
+    widths = (x1 - x0) / np.maximum(1, [len(s) for s in lines])
+    cw = float(np.sort(widths)[(n - 1) // 2] + np.sort(widths)[n // 2]) / 2
     column = np.maximum(0, np.searchsorted(lefts, x0 + EDGE, side="right") - 1)
-    for i in range(n):
-        if not aligned[i]:
+    edges = lefts.tolist()
+    for i, (text, c, here, right, top) in enumerate(zip(lines, column.tolist(), aligned.tolist(), x1.tolist(), y0.tolist())):
+        if not here:
             continue  # centred: an advert or a title of its own
-        text, c = lines[i], int(column[i])
-        for k in range(c + 1, len(lefts)):
-            if x1[i] <= lefts[k] + 2 * cw:
+        for k in range(c + 1, len(edges)):
+            if right <= edges[k] + 2 * cw:
                 break
             # the line runs on into column k, whose part ends the line and begins at the column's edge
-            rest = int(round((x1[i] - lefts[k]) / max(cw, 1e-6)))
+            rest = int(round((right - edges[k]) / max(cw, 1e-6)))
             cut = _blank_near(text, len(text) - rest)
             if cut is None:
                 break
-            out.append((k - 1, int(y0[i]), text[:cut]))
+            out.append((k - 1, int(top), text[:cut]))
             text = text[cut + 1 :]
             c = k
-        out.append((c, int(y0[i]), text))
+        out.append((c, int(top), text))
     out.sort(key=lambda r: r[:2])
     return [r[2] for r in out]
 
@@ -206,13 +212,17 @@ def _columns(x0: np.ndarray, x1: np.ndarray, margin: float, width: float | None)
     centre = (x0 + x1) / 2
     best = None
     if width is not None and width > 2 * margin:
+        # all numbers of columns at once
+        ns = np.arange(1, 9)[:, None]
+        pitches = (width - 2 * margin) / ns
+        nears = np.minimum(np.maximum(np.rint((x0 - margin) / pitches), 0), ns - 1)
+        ons = np.abs(x0 - margin - nears * pitches) <= EDGE
+        hits = ons.sum(1).tolist()
+        most = -1
         for n in range(1, 9):
-            pitch = (width - 2 * margin) / n
-            lefts = margin + np.arange(n) * pitch
-            near = np.minimum(np.maximum(np.rint((x0 - margin) / pitch), 0), n - 1).astype(np.int64)
-            on = np.abs(x0 - margin - near * pitch) <= EDGE
-            if best is not None and on.sum() <= best[1].sum():
+            if hits[n - 1] <= most:
                 continue
+            lefts, near, on = margin + np.arange(n) * pitches[n - 1, 0], nears[n - 1], ons[n - 1]
             if n > 1:
                 real = True
                 for k in range(n):
@@ -225,7 +235,7 @@ def _columns(x0: np.ndarray, x1: np.ndarray, margin: float, width: float | None)
                         real = real and not (np.abs(rest - np.median(own)) <= CENTRE).any()
                 if not real:
                     continue
-            best = (lefts, on)
+            best, most = (lefts, on), hits[n - 1]
         return best
     edges = np.sort(x0)
     lefts = [edges[0]]
@@ -415,6 +425,13 @@ def _refined(items: Items, variant: int, stream: np.ndarray, begin: np.ndarray,
     return keep
 
 
+def _often(pair: np.ndarray, band: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which entries may lie in a band of a pair that has as many as needed: counted by hash, so that none is missed."""
+    mixed = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + band.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    slot = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _BAND_BITS)).astype(np.int64)
+    return np.nonzero(np.bincount(slot)[slot] >= need)[0]
+
+
 def _bands(items: Items, variant: int, stream: np.ndarray, page_of: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int]]:
     """(page, item, diagonal) of all bands of diagonals with enough shared q-grams."""
     g = grams(stream)
@@ -431,17 +448,20 @@ def _bands(items: Items, variant: int, stream: np.ndarray, page_of: np.ndarray,
         return []
     post = np.repeat(items.first[variant][pos] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
     at = np.repeat(at, count)
-    item, place = items.item[variant][post].astype(np.int64), items.place[variant][post]
+    item = items.item[variant][post].astype(np.int64)
+    place = items.place[variant][post]
     page = page_of[at]
     zero = max(_ZERO, int(place.max()))
     diagonal = at - begin[page] - place + zero
-    width = 2 * items.edits[variant][item]
+    width, need = 2 * items.edits[variant][item], items.need[variant][item]
     n = len(items.ids)
+    pairs = page * n + item
     # a shared q-gram counts once for a place of the item in a band
     regions = []
     for half in (0, 1):  # bands overlap by half ...
         band = (diagonal + half * width // 2) // width
-        pair, band_, place_ = _distinct(page * n + item, band, place)[0]
+        dense = _often(pairs, band, need)
+        pair, band_, place_ = _distinct(pairs[dense], band[dense], place[dense])[0]
         for shift in (0, 1):  # ... and so do the stretches of the item, of two passages
             w = items.window[variant][pair % n]
             stretch = (place_ + shift * w) // (2 * w)
@@ -466,9 +486,10 @@ def search(blocks: list[Items], pages: list[tuple[list[str], np.ndarray, np.ndar
     for variant in (0, 1):
         parts, who = [], []
         for k, lines in enumerate(ordered):
-            if variant and all(ch < "\x80" or ch in _USUAL for line in lines for ch in set(line)):
+            text = "\n".join(lines)
+            if variant and not _UNUSUAL.search(text):
                 continue
-            parts.append(codes(fold("\n".join(lines), variant == 1)))
+            parts.append(codes(fold(text, variant == 1)))
             who.append(k)
         if not parts:
             continue
