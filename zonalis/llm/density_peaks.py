@@ -502,7 +502,8 @@ def described(found: DataFrame, key: str, typical: int = 3) -> DataFrame:
     """(group_id, size, typical): each group's size and its members of highest density, the closest to their neighbours first."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("group_id").orderBy(F.desc("density"), F.col("apart").asc(), F.col(key).asc())
+    # rounded, so that members of equal standing tie and the smaller key comes first
+    w = Window.partitionBy("group_id").orderBy(F.desc("density"), F.round("apart", 9).asc(), F.col(key).asc())
     top = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= typical)  # planned as a top-k before the shuffle
     members = top.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(key).alias("k")))), lambda s: s["k"]).alias("typical"))
     return found.groupBy("group_id").agg(F.count("*").alias("size")).join(members, "group_id")

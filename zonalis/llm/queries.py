@@ -160,6 +160,9 @@ grouped AS (SELECT x AS profile_id, min(y) AS group_id FROM reach GROUP BY x)
 
 ORACLES: dict[str, str] = {
     "p4_found": _COMPONENTS + "SELECT group_id AS profile_id_a, profile_id AS profile_id_b FROM grouped WHERE group_id <> profile_id",
+    "p4_groups": _COMPONENTS + """, stand AS (SELECT x, count(*) AS n, round(sum(d * d), 9) AS apart FROM near GROUP BY x),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, apart, profile_id) AS k FROM grouped JOIN stand ON x = profile_id)
+SELECT group_id, count(*) AS size, string_agg(profile_id::VARCHAR, ',' ORDER BY k) FILTER (WHERE k <= 3) AS typical FROM ranked GROUP BY group_id""",
     "p3_audit": """
 WITH v AS (SELECT 'slope_mean' AS measure, substr(ageb_id, 3, 3) AS key, slope_mean AS x FROM ageb_topography WHERE slope_mean <> -9999
   UNION ALL SELECT 'v_ntl_median_n', cast(cluster_id AS VARCHAR), v_ntl_median_n FROM cluster_profiles)
