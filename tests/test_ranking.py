@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from zonalis.operators.ranking import percent_rank_ascending, positions, stratified_folds, stratified_split, tile
+from zonalis.operators.ranking import percent_rank_ascending, positions, running_sums, stratified_folds, stratified_split, tile
 from zonalis.plans.runtime import keyed_join
 
 
@@ -28,6 +28,13 @@ def test_positions_are_those_of_windows(data, parts):
     assert positions(data.limit(0), ["g"], ["v"]).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums_are_those_of_windows(data, parts):
+    w = Window.partitionBy("g").orderBy(F.desc("k"))
+    want = data.select("k", F.sum("k").over(w), F.sum("k").over(Window.partitionBy("g")))
+    assert rows(running_sums(data, ["g"], "k", ["k"], True, parts).select("k", "run_k", "all_k")) == rows(want)
+
+
 def test_folds_and_split(data):
     sizes = {}
     for r in stratified_folds(data, "g", "k", 4).groupBy("g", "fold").count().collect():

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.operators.ranking import running_sums
+
 
 def _steps(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Per key and distinct score, in descending order: positives and rows up to and at it, and the totals."""
     per = df.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(label).cast("bigint")).alias("_p"), F.count("*").alias("_n"))
-    down = Window.partitionBy(*keys).orderBy(F.col(score).desc())
-    all_ = Window.partitionBy(*keys)
-    return per.withColumns({"_tp": F.sum("_p").over(down), "_at": F.sum("_n").over(down), "_pos": F.sum("_p").over(all_), "_rows": F.sum("_n").over(all_)})
+    # a row per distinct score, of which one key may have very many
+    return running_sums(per, keys, score, ["_p", "_n"], descending=True).withColumnsRenamed({"run__p": "_tp", "run__n": "_at", "all__p": "_pos", "all__n": "_rows"})
 
 
 def ranking_metrics(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:

@@ -21,20 +21,41 @@ def positions(df: DataFrame, groups: list[str], order: list[str], descending: bo
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.desc_nulls_last(c) if descending else F.asc_nulls_last(c) for c in order]
     # kept: the ranges must not change between the counts and the ranks
-    placed = checkpointed(df.repartitionByRange(parts, *[F.asc_nulls_last(g) for g in groups], *by).withColumn("_part", F.spark_partition_id()))
-    counts = placed.groupBy(*groups, "_part").agg(F.count("*").alias("_c"))
+    placed = checkpointed(df.repartitionByRange(parts, *[F.asc_nulls_last(g) for g in groups], *by).withColumn("__part", F.spark_partition_id()))
+    counts = placed.groupBy(*groups, "__part").agg(F.count("*").alias("_c"))
     group = Window.partitionBy(*groups)
-    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(group).alias("_n"))
-    inside = Window.partitionBy(*groups, "_part").orderBy(*by)
-    ranked = placed.withColumns({"_row": F.row_number().over(inside), "_rk": F.rank().over(inside), "_ties": F.count("*").over(Window.partitionBy(*groups, "_part", *order))})
-    on = F.col("_part") == F.col("_p")
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__of_part"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(group).alias("_n"))
+    inside = Window.partitionBy(*groups, "__part").orderBy(*by)
+    ranked = placed.withColumns({"_row": F.row_number().over(inside), "_rk": F.rank().over(inside), "_ties": F.count("*").over(Window.partitionBy(*groups, "__part", *order))})
+    on = F.col("__part") == F.col("__of_part")
     for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     joined = ranked.join(offsets, on)
     return joined.select(*df.columns, (F.col("_row") + F.col("_before")).alias("_position"), (F.col("_rk") + F.col("_before")).alias("_rank"), "_ties", "_n")
 
 
+def running_sums(df: DataFrame, groups: list[str], order: str, columns: list[str], descending: bool = False, parts: int | None = None) -> DataFrame:
+    """`df` with run_c and all_c of every column c in `columns`: its sum over the rows of the group up to a row, and over
+    the whole group.  `order` must be unique within a group; null groups are groups like others."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = F.desc_nulls_last(order) if descending else F.asc_nulls_last(order)
+    placed = checkpointed(df.repartitionByRange(parts, *[F.asc_nulls_last(g) for g in groups], by).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy(*groups, "__part").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    group = Window.partitionBy(*groups)
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__of_part"),
+        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns], *[F.sum(f"_s_{c}").over(group).alias(f"all_{c}") for c in columns],
+    )
+    upto = Window.partitionBy(*groups, "__part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.col("__part") == F.col("__of_part")
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    joined = placed.withColumns({f"_r_{c}": F.sum(c).over(upto) for c in columns}).join(offsets, on)
+    return joined.select(*df.columns, *[(F.col(f"_r_{c}") + F.col(f"_b_{c}")).alias(f"run_{c}") for c in columns], *[f"all_{c}" for c in columns])
+
+
 def tile(k: int) -> Column:
     """ntile(k) of a row that positions() has placed: the first groups are larger by one where k doesn't divide n."""
     n, at = F.col("_n"), F.col("_position")
