@@ -109,6 +109,20 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown_table(old.orderBy("started")).splitlines()[2] == "| a | running | 1 |"
 
 
+def test_geopackage_both_ways(spark, tmp_path):
+    kind = "struct<kind:string,srid:int,rings:array<array<array<struct<x:double,y:double>>>>,bbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>"
+    df = spark.createDataFrame([(1, "a", 0.5, ("MULTIPOLYGON", 6372, SQUARE, None)), (2, None, None, None)], f"fid bigint, na_me string, size double, shape {kind}")
+    path = str(tmp_path / "out.gpkg")
+    for _ in range(2):  # a layer is replaced
+        sinks.write_geopackage(df, path, "zones", "shape")
+    sinks.write_geopackage(df.limit(0), path, "none", "shape")
+    spark.dataSource.register(GeoPackage)
+    back = {r["fid"]: r for r in spark.read.format("geopackage").option("layer", "zones").load(path).collect()}
+    assert len(back) == 2 and (back[1]["na_me"], back[1]["size"], back[1]["shape"]["srid"]) == ("a", 0.5, 6372) and back[2]["shape"] is None
+    assert [[[tuple(q) for q in r] for r in p] for p in back[1]["shape"]["rings"]] == [[[(q["x"], q["y"]) for q in r] for r in p] for p in SQUARE]
+    assert spark.read.format("geopackage").option("layer", "none").load(path).count() == 0
+
+
 def test_models_are_kept(spark, tmp_path):
     from zonalis.operators import models
 

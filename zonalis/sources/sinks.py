@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import sqlite3
+import struct
+from contextlib import closing
 from functools import reduce
 from importlib import import_module
 
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions.geometry import geojson
+from zonalis.functions.wkb import to_wkb
 
 
 def replace(df: DataFrame, path: str) -> None:
@@ -71,6 +75,32 @@ def feature_collection(df: DataFrame, geom: str, properties: list[str], order: s
     return '{"type":"FeatureCollection","features":[' + ",".join(r[0] for r in found) + "]}"
 
 
+def write_geopackage(df: DataFrame, path: str, layer: str, geom: str = "geom", srid: int = 6372) -> None:
+    """A layer of a GeoPackage file on the driver, for results a caller knows to be small; a layer of that name is
+    replaced, others stay.  Whole numbers, reals and texts keep their kind, other columns are written as texts."""
+    kinds = {"tinyint": "INTEGER", "smallint": "INTEGER", "int": "INTEGER", "bigint": "INTEGER", "float": "REAL", "double": "REAL"}
+    columns = {c: kinds.get(t, "TEXT") for c, t in df.dtypes if c != geom}
+    rows = df.select(*[F.col(c) if k != "TEXT" else F.col(c).cast("string").alias(c) for c, k in columns.items()], to_wkb(F.col(geom)).alias("_wkb")).toLocalIterator()
+    head = b"GP\0\1" + struct.pack("<i", srid)
+    with closing(sqlite3.connect(path)) as db, db:
+        # fixed values: the marks and tables the format asks for
+        db.execute("PRAGMA application_id = 1196444487")
+        db.execute("PRAGMA user_version = 10300")
+        db.execute("CREATE TABLE IF NOT EXISTS gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT)")
+        db.execute("CREATE TABLE IF NOT EXISTS gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, srs_id INTEGER)")
+        db.execute("CREATE TABLE IF NOT EXISTS gpkg_geometry_columns (table_name TEXT PRIMARY KEY, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z INTEGER NOT NULL, m INTEGER NOT NULL)")
+        db.execute("INSERT OR IGNORE INTO gpkg_spatial_ref_sys VALUES (?, ?, 'EPSG', ?, 'undefined', NULL)", (f"EPSG:{srid}", srid, srid))
+        name = lambda c: '"' + c.replace('"', '""') + '"'
+        db.execute(f"DROP TABLE IF EXISTS {name(layer)}")
+        key = next(k for k in ("fid", "_fid", "__fid") if k not in {c.lower() for c in columns})
+        db.execute(f"CREATE TABLE {name(layer)} ({key} INTEGER PRIMARY KEY, {', '.join(f'{name(c)} {k}' for c, k in columns.items())}, {name(geom)} BLOB)")
+        places = ", ".join("?" * (len(columns) + 1))
+        fill = f"INSERT INTO {name(layer)} ({', '.join(map(name, [*columns, geom]))}) VALUES ({places})"
+        db.executemany(fill, ((*r[:-1], None if r[-1] is None else head + bytes(r[-1])) for r in rows))
+        db.execute("INSERT OR REPLACE INTO gpkg_contents VALUES (?, 'features', ?, ?)", (layer, layer, srid))
+        db.execute("INSERT OR REPLACE INTO gpkg_geometry_columns VALUES (?, ?, 'GEOMETRY', ?, 0, 0)", (layer, geom, srid))
+
+
 def save_model(model, path: str, name: str, features: list[str], threshold: float | None = None) -> None:
     """A fitted model in a folder of its own, its features and threshold beside it, readable by load_model()."""
     model.write().overwrite().save(f"{path}/{name}")

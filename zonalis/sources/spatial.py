@@ -61,7 +61,8 @@ class _PackageReader(DataSourceReader):
             self.low, self.high = db.execute(f'SELECT coalesce(min(rowid), 1), coalesce(max(rowid), 0) FROM "{self.table}"').fetchone()
 
     def partitions(self):
-        return [_Range(a, min(a + self.rows, self.high + 1)) for a in range(self.low, self.high + 1, self.rows)]
+        # without any partition read() would be called with none
+        return [_Range(a, min(a + self.rows, self.high + 1)) for a in range(self.low, self.high + 1, self.rows)] or [_Range(self.low, self.low)]
 
     def read(self, partition):
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
