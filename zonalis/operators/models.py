@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonalis.operators import metrics
+from zonalis.operators import forest, metrics
 from zonalis.operators.metrics import silhouette
 from zonalis.operators.ranking import positions, stratified_folds
 from zonalis.plans.runtime import checkpointed
@@ -29,7 +29,9 @@ def assembled(df: DataFrame, features: list[str], to: str = "features") -> DataF
 def kmeans(df: DataFrame, features: list[str], k: int, starts: int = 10, seed: int = 42) -> DataFrame:
     """`df` with `cluster_id`, the best of several starts; clusters are numbered by size, then by their centre."""
     data = checkpointed(assembled(df, features, "_f"))
-    best = min((KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="_c").fit(data) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    with ThreadPool(4) as pool:  # some starts at once
+        fits = pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="_c").fit(data), range(starts))
+    best = min(fits, key=lambda m: m.summary.trainingCost)
     sizes, centres = best.summary.clusterSizes, [c.tolist() for c in best.clusterCenters()]
     order = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i])))}
     names = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
@@ -119,11 +121,24 @@ def cross_validated_classes(df: DataFrame, key: str, label: str, features: list[
 
     with ThreadPool(at_once) as pool:
         parts = pool.map(one, range(folds))
-    per = metrics.macro_metrics(reduce(DataFrame.unionByName, parts), ["fold"], label, "predicted")
+    return _mean_of_folds(reduce(DataFrame.unionByName, parts), label)
+
+
+def _mean_of_folds(classified_: DataFrame, label: str) -> dict[str, float]:
+    per = metrics.macro_metrics(classified_, ["fold"], label, "predicted")
     names = ("accuracy", "macro_precision", "macro_recall", "macro_f1")
     return per.agg(*[F.avg(c).alias(c) for c in names]).first().asDict()
 
 
+def cross_validated_forest(df: DataFrame, key: str, label: str, features: list[str], folds: int = 5, trees: int = 300, depth: int = 16, seed: int = 42) -> dict[str, float]:
+    """cross_validated_classes() of a forest, whose trees are grown side by side as long as the rows may be sent to the tasks."""
+    folded = checkpointed(stratified_folds(df.select(key, label, *features), label, key, folds))
+    rows = forest.gathered(folded, key, label, features, F.col("fold"))
+    if rows is None:
+        return cross_validated_classes(df, key, label, features, lambda part: random_forest(part, features, label, trees, depth, seed), folds)
+    return _mean_of_folds(forest.held_out(df.sparkSession, rows, folds, trees, depth, seed=seed), "label")
+
+
 def shuffled_labels(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """`df` with its labels dealt out anew in the order of a hash: what a model finds then is chance or leakage."""
     placed = positions(df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))), [], ["_hash", key]).withColumnRenamed("_position", "_at")

@@ -703,7 +703,7 @@ def ml_kmeans(s, d):
 @query(None)
 def ml_rf_multi(s, d):
     """A forest over the typologies that clustering found: means of five stratified folds."""
-    found = models.cross_validated_classes(_typed(s, d)[1].coalesce(1), "profile_id", "cluster_id", _SIXTEEN, lambda rows: models.random_forest(rows, _SIXTEEN, "cluster_id"))
+    found = models.cross_validated_forest(_typed(s, d)[1], "profile_id", "cluster_id", _SIXTEEN)
     return _rows(s, [{"model": "random_forest", **found}])
 
 
