@@ -65,3 +65,42 @@ def test_larger_tables_go_to_the_library(typed, monkeypatch):
     monkeypatch.setattr(forest, "BYTES", 100)
     assert forest.gathered(typed, "k", "c", ["a", "b"]) is None
     assert models.cross_validated_forest(typed, "k", "c", ["a", "b"], folds=2, trees=3, depth=3)["macro_f1"] > 0.9
+
+
+def test_contributions_to_several_classes(spark, typed):
+    features = ["a", "b", "flag"]
+    rows = forest.gathered(typed, "k", "c", features)
+    found = forest.trained(spark, rows, 9, 6)
+    x = np.array(typed.select(*forest.clean(features)).orderBy("k").collect())
+    phi, base = models.shapley(x, found.leaves([2, 0, 7]))
+    shares = sum(t.stats[leaf] / t.stats[leaf].sum(1, keepdims=True) for t in found.trees for leaf in [t.leaf(rows.bins)]) / 9
+    assert phi.shape == (240, 3, 3) and np.allclose(base + phi.sum(1), np.column_stack([shares[:, 2], shares[:, 0], np.zeros(240)]))
+    per = {(r["feature"], r["class"]): r["mean_abs_shap"] for r in models.class_importance(found, typed.repartition(5), "k", features, {2: "two", 0: "none"}).collect()}
+    want = np.abs(phi).mean(0)
+    assert all(abs(per[f, c] - want[i, j]) < 1e-12 for i, f in enumerate(features) for j, c in enumerate(("two", "none")))
+    assert len(per) == 9 and abs(per["a", "total"] - want[0, :2].sum()) < 1e-12
+
+
+def test_contributions_by_table_and_by_row_equal_those_over_subsets():
+    from test_raster_lines_models import _shapley_by_subsets
+
+    rng = random.Random(1)
+    paths = []
+    for _ in range(40):
+        fs = rng.sample(range(5), rng.randrange(6))
+        paths.append((rng.random(), [(f, *sorted(rng.choice([-np.inf, 0.2, 0.5, 0.8, np.inf]) for _ in "ab"), rng.random()) for f in fs]))
+    x = np.array([[rng.choice([0.2, 0.5, 0.7, 0.9]) for _ in range(5)] for _ in range(60)])
+    many, few = models.shapley(x, paths), models.shapley(x[:3], paths)
+    assert np.allclose(many[0][:3], few[0]) and np.allclose(many[1], few[1])
+    assert np.allclose(few[0], _shapley_by_subsets(paths, x[:3], 5))
+
+
+def test_one_pass_for_all_classes(spark, typed):
+    """A pass per class over all leaves took minutes over ten thousand rows."""
+    found = forest.trained(spark, forest.gathered(typed, "k", "c", ["a", "b", "flag"]), 5, 4)
+    plan = models.class_importance(found, typed, "k", ["a", "b", "flag"], {0: "x", 1: "y", 2: "z"})
+    assert plan.count() == 12
+    calls = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: (calls.add(1), v)[1], "double").asNondeterministic()
+    models.class_importance(found, typed.withColumn("a", counted("a")), "k", ["a", "b", "flag"], {0: "x", 1: "y", 2: "z"}).count()
+    assert calls.value == 240

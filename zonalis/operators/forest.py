@@ -50,6 +50,32 @@ class Rows:
     classes: list
 
 
+@dataclass
+class Forest:
+    trees: list[Tree]
+    cuts: list[np.ndarray]
+    classes: list
+
+    def leaves(self, values: list) -> list[tuple[np.ndarray, list[tuple[int, float, float, float]]]]:
+        """Every leaf as `models.leaves` has them, with its shares of the classes `values`, 0 for one that wasn't seen."""
+        seen, out = [(i, self.classes.index(v)) for i, v in enumerate(values) if v in self.classes], []
+        for tree in self.trees:
+            size, todo = tree.stats.sum(1), [(0, {})]
+            while todo:
+                node, path = todo.pop()
+                f = int(tree.feature[node])
+                if f < 0:
+                    share = np.zeros(len(values))
+                    for i, c in seen:
+                        share[i] = tree.stats[node, c] / size[node] / len(self.trees)
+                    out.append((share, [(g, *bounds) for g, bounds in path.items()]))
+                    continue
+                cut, (low, high, z) = float(self.cuts[f][tree.cut[node]]), path.get(f, (-np.inf, np.inf, 1.0))
+                for child, a, b in ((tree.left[node], low, min(high, cut)), (tree.right[node], max(low, cut), high)):
+                    todo.append((child, path | {f: (a, b, z * size[child] / size[node])}))
+        return out
+
+
 def clean(features: list[str]) -> list[Column]:
     return [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features]
 
@@ -152,8 +178,8 @@ def grown(bins: np.ndarray, y: np.ndarray, classes: int, depth: int, least: int,
     return Tree(np.concatenate(feature), np.concatenate(cut), np.concatenate(left), np.concatenate(right), np.concatenate(stats))
 
 
-def trained(spark, rows: Rows, trees: int, depth: int, least: int = 2, seed: int = 42) -> list[Tree]:
-    """The trees of a forest over all rows."""
+def trained(spark, rows: Rows, trees: int, depth: int, least: int = 2, seed: int = 42) -> Forest:
+    """A forest over all rows."""
     shared = spark.sparkContext.broadcast(rows)
     per = max(1, trees // 30)
 
@@ -168,7 +194,7 @@ def trained(spark, rows: Rows, trees: int, depth: int, least: int = 2, seed: int
     n = -(-trees // per)
     found = spark.range(0, n, 1, n).mapInArrow(run, "t bigint, tree binary").collect()
     shared.unpersist()
-    return [pickle.loads(r["tree"]) for r in sorted(found, key=lambda r: r["t"])]
+    return Forest([pickle.loads(r["tree"]) for r in sorted(found, key=lambda r: r["t"])], rows.cuts, rows.classes)
 
 
 def held_out(spark, rows: Rows, folds: int, trees: int, depth: int, least: int = 2, seed: int = 42) -> DataFrame:

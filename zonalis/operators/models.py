@@ -159,10 +159,10 @@ def univariate(df: DataFrame, features: list[str], label: str, most: float = 0.9
 # --- explanation -----------------------------------------------------------------------------------------------------
 
 
-def leaves(model, value: int | None = 1) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+def leaves(model, value: int | list[int] | None = 1) -> list[tuple[float | np.ndarray, list[tuple[int, float, float, float]]]]:
     """Every leaf of a fitted tree ensemble as (its share of the output, [(feature, above, upto, share of the cover)]):
     one entry per feature on its path, bounds intersected and cover ratios multiplied.  `value` names the class whose
-    probability counts; None takes a regression tree's prediction."""
+    probability counts, or several whose shares come as an array; None takes a regression tree's prediction."""
     out = []
     weights = list(model.treeWeights)
     total = sum(weights) if value is not None else 1.0
@@ -172,7 +172,7 @@ def leaves(model, value: int | None = 1) -> list[tuple[float, list[tuple[int, fl
 
     def walk(node, path: dict, weight: float) -> None:
         if node.subtreeDepth() == 0:
-            stats = [float(x) for x in node.impurityStats().stats()]
+            stats = np.array([float(x) for x in node.impurityStats().stats()])
             share = node.prediction() if value is None else stats[value] / max(sum(stats), 1e-300)
             out.append((share * weight, [(f, low, high, z) for f, (low, high, z) in path.items()]))
             return
@@ -187,29 +187,72 @@ def leaves(model, value: int | None = 1) -> list[tuple[float, list[tuple[int, fl
     return out
 
 
-def shapley(x: np.ndarray, paths: list) -> tuple[np.ndarray, float]:
-    """(contributions, base) of rows: path-dependent Shapley values, summed over the leaves.
-
-    A leaf's game over the m features of its path is a product, so the sum over subsets is that over the coefficients of
-    prod(z_i + o_i t) without the feature in question, o_i telling whether the row meets the path's bounds for i."""
-    phi, base = np.zeros(x.shape), 0.0
+def _marginals(meets: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Shapley values of games that are products of z_i (absent) or meets_i (present) over the last axis: the integral of
+    (meets_j - z_j) prod(z_i (1 - t) + meets_i t, i other than j), exact with half as many nodes as there are factors."""
+    m = z.shape[-1]
+    nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    out = np.zeros(np.broadcast_shapes(meets.shape, z.shape))
+    for t, w in zip((nodes + 1) / 2, weights / 2):
+        factor = z * (1 - t) + meets * t
+        before, after = np.ones(out.shape), np.ones(out.shape)
+        before[..., 1:] = np.cumprod(factor[..., :-1], -1)
+        after[..., :-1] = np.cumprod(factor[..., :0:-1], -1)[..., ::-1]
+        out += w * before * after
+    return out * (meets - z)
+
+
+def shapley(x: np.ndarray, paths: list) -> tuple[np.ndarray, float | np.ndarray]:
+    """(contributions, base) of rows: path-dependent Shapley values, summed over the leaves; with a last axis of outputs
+    where the leaves' shares are arrays.
+
+    A leaf's game over the m features of its path is a product, so a row's part in it depends only on which of the m bounds
+    the row meets: that is a code of m bits, looked up in a table of all codes where there are fewer of them than rows."""
+    several = bool(paths) and np.ndim(paths[0][0]) > 0
+    outputs = len(paths[0][0]) if several else 1
+    phi, base = np.zeros((*x.shape, outputs)), np.zeros(outputs)
+    alike: dict[int, list] = {}
     for share, path in paths:
-        m = len(path)
-        base += share * float(np.prod([z for *_, z in path]))
-        meets = [(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in path]
-        for j in range(m):
-            poly = np.zeros((len(x), m))
-            poly[:, 0] = 1.0
-            for i in range(m):
-                if i != j:
-                    shifted = np.column_stack([np.zeros(len(x)), poly[:, :-1]])
-                    poly = poly * path[i][3] + shifted * meets[i][:, None]
-            weight = np.ones(m)
-            for s in range(1, m):
-                weight[s] = weight[s - 1] * s / (m - s)
-            weight /= m
-            phi[:, path[j][0]] += share * (meets[j] - path[j][3]) * (poly @ weight)
-    return phi, base
+        base += np.asarray(share) * float(np.prod([z for *_, z in path]))
+        alike.setdefault(len(path), []).append((share, path))
+    for m, group in alike.items():
+        if not m:
+            continue
+        for first in range(0, len(group), 1024):
+            some = group[first : first + 1024]
+            shares = np.array([s for s, _ in some], float).reshape(len(some), outputs)
+            fs, low, high, z = (np.array([[entry[i] for entry in path] for _, path in some]) for i in range(4))
+            for at in range(0, len(x), 2048):
+                _add_leaves(phi[at : at + 2048], x[at : at + 2048], shares, fs, low, high, z, len(x))
+    return (phi, base) if several else (phi[..., 0], float(base[0]))
+
+
+def _add_leaves(phi, x, shares, fs, low, high, z, rows: int) -> None:
+    """Adds the contributions by leaves with paths of equal length."""
+    count, m = fs.shape
+    codes = np.zeros((len(x), count), np.int32 if m < 31 else np.int64)
+    columns = {f: np.nonzero(fs == f) for f in np.unique(fs)}
+    for f, (leaf, j) in columns.items():
+        below, upto = low[leaf, j], high[leaf, j]
+        bounds = np.unique(np.concatenate([below, upto]))
+        place = np.arange(len(bounds) + 1)[:, None]
+        met = np.zeros((len(bounds) + 1, count), codes.dtype)
+        met[:, leaf] = ((place > np.searchsorted(bounds, below)) & (place <= np.searchsorted(bounds, upto))).astype(codes.dtype) << j.astype(codes.dtype)
+        codes += met[np.searchsorted(bounds, x[:, f])]
+    if 2**m <= rows:
+        bits = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
+        table = np.empty((count, m, 2**m))
+        for i in range(0, count, step := max(1, 1_000_000 // (m * 2**m))):
+            table[i : i + step] = _marginals(bits, z[i : i + step, None, :]).swapaxes(1, 2)
+        flat = table.ravel()
+        for f, (leaf, j) in columns.items():
+            phi[:, f] += flat[codes[:, leaf] + ((leaf * m + j) * 2**m)] @ shares[leaf]
+        return
+    for i in range(0, count, step := max(1, 1_000_000 // (m * len(x)))):
+        part = _marginals((codes[:, i : i + step, None] >> np.arange(m)) & 1, z[i : i + step])
+        for f, (leaf, j) in columns.items():
+            own = (leaf >= i) & (leaf < i + step)
+            phi[:, f] += part[:, leaf[own] - i, j[own]] @ shares[leaf[own]]
 
 
 def explained(model, df: DataFrame, key: str, features: list[str], value: int | None = 1) -> DataFrame:
@@ -234,10 +277,28 @@ def importance(explained_: DataFrame, features: list[str]) -> DataFrame:
     return long.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean_abs_shap"))))  # as many rows as features
 
 
+def forest_of_classes(df: DataFrame, key: str, label: str, features: list[str], trees: int = 300, depth: int = 16, seed: int = 42):
+    """A forest whose trees are grown side by side as long as the rows may be sent to the tasks, else the library's."""
+    rows = forest.gathered(df, key, label, features)
+    return random_forest(df, features, label, trees, depth, seed) if rows is None else forest.trained(df.sparkSession, rows, trees, depth, seed=seed)
+
+
 def class_importance(model, df: DataFrame, key: str, features: list[str], classes: dict[int, str]) -> DataFrame:
-    """(feature, class, mean_abs_shap) of a forest of several classes, and their sum as the class 'total'."""
-    parts = [importance(explained(model, df, key, features, value), features).select("feature", F.lit(name).alias("class"), "mean_abs_shap") for value, name in classes.items()]
-    per = checkpointed(reduce(DataFrame.unionByName, parts))
+    """(feature, class, mean_abs_shap) of a forest of several classes, and their sum as the class 'total': the rows are read
+    once, a leaf's part in a row is the same for all classes but for the leaf's shares."""
+    values = list(classes)
+    shared = df.sparkSession.sparkContext.broadcast(model.leaves(values) if isinstance(model, forest.Forest) else leaves(model, values))  # bounded by the model's size
+
+    def run(batches):
+        sums, n = np.zeros((len(features), len(values))), 0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            sums, n = sums + np.abs(shapley(x, shared.value)[0]).sum(0), n + len(x)
+        at = [(f, v) for f in range(len(features)) for v in range(len(values))]
+        yield pa.RecordBatch.from_arrays([pa.array([features[f] for f, _ in at]), pa.array([classes[values[v]] for _, v in at]), pa.array([float(sums[i]) for i in at]), pa.array([n] * len(at), pa.int64())], names=["feature", "class", "s", "n"])
+
+    parts = df.select(*forest.clean(features)).mapInArrow(run, "feature string, class string, s double, n bigint")
+    per = checkpointed(parts.groupBy("feature", "class").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean_abs_shap")))
     return per.unionByName(per.groupBy("feature").agg(F.sum("mean_abs_shap").alias("mean_abs_shap")).withColumn("class", F.lit("total")))
 
 

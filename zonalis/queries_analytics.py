@@ -711,7 +711,7 @@ def ml_rf_multi(s, d):
 def xai_class_drivers(s, d):
     """The ten leading features of a forest of the typologies, and the three leading ones of each typology."""
     typed = _typed(s, d)[1]
-    model = models.random_forest(typed, _SIXTEEN, "cluster_id", trees=60, depth=8)
+    model = models.forest_of_classes(typed, "profile_id", "cluster_id", _SIXTEEN, trees=60, depth=8)
     per = models.class_importance(model, typed, "profile_id", _SIXTEEN, {k: f"Typology {chr(65 + k)}" for k in range(4)})
     placed = per.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("mean_abs_shap"), "feature")))  # sixteen rows a class
     return placed.where("place <= 3 or (class = 'total' and place <= 10)")
